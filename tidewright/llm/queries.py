@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.llm.bpe import op4_bpe_round_trip
+from tidewright.llm.secrets import op2_secret_scan
 from tidewright.llm.simhash import op9_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scan": op2_secret_scan,
+        "op4_bpe_round_trip": op4_bpe_round_trip,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
