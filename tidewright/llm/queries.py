@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bpe import op4_bpe_round_trip
+from tidewright.llm.chats import OP5_SQL, op5_chat_format
+from tidewright.llm.quality import OP7_SQL, op7_line_quality
 from tidewright.llm.secrets import op2_secret_scan
 from tidewright.llm.simhash import op9_simhash_near_dedup
+from tidewright.llm.urls import OP10_SQL, op10_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": op2_secret_scan,
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_chat_format": op5_chat_format,
+        "op7_line_quality": op7_line_quality,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_chat_format": OP5_SQL,
+        "op7_line_quality": OP7_SQL,
+        "op10_url_filter": OP10_SQL,
+    }
