@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.session import share_package
+
 #: Lower-cases A-Z and turns every ASCII byte that is not a letter or digit into a blank.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -36,6 +38,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
         for batch in batches:
             yield from each(batch)
 
+    share_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -57,6 +60,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        share_package(spark)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
 
     def path(self, table: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bpe import op4_bpe_round_trip
 from tidewright.llm.chats import OP5_SQL, op5_chat_format
+from tidewright.llm.decontaminate import OP6_SQL, op6_decontaminate
 from tidewright.llm.quality import OP7_SQL, op7_line_quality
 from tidewright.llm.secrets import op2_secret_scan
 from tidewright.llm.simhash import op9_simhash_near_dedup
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_chat_format": op5_chat_format,
+        "op6_decontaminate": op6_decontaminate,
         "op7_line_quality": op7_line_quality,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_url_filter": op10_url_filter,
@@ -28,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_chat_format": OP5_SQL,
+        "op6_decontaminate": OP6_SQL,
         "op7_line_quality": OP7_SQL,
         "op10_url_filter": OP10_SQL,
     }
