@@ -12,12 +12,14 @@ from tidewright.llm.decontaminate import OP6_SQL, op6_decontaminate
 from tidewright.llm.quality import OP7_SQL, op7_line_quality
 from tidewright.llm.secrets import op2_secret_scan
 from tidewright.llm.simhash import op9_simhash_near_dedup
+from tidewright.llm.substrings import OP3_SQL, op3_substring_dedup
 from tidewright.llm.urls import OP10_SQL, op10_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": op2_secret_scan,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_chat_format": op5_chat_format,
         "op6_decontaminate": op6_decontaminate,
@@ -29,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": OP3_SQL,
         "op5_chat_format": OP5_SQL,
         "op6_decontaminate": OP6_SQL,
         "op7_line_quality": OP7_SQL,
