@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.llm.bpe import op4_bpe_round_trip
 from tidewright.llm.chats import OP5_SQL, op5_chat_format
 from tidewright.llm.decontaminate import OP6_SQL, op6_decontaminate
+from tidewright.llm.licenses import op8_license_scan
+from tidewright.llm.pii import op1_pii_scan
 from tidewright.llm.quality import OP7_SQL, op7_line_quality
 from tidewright.llm.secrets import op2_secret_scan
 from tidewright.llm.simhash import op9_simhash_near_dedup
@@ -18,12 +20,14 @@ from tidewright.llm.urls import OP10_SQL, op10_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_scan": op1_pii_scan,
         "op2_secret_scan": op2_secret_scan,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_chat_format": op5_chat_format,
         "op6_decontaminate": op6_decontaminate,
         "op7_line_quality": op7_line_quality,
+        "op8_license_scan": op8_license_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_url_filter": op10_url_filter,
     }
