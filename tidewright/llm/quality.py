@@ -34,8 +34,9 @@ def _let(value: Column, body) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more, the first occurrence included."""
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h"), i.alias("i")))
+
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"), i.alias("i")))
 
     def covered(s: Column) -> Column:
         # windows beside one of the same hash in sorted order, by place again; each adds the words not yet covered
@@ -48,7 +49,8 @@ def repeated_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    return F.when(n >= 3, _let(F.sort_array(windows), covered)).otherwise(F.lit(0).cast("long"))
+    # words are bound before lambdas read single ones: the optimizer may put the expression that makes them in their place
+    return _let(words, lambda w: F.when(F.size(w) >= 3, _let(F.sort_array(windows(w)), covered)).otherwise(F.lit(0).cast("long")))
 
 
 def _line_fails(line: Column) -> Column:
@@ -78,12 +80,12 @@ def judged(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     measured = parts.select(
         "row",
         "lines",
+        F.monotonically_increasing_id().alias("once"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"),
         _occurs(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         _let(F.transform(real, lambda x: x["text"]), lambda r: F.size(r) - F.size(F.array_distinct(r))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.filter("lines", _line_fails).alias("failing"),
     )
     # the first of equal lines stays: what a later copy holds is what all lines hold less what distinct lines hold
     good = F.filter("lines", lambda x: (x["n"] > 0) & ~_line_fails(x))
@@ -91,7 +93,7 @@ def judged(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     verdict = measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("kept_words", kept_words.cast("long"))
     cleaned = F.array_join(F.transform(F.filter("lines", lambda x: (x["n"] == 0) | ~_line_fails(x)), lambda x: x["text"]), "\n")
     return verdict.select(
-        "row", cleaned.alias("cleaned"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words",
+        "row", cleaned.alias("cleaned"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words", "once",
         (~F.col("base_failed") & ((F.col("n_words") - F.col("kept_words")) <= F.col("n_words") * most_lost)).alias("kept"),
     )
 
@@ -103,7 +105,8 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with failing lines taken out of text and n_chars, where it exists, counted anew."""
-    kept = judged(docs).where("kept")
+    # a row number that can't be pushed down keeps the filter above the measures, which would else be computed twice
+    kept = judged(docs).where(F.col("kept") & (F.col("once") >= 0))
     columns = [F.col("cleaned").alias(c) if c == "text" else F.length("cleaned").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return kept.select(*columns)
 
