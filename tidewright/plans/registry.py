@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from tidewright.plans import q_text  # noqa: F401
+from tidewright.plans import q_joins, q_text  # noqa: F401
