@@ -29,7 +29,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidates: digit groups, names of two or three capitalised words, and things with an at sign.
 NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}(?![A-Za-z0-9])")
-PERSON = re.compile(r"(?<![A-Za-z])(?:[A-Z][a-z]+\x20){1,2}[A-Z][a-z]+(?![A-Za-z])")
+PERSON = re.compile(r"(?<![A-Za-z])(?:[A-Z][a-z]+\x20){1,4}[A-Z][a-z]+(?![A-Za-z])")
 AT_SIGN = re.compile(r"(?<![^\s<(])[^\s<>()@,;]{1,64}(?:@|\x20?[\[(]at[\])]\x20?)[^\s<>()@,;]{2,100}")
 #: Words of the gazetteer and context labelers.
 GIVEN_NAMES = frozenset("anna maria james john mary robert patricia michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah carlos ana luis carmen jose pierre marie jean claire hans peter klaus petra ursula stefan".split())
@@ -95,17 +95,23 @@ def candidates(text: str) -> list[Candidate]:
             continue
         for m in pattern.finditer(text):
             before = re.findall(r"[a-z]+", text[max(0, m.start() - 30) : m.start()].lower())[-3:]
-            span = m[0]
+            span, start = m[0], m.start()
+            while kind == 4 and span.partition(" ")[0].lower() in TITLES:  # a title is context, not name
+                head, _, span = span.partition(" ")
+                start += len(head) + 1
+                before = [*before, head.lower()]
             digits = sum(c.isdigit() for c in span)
             near, against = 0, 0
             if kind == 4:
                 words = span.lower().split()
+                if len(words) < 2:
+                    continue
                 listed = words[0] in GIVEN_NAMES
                 if not listed and not TITLES.intersection(before[-1:]):
                     continue  # no labeler but the weak form rule has anything to say
                 form, names = 2 if len(words) == 2 else 0, 2 if listed else 1
                 near = 2 if TITLES.intersection(before[-1:]) else 1
-                shape = len(words)
+                shape = min(3, len(words))
             elif kind == 5:
                 form = 2 if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}|00[0-9]{8,13}", span) else 1
                 names = 2 if span.startswith(("00", "0800", "+")) else 0
@@ -123,7 +129,7 @@ def candidates(text: str) -> list[Candidate]:
             for v in (form, names, near, against, plain, short):
                 votes = votes * 3 + v
             cell = ((((kind - 4) * 4 + shape) * 3 + form) * 3 + near) * 2 + (against > 0)
-            out.append(Candidate(kind, m.start(), m.end(), votes, cell))
+            out.append(Candidate(kind, start, m.end(), votes, cell))
     return out
 
 
