@@ -38,10 +38,10 @@ def j3(spark, sf):
     return both.join(n, "source").select("doc_id", "siblings", F.length("text").cast("long").alias("parent_chars"))
 
 
-@query("j4_align_passes", "select a.doc_id, a.quality as first_pass, case when length(d.text) > 500 then 1 else 0 end as second_pass from labels a join documents d using (doc_id) where a.toxic = 0 and d.n_chars % 10 <> 0")
+@query("j4_align_passes", "select a.doc_id, a.quality as first_pass, case when length(d.text) > 500 then 1 else 0 end as second_pass from labels a join documents d using (doc_id) where a.toxic = 0 and d.source <> 'src3'")
 def j4(spark, sf):
     a = table(spark, sf, "labels").where("toxic = 0").select("doc_id", F.col("quality").alias("first_pass"))
-    b = docs_of(spark, sf).where("n_chars % 10 <> 0").select("doc_id", (F.length("text") > 500).cast("int").alias("second_pass"))
+    b = docs_of(spark, sf).where("source <> 'src3'").select("doc_id", (F.length("text") > 500).cast("int").alias("second_pass"))
     return a.join(b, "doc_id")
 
 
@@ -172,9 +172,9 @@ def j19(spark, sf):
     return p.join(k, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("l_suppkey") == F.col("s_suppkey")), "left").select("p_partkey", "s_suppkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("j20_declared_vs_produced", "with d as (select o_orderkey as k, round(o_totalprice) as expected from orders where o_orderkey % 3 <> 0), p as (select l_orderkey as k, round(sum(l_extendedprice)) as actual from lineitem group by 1) select case when d.k is null then 'undeclared' when p.k is null then 'missing' when abs(expected - actual) <= 50000 then 'within' else 'differs' end as verdict, count(*) as n from d full join p on d.k = p.k group by 1")
+@query("j20_declared_vs_produced", "with d as (select o_orderkey as k, round(o_totalprice) as expected from orders where o_orderstatus <> 'P'), p as (select l_orderkey as k, round(sum(l_extendedprice)) as actual from lineitem group by 1) select case when d.k is null then 'undeclared' when p.k is null then 'missing' when abs(expected - actual) <= 50000 then 'within' else 'differs' end as verdict, count(*) as n from d full join p on d.k = p.k group by 1")
 def j20(spark, sf):
-    d = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice").alias("expected"))
+    d = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice").alias("expected"))
     p = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_extendedprice")).alias("actual"))
     verdict = F.when(F.col("expected").isNull(), "undeclared").when(F.col("actual").isNull(), "missing").when(F.abs(F.col("expected") - F.col("actual")) <= 50000, "within").otherwise("differs")
     return d.join(p, "k", "full").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
@@ -205,10 +205,10 @@ def u3(spark, sf):
     return a.join(b.withColumnRenamed("n", "m"), "t").select("t", F.least("n", "m").alias("n"))
 
 
-@query("u4_symmetric_difference", "select coalesce(a.doc_id, b.doc_id) as doc_id, a.doc_id is null as only_second from (select doc_id from labels) a full join (select doc_id from documents where doc_id % 2 = 0) b on a.doc_id = b.doc_id where a.doc_id is null or b.doc_id is null")
+@query("u4_symmetric_difference", "select coalesce(a.doc_id, b.doc_id) as doc_id, a.doc_id is null as only_second from (select doc_id from labels) a full join (select doc_id from documents where lang <> 'en') b on a.doc_id = b.doc_id where a.doc_id is null or b.doc_id is null")
 def u4(spark, sf):
     a = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("a"))
-    b = docs_of(spark, sf).where("doc_id % 2 = 0").select("doc_id", F.lit(True).alias("b"))
+    b = docs_of(spark, sf).where("lang <> 'en'").select("doc_id", F.lit(True).alias("b"))
     return a.join(b, "doc_id", "full").where("a is null or b is null").select("doc_id", F.col("a").isNull().alias("only_second"))
 
 

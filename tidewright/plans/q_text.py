@@ -221,11 +221,10 @@ def f5(spark, sf):
     return docs_of(spark, sf).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s4_value_coercion", "select event_id, case when lower(trim(v)) in ('', 'na', 'n/a', 'null', 'none', 'unknown') then null else trim(v) end as clean, cast(trunc(try_cast(case when lower(trim(v)) in ('', 'na', 'n/a', 'null', 'none', 'unknown') then null else trim(v) end as double)) as int) as number from (select event_id, case event_id % 5 when 0 then ' N/A ' when 1 then cast(round(value, 2) as varchar) when 2 then ' 12' when 3 then 'abc' else 'Unknown' end as v from events where event_id % 5 <> 1)")
+@query("s4_value_coercion", "select event_id, case when lower(trim(v)) in ('', 'na', 'n/a', 'null', 'none', 'unknown') then null else trim(v) end as clean, cast(trunc(try_cast(case when lower(trim(v)) in ('', 'na', 'n/a', 'null', 'none', 'unknown') then null else trim(v) end as double)) as int) as number from (select event_id, case event_id % 5 when 0 then ' N/A ' when 1 then '3.7' when 2 then ' 12' when 3 then 'abc' else 'Unknown' end as v from events)")
 def s4(spark, sf):
-    v = F.when(F.col("event_id") % 5 == 0, " N/A ").when(F.col("event_id") % 5 == 2, " 12").when(F.col("event_id") % 5 == 3, "abc").otherwise("Unknown")
-    e = table(spark, sf, "events").where(F.col("event_id") % 5 != 1)
-    return e.select("event_id", clean_string(v).alias("clean"), clean_int(v).alias("number"))
+    v = F.when(F.col("event_id") % 5 == 0, " N/A ").when(F.col("event_id") % 5 == 1, "3.7").when(F.col("event_id") % 5 == 2, " 12").when(F.col("event_id") % 5 == 3, "abc").otherwise("Unknown")
+    return table(spark, sf, "events").select("event_id", clean_string(v).alias("clean"), clean_int(v).alias("number"))
 
 
 @query("a1_coverage", "select 'text' as field, avg(case when text is not null then 1.0 else 0.0 end) as share from documents union all select 'lang', avg(case when lang is not null then 1.0 else 0.0 end) from documents union all select 'quality', round(avg(case when quality is not null then 1.0 else 0.0 end), 9) from documents left join labels using (doc_id)")
