@@ -34,7 +34,7 @@ def average_rank(over: Window, ties: Window) -> Column:
 def spearman(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, rho): Pearson's correlation of average ranks within each key, null where one side is constant."""
     rank = lambda c: average_rank(Window.partitionBy(key).orderBy(c), Window.partitionBy(key, c))
-    return rows.select(key, rank(a).alias("ra"), rank(b).alias("rb")).groupBy(key).agg(F.when((F.min("ra") < F.max("ra")) & (F.min("rb") < F.max("rb")), F.round(F.corr("ra", "rb"), 6)).alias("rho"))
+    return rows.select(key, rank(a).alias("ra"), rank(b).alias("rb")).groupBy(key).agg(F.round(F.covar_pop("ra", "rb") / F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0)), 6).alias("rho"))
 
 
 def holm(rows: DataFrame, name: str, p: str, alpha: float) -> DataFrame:
