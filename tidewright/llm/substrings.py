@@ -179,11 +179,12 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     repeated = found[0]
     for more in found[1:]:
         repeated = repeated.unionByName(more)
-    met = scratch.keep(marks.join(repeated.distinct(), "h"), "met")
+    # written first, so that both sides of the join come straight from a shuffle and a hot hash can be split
+    met = scratch.keep(marks.join(scratch.keep(repeated.distinct(), "repeated"), "h"), "met")
     scratch.drop("marks")
     contexts = met.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min("r1").alias("rep"))
     several = met.groupBy("h").agg(F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("low <> high").select("h", F.lit(True).alias("several"))
-    verified = contexts.join(several, "h", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    verified = scratch.keep(contexts.join(several, "h", "left").withColumn("several", F.coalesce("several", F.lit(False))), "verified")
     parts = met.join(verified, ["h", "ctx"]).select("r1", "r2", F.struct("a", "b", (F.col("n") > 1).alias("whole"), (F.col("several") & ((F.col("n") == 1) | (F.col("r1") == F.col("rep")))).alias("emit")).alias("part"))
     of_text = parts.groupBy("r1", "r2").agg(F.collect_list("part").alias("parts"))
     first = scratch.keep(
@@ -192,7 +193,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         "first",
     )
     windows = first.select("r1", "r2", "open", F.explode(F.arrays_zip("s", "w1", "w2")).alias("w")).select("r1", "r2", "open", "w.s", "w.w1", "w.w2")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    twice = scratch.keep(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "twice")
     hits = windows.where("open").join(twice, ["w1", "w2"]).groupBy("r1", "r2").agg(F.collect_set("s").alias("hits"))
     rest = first.where("open").select("doc_id", "r1", "r2", "norm", "spans").join(hits, ["r1", "r2"], "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
