@@ -111,16 +111,19 @@ def junk_flags(text: Column, least_tokens: int = 3) -> Column:
 QUOTES, DASHES = "‘’‚‛′“”„″«»", "‐‑‒–−"
 
 
+#: Horizontal white space, and characters without width.
+BLANK, ZERO_WIDTH = r" \t\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}", r"\x{200B}-\x{200F}\x{2060}\x{FEFF}"
+
+
 def normalise(text: Column) -> Column:
     """Control and zero-width characters out, quotes and dashes folded, ellipses and blanks collapsed, lines stripped. Compatibility folding (NFKC) is applied before, where it is wanted."""
-    t = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
-    t = F.regexp_replace(t, "[​-‏⁠﻿]", "")
+    t = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}" + ZERO_WIDTH + "]", "")
     t = F.translate(t, QUOTES + DASHES, "'" * 5 + '"' * 6 + "-" * 5)
     t = F.regexp_replace(F.replace(t, F.lit("…"), F.lit("...")), r"\.{4,}", "...")
     t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(F.regexp_replace(t, "[ \t ]+", " "), "\n{3,}", "\n\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+([,.;:!?%])", "$1"), r"\s*—\s*", " — ")
-    return F.regexp_replace(F.regexp_replace(t, r"(?m)^[ ]+|[ ]+$", ""), r"^\s+|\s+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, f"[{BLANK}]+", " "), r"\n{3,}", "\n\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \n]+([,.;:!?%])", "$1"), r"[ \n]*—[ \n]*", " — ")
+    return F.regexp_replace(F.regexp_replace(t, r" *\n *", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def silhouette(text: Column) -> Column:

@@ -280,7 +280,15 @@ def w7(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.row_number().over(w).alias("rn")).where("rn = 1").select("doc_id")
 
 
-@query("x1_normalised", None)
+_NORM = rf"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}{X.ZERO_WIDTH}]', '', 'g')"
+_NORM = f"translate({_NORM}, '{(X.QUOTES + X.DASHES)}', '{"''" * 5 + '"' * 6 + '-' * 5}')"
+_NORM = rf"replace(replace(regexp_replace(replace({_NORM}, '…', '...'), '\.{{4,}}', '...', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_NORM = rf"regexp_replace(regexp_replace({_NORM}, '[{X.BLANK}]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+_NORM = rf"regexp_replace(regexp_replace({_NORM}, '[ \n]+([,.;:!?%])', '\1', 'g'), '[ \n]*—[ \n]*', ' — ', 'g')"
+_NORM = rf"regexp_replace(regexp_replace({_NORM}, ' *\n *', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@query("x1_normalised", f"select doc_id, length(text)::bigint as original_length, length(norm)::bigint as normalised_length, text <> norm as changed, md5(norm) as norm_md5 from (select doc_id, text, {_NORM} as norm from documents)")
 def x1(spark, sf):
     d = docs_of(spark, sf).select("doc_id", "text", X.normalise(F.col("text")).alias("norm"))
     return d.select("doc_id", F.length("text").cast("long").alias("original_length"), F.length("norm").cast("long").alias("normalised_length"), (F.col("text") != F.col("norm")).alias("changed"), F.md5("norm").alias("norm_md5"))
