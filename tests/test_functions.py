@@ -154,3 +154,10 @@ def test_balanced_draw_fills_rare_strata_first(spark):
     assert learning.balanced_draw(pool, "id", ["s"], 4) == [0, 8, 1, 9]
     with pytest.raises(ValueError):
         learning.balanced_draw(pool, "id", ["s"], 4, most_pool=5)
+
+
+def test_nearest_in_blocks_is_the_same(spark):
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)], "rid long, v array<float>")
+    q = rows.where("rid % 5 = 0").select(F.col("rid").alias("qid"), F.col("v").alias("q"))
+    a, b = (sorted(map(tuple, joins.cosine_nearest(q, rows, n).collect())) for n in (100, 5))
+    assert a == b and len(a) == 12

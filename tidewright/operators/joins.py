@@ -54,14 +54,14 @@ def nearest_by_tokens(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return queries.select("qid").join(best, "qid", "left").crossJoin(first).select("qid", F.coalesce("b.rid", "first").alias("rid"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
-def cosine_nearest(queries: DataFrame, rows: DataFrame, most_queries: int = 200_000) -> DataFrame:
+def cosine_nearest(queries: DataFrame, rows: DataFrame, most_queries: int = 20_000) -> DataFrame:
     """(qid, rid, cosine): the nearest other row of rows(rid, v) for each of queries(qid, q), a stated set.
 
     The set is broadcast where its size is checked to be bounded; a larger one is read in blocks of that many queries.
     """
-    if queries.count() > most_queries:
-        parts = max(2, -(-queries.count() // most_queries))
-        out = None
+    n = queries.count()
+    if n > most_queries:
+        parts, out = -(-n // most_queries), None
         for k in range(parts):
             one = _nearest_block(queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k), rows)
             out = one if out is None else out.unionByName(one)
