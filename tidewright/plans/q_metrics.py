@@ -128,7 +128,7 @@ def m3(spark, sf):
 
 
 _W = ", ".join(f"('{k}', {d}, {m})" for k, d, m in dict.fromkeys((k, d, m) for k, _, d, m in L.CUES))
-_H = f"q(construct, cue) as (values {_CUES}), h as (select doc_id, construct, least(1.0, 0.4 * count(*)) as p from documents, q where case when contains(cue, ' ') then contains(lower(text), cue) else regexp_matches(lower(text), '(^|[^0-9a-z_])' || cue) end group by all), w(construct, direction, magnitude) as (values {_W})"
+_H = f"q(construct, cue) as (values {_CUES}), h as (select doc_id, construct, least(1.0, 0.4 * count(*))::double as p from documents, q where case when contains(cue, ' ') then contains(lower(text), cue) else regexp_matches(lower(text), '(^|[^0-9a-z_])' || cue) end group by all), w(construct, direction, magnitude) as (values {_W})"
 
 
 def contributions(spark, sf, polar: int):
@@ -252,7 +252,7 @@ def a28(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("batch")).agg(F.count(F.lit(1)).alias("items"), F.round(hours, 6).alias("hours"), F.ceil(hours / 1.5).alias("sittings"))
 
 
-_C8 = f"q(construct, cue) as (values {_CUES}), h as (select conv_id, turn, construct, least(1.0, 0.4 * count(*)) as p from conversations, q where case when contains(cue, ' ') then contains(lower(text), cue) else regexp_matches(lower(text), '(^|[^0-9a-z_])' || cue) end group by all)"
+_C8 = f"q(construct, cue) as (values {_CUES}), h as (select conv_id, turn, construct, least(1.0, 0.4 * count(*))::double as p from conversations, q where case when contains(cue, ' ') then contains(lower(text), cue) else regexp_matches(lower(text), '(^|[^0-9a-z_])' || cue) end group by all)"
 
 
 @query("c8_pairwise_compare", f"with {_C8} select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.turn, b.turn - 1) as turn, round(sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))), 6) as delta from h a full join h b on a.conv_id = b.conv_id and a.turn + 1 = b.turn and a.construct = b.construct group by all")

@@ -60,7 +60,7 @@ def w12(spark, sf):
     return panel.holm(p, "event_type", "p", 0.25).select("event_type", F.round("p", 6).alias("p"), "rejected")
 
 
-_ISL = "select user_id, island, sign, count(*) as n, min(us)::bigint as first, max(us)::bigint as last from (select *, sum(new) over (partition by user_id order by us, us rows unbounded preceding) as island from (select *, case when lag(sign) over w is null or lag(sign) over w <> sign or us - lag(us) over w > 21600000000 then 1 else 0 end as new from (select *, value >= 50 as sign from e) window w as (partition by user_id order by us, us))) group by all"
+_ISL = "select user_id, island::bigint as island, sign, count(*) as n, min(us)::bigint as first, max(us)::bigint as last from (select *, sum(new) over (partition by user_id order by us, us rows unbounded preceding) as island from (select *, case when lag(sign) over w is null or lag(sign) over w <> sign or us - lag(us) over w > 21600000000 then 1 else 0 end as new from (select *, value >= 50 as sign from e) window w as (partition by user_id order by us, us))) group by all"
 
 
 @query("w13_signed_islands", f"with {_E} " + _ISL)
