@@ -287,7 +287,7 @@ def c13(spark, sf):
     return one.groupBy("lang", "gate").agg(N().alias("n"), F.sum(F.col("on_topic").cast("long")).alias("on_topic"))
 
 
-@query("c15_ablation_verdict", f"with {_H}, s as (select doc_id, sum(p * direction * magnitude) as a, count(*) as b from h join w using (construct) group by doc_id), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 as rb from s) select round(corr(ra, rb), 4) as rho, corr(ra, rb) >= 0.95 as barely_reorders from r")
+@query("c15_ablation_verdict", f"with {_H}, s as (select doc_id, round(sum(p * direction * magnitude), 9) as a, count(*) as b from h join w using (construct) group by doc_id), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 as rb from s) select round(corr(ra, rb), 4) as rho, corr(ra, rb) >= 0.95 as barely_reorders from r")
 def c15(spark, sf):
     """Spearman over all documents. Ranks come from counts by value, which are few, so no window holds all rows."""
     s = contributions(spark, sf, 0).groupBy("doc_id").agg(F.round(F.sum("contribution"), 9).alias("a"), N().alias("b"))
