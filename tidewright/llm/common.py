@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,18 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and about `size` bytes of the column; a longer text is a part of its own."""
+    first, held = 0, 0
+    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if k > first and (k - first >= rows or held + (n or 0) > size):
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n or 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

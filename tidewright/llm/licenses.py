@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Scratch, alnum_words, map_batches, raw_bytes, read_table
+from tidewright.llm.common import Scratch, alnum_words, map_batches, raw_bytes, read_table, slices
 
 GRAM, DRIFT, LEAST = 4, 6, 0.6
 #: Phrases that name a license, and their labels.
@@ -75,8 +75,7 @@ def _base():
 
 def _grams():
     def each(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for part in slices(batch, "text", 64):
             keys = [gram_keys(alnum_words(raw)) for raw in raw_bytes(part.column("text"))]
             row = pa.array([k for k, x in enumerate(keys) for _ in x], pa.int32())
             places = pa.array([i for x in keys for i in range(len(x))], pa.int64())
