@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, chats, common, decontaminate, licenses, pii, quality, secrets, simhash, substrings, urls
 
@@ -388,3 +387,23 @@ def test_pipeline_stages(spark, sf):
     assert set(seen["secret scan"]) == set(seen["token ids"]) == set(seen["decontamination"])
     assert not any(secrets.base_spans(r["text"]) for r in seen["secret scan"].values())
     assert len(whole) > len(good) > 0
+
+
+def test_trees_of_many_words_merge_as_one_tree_does():
+    tree = bpe.Bpe(bpe.tokenizer_text())
+    rng = np.random.default_rng(8)
+    words = {"".join(rng.choice(list("thearinéß日"), rng.integers(1, 14))) for _ in range(400)}
+    tree.learn(sorted(words))
+    for w in words:
+        raw = w.encode()
+        ids = tree.merge([*map(tree.inner.__getitem__, raw[:-1]), tree.last[raw[-1]]])
+        assert np.frombuffer(tree.known[w][0], np.uint32).tolist() == ids
+
+
+def test_slices_hold_every_row_once():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (3, 0, 9, 1, 1, 1, 20, 2)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [p.column(0).to_pylist() for p in common.slices(batch, "text", 3, 10)]
+    assert sum(parts, []) == texts and all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in parts)
