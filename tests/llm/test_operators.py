@@ -323,6 +323,13 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.tolist()))
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    ids_texts = [(None, prose(101, 80)), (None, prose(102, 80)), (None, prose(102, 80)), (5, prose(103, 80)), (5, prose(104, 80)), (9, prose(104, 80)), (None, prose(105, 80)), (3, prose(105, 80)), (5, prose(103, 80))]
+    table = spark.createDataFrame([(i, t, "x") for i, t in ids_texts], "doc_id long, text string, row string")
+    kept = rows(simhash.keep_one_of_each(table), "doc_id", "text")
+    assert kept == sorted([(None, prose(101, 80)), (None, prose(102, 80)), (5, prose(103, 80)), (5, prose(104, 80)), (3, prose(105, 80))], key=str)
+
+
 def test_connected_components_of_a_chain(spark):
     from tidewright.llm.graph import connected_components
 

@@ -120,9 +120,9 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, th (hash of the text), fp, component_id.
+    """One row per row of docs(doc_id, text): doc_id, th (hash of the text), fp, component_id, root.
 
-    component_id is the smallest doc_id reachable over links of at most three differing bits. Null or empty texts and texts
+    root is the least fingerprint of the component and names it whatever the ids are. component_id is the smallest doc_id reachable over links of at most three differing bits. Null or empty texts and texts
     without words have fingerprint zero and link as any other; a component whose ids are all null has a null component_id.
     Exact copies share a fingerprint and meet as one node. Extra columns are not read; an empty table gives no rows.
     """
@@ -132,8 +132,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     roots = scratch.keep(connected_components(links(fps, block), scratch), "roots")
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(best, "root").select(F.col("fp").alias("fp_"), "component_id")
-    return own.join(of_fp, F.col("fp") == F.col("fp_")).select("doc_id", "th", "fp", "component_id")
+    of_fp = named.join(best, "root").select(F.col("fp").alias("fp_"), "component_id", "root")
+    return own.join(of_fp, F.col("fp") == F.col("fp_")).select("doc_id", "th", "fp", "component_id", "root")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +142,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their group: the smallest doc_id, once. All columns of docs stay as they are."""
+    """The rows of docs that stand for their component, one each: the smallest doc_id (null only where all are null), then the
+    smallest hash of the text, once. Ids may be null or repeated. All columns of docs stay as they are."""
     own = docs.withColumn("__th", F.xxhash64("text"))
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("th").alias("__kept_th")).withColumnRenamed("doc_id", "__kept_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")).alias("first")
+    kept = near_duplicates(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.th").alias("__kept_th"))
     rows = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & F.col("__th").eqNullSafe(F.col("__kept_th")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return rows.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
