@@ -250,6 +250,15 @@ def test_quality(spark):
     assert kept.columns == docs(spark, []).columns and kept.where(f"doc_id = {n + 5}").first()["n_chars"] == len(good)
 
 
+def test_cleaned_text_holds_equal_lines_once(spark):
+    good = [prose(110 + k, 20) + "." for k in range(12)]
+    twice = ["", *good[:3], "", good[1], "  ", good[1] + " ", "Home | News | About | Contact", good[0], good[3], "  ", good[4], good[1], *good[5:], ""]
+    once = ["", *good[:3], "", "  ", good[1] + " ", good[3], "  ", good[4], *good[5:], ""]
+    got = quality.keep_good(docs(spark, ["\n".join(twice), "\n".join(good)])).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["\n".join(once), "\n".join(good)]
+    assert [r["n_chars"] for r in got] == [len("\n".join(once)), len("\n".join(good))]
+
+
 # ---- 8: licenses
 
 

@@ -53,6 +53,17 @@ def repeated_words(words: Column) -> Column:
     return _let(words, lambda w: F.when(F.size(w) >= 3, _let(F.sort_array(windows(w)), covered)).otherwise(F.lit(0).cast("long")))
 
 
+def first_of_equal(lines: Column) -> Column:
+    """The lines (text, n) in order, without those that hold a word and repeat an earlier line; sorted, not compared pairwise."""
+
+    def firsts(s: Column) -> Column:
+        return F.filter(s, lambda x, j: (x["n"] == 0) | F.coalesce(F.get(s, j - 1)["text"] != x["text"], F.lit(True)))
+
+    placed = F.transform(lines, lambda x, i: F.struct(x["text"].alias("text"), i.alias("i"), x["n"].alias("n")))
+    in_place = _let(F.sort_array(placed), lambda s: F.sort_array(F.transform(firsts(s), lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), x["n"].alias("n")))))
+    return F.transform(in_place, lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n")))
+
+
 def _line_fails(line: Column) -> Column:
     """The verdict of the rules on one line with its number of words n_."""
     text, n = line["text"], line["n"]
@@ -66,7 +77,7 @@ def _line_fails(line: Column) -> Column:
 
 
 def judged(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
-    """row (all columns of docs), cleaned (text without failing lines) and the measures and verdicts of each row of docs(text).
+    """row (all columns of docs), cleaned (text without failing lines and later copies of lines) and the measures and verdicts of each row of docs(text).
 
     Null counts as an empty text: no words, rejected. A document is kept if it passes the base rule (50 words or more, at
     most half of them in repeated windows) and its failing lines hold at most most_lost of its words. Blank lines stay with
@@ -91,7 +102,8 @@ def judged(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     good = F.filter("lines", lambda x: (x["n"] > 0) & ~_line_fails(x))
     kept_words = F.aggregate(F.array_distinct(good), F.lit(0), lambda acc, x: acc + x["n"])
     verdict = measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("kept_words", kept_words.cast("long"))
-    cleaned = F.array_join(F.transform(F.filter("lines", lambda x: (x["n"] == 0) | ~_line_fails(x)), lambda x: x["text"]), "\n")
+    once_each = F.when(F.col("n_dup_lines") > 0, first_of_equal(F.col("lines"))).otherwise(F.col("lines"))
+    cleaned = F.array_join(F.transform(F.filter(once_each, lambda x: (x["n"] == 0) | ~_line_fails(x)), lambda x: x["text"]), "\n")
     return verdict.select(
         "row", cleaned.alias("cleaned"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words", "once",
         (~F.col("base_failed") & ((F.col("n_words") - F.col("kept_words")) <= F.col("n_words") * most_lost)).alias("kept"),
