@@ -93,6 +93,35 @@ def test_field_finds_held_out_secrets():
     assert secrets.field_spans(prose(5, 3000) + " https://example.org/a/b", crf) == []
 
 
+def test_field_finds_short_letter_digit_and_signed_secrets():
+    crf = secrets.trained()
+    lines = [("x pwd: |hunter2pass| and more", 1), ("Authorization: Bearer |qWkzPtXbnLRvYdGh| end", 1), ("passcode: |493021| for the door", 1), ("login pwd=|Tr0ub4dor&3!x| done", 1), ("user_pwd = '|s3cr!t@x|' ok", 1), ("dbPassword=|Xk!4pQ|", 1)]
+    for marked, _ in lines:
+        head, secret, tail = marked.split("|")
+        assert secrets.field_spans(head + secret + tail, crf) == [(len(head), len(head) + len(secret))], marked
+    for text in ("the key role of private companies in access to water", "secret garden of the bearer of bad news", "meet at 10:30 in room: blue", "see https://example.org/a1/b2?x=12 now", "version: 1.2.3 and total = 482913"):
+        assert secrets.field_spans(text, crf) == [], text
+
+
+def test_runs_are_decoded_as_the_whole_chain_of_tokens():
+    crf, rng = secrets.Crf(), np.random.default_rng(8)
+    from itertools import product
+
+    for _ in range(20):
+        crf.unary, crf.pair = rng.normal(size=crf.unary.shape), rng.normal(scale=2, size=(3, 3))
+        data = [list(map(int, rng.integers(0, secrets.BUCKETS, 4))) for _ in range(3)]
+        u, t = crf.scores(data), crf.transitions()
+        value = lambda p: sum(u[i, p[i]] for i in range(3)) + sum(t[a, b] for a, b in zip((0, *p), (*p, 0)))  # noqa: E731, B023
+        assert tuple(crf.decode(data, True, True)) == max(product(range(3), repeat=3), key=value)
+    found = secrets.runs_of("one pwd: hunter2zzz, abc def ghi jkl mno")
+    assert [(len(run), before, after) for run, before, after in found] == [(4, True, True)]
+
+
+def test_redaction_of_short_secrets(spark):
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, ["x pwd: hunter2pass and more", "the key role of a bearer of news"])).collect()}
+    assert out == {0: "x pwd: [SECRET] and more", 1: "the key role of a bearer of news"}
+
+
 def test_viterbi_is_the_best_path():
     crf, rng = secrets.Crf(), np.random.default_rng(3)
     crf.unary, crf.pair = rng.normal(size=crf.unary.shape), rng.normal(size=(3, 3))

@@ -1,8 +1,10 @@
 """Secrets: fixed patterns, and a linear-chain conditional random field over tokens for what the patterns miss.
 
-Tags are outside (0), begin (1) and inside (2). The field's hard constraints: only a token of secret-like shape (long, with
-letters and digits) may begin or continue a secret, and nothing but begin or inside comes before inside. All tokens between
-such tokens are outside, so the Viterbi path of a text falls apart at them and is decoded run by run, exactly.
+Tags are outside (0), begin (1) and inside (2). Tokens are runs without blanks and quotes that hold a letter or digit. The
+field's hard constraints: a token may begin or continue a secret if it is one of the NEAR tokens after a naming word, or the
+one after a colon or equals sign, whatever its length and characters, or anywhere if it is SHAPED with a letter and a digit;
+nothing but begin or inside comes before inside. All other tokens are outside, so the Viterbi path of a text falls apart at
+them and is decoded run by run; the transitions from and to the outside tokens beside a run are scored, so this is exact.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +28,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Tokens that may carry a tag; the second test asks for a letter and a digit.
-SHAPED = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
-BUCKETS, SECRET_WORDS = 4096, {"password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "bearer", "authorization", "credential", "private", "access", "aws"}
+#: Tokens that may carry a tag anywhere; the second test asks for a letter and a digit.
+SHAPED = re.compile(r"(?<![A-Za-z0-9+/_=.!@#$%^&*~?-])[A-Za-z0-9+/_=.!@#$%^&*~?-]{8,}")
+BUCKETS, NEAR = 4096, 4
+SECRET_WORDS = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "pin", "otp", "code", "secret", "token", "key", "apikey", "api_key", "bearer", "authorization", "credential", "credentials", "private", "access", "aws"}
+NAME_ROOTS = ("pass", "pwd", "pin", "otp", "code", "secret", "token", "key", "bearer", "authorization", "credential", "private", "access", "aws")
+NAMING = re.compile(r"(?<![A-Za-z])(?i:password|passwd|pwd|pass|passphrase|passcode|pin|otp|code|secret|token|api_?key|key|bearer|authorization|credentials?|private|access|aws)(?![A-Za-z0-9])|(?<=[a-z])(?:Password|Passwd|Pwd|Secret|Token|Key)(?![a-z0-9])", re.ASCII)
+SEPARATOR = re.compile(r"""(?<=[A-Za-z0-9_\])"'`])\x20?[:=](?!//)""", re.ASCII)
+#: A token after leading signs; a name with its separator is passed over, so that the value is a token of its own.
+TOKEN = re.compile(r"""[^\s"'`]+""")
+HEAD = re.compile(r"[(\[{<:=,;|>-]*(?:[A-Za-z][A-Za-z_-]*[:=]+(?!//))?[(\[{<]*")
 DENIED = -1e9
 
 
@@ -47,8 +58,53 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[^A-Za-z0-9]", "-", re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", token)))))[:24]
 
 
+def _tokens_after(text: str, at: int, count: int) -> list[tuple[int, int]]:
+    """The first `count` tokens from `at` on."""
+    out = []
+    for m in TOKEN.finditer(text, at):
+        start, end = m.start() + HEAD.match(m[0]).end(), m.start() + len(m[0].rstrip(".,;:)]}>"))
+        if any(c.isalnum() for c in text[start:end]):
+            out.append((start, end))
+            if len(out) == count:
+                break
+    return out
+
+
+def _tokens_near(text: str, marks: re.Pattern, count: int) -> Iterator[tuple[int, int]]:
+    """The first `count` tokens after each mark. A mark inside the token after the one before it has the same tokens after it and
+    is passed over, so that a long token with many marks is read once."""
+    held = -1
+    for m in marks.finditer(text):
+        if m.end() < held:
+            continue
+        found = _tokens_after(text, m.end(), count)
+        if found:
+            held = found[0][1]
+            while not text[held - 1].isalnum():
+                held -= 1
+        yield from found
+
+
 def candidate_tokens(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in SHAPED.finditer(text) if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])]
+    """Tokens that may carry a tag, in order; where a shaped token meets one near a name or separator, that one counts."""
+    near: set[tuple[int, int]] = set()
+    low = text.lower()
+    if any(w in low for w in NAME_ROOTS):
+        near.update(_tokens_near(text, NAMING, NEAR))
+    if ":" in text or "=" in text:
+        near.update(_tokens_near(text, SEPARATOR, 1))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(near, key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    shaped = []
+    for m in SHAPED.finditer(text):
+        a, b = m.start(), m.start() + len(m[0].rstrip("."))
+        if b - a >= 8 and re.search(r"[0-9]", text[a:b]) and re.search(r"[A-Za-z]", text[a:b]):
+            k = bisect_right(out, (a, b))
+            if not (k and out[k - 1][1] > a) and not (k < len(out) and out[k][0] < b):
+                shaped.append((a, b))
+    return sorted(out + shaped) if shaped else out
 
 
 def file_features(text: str) -> list[str]:
@@ -63,6 +119,13 @@ def token_features(text: str, start: int, end: int, of_file: list[str]) -> list[
     before, after = text[max(0, start - 40) : start], text[end : end + 12]
     words = re.findall(r"[A-Za-z_]+", before)[-2:]
     mix = len(set(token)) / min(len(token), 62)
+    letters, digits = sum(c.isalpha() for c in token), sum(c.isdigit() for c in token)
+    kind = "word" if re.fullmatch(r"[^\W\d_]?[^\W\dA-Z_]*", token) else "letters" if letters == len(token) else "digits" if digits == len(token) else "plain" if letters + digits == len(token) else "signs"
+    hard = max(map(len, re.findall(r"[bcdfghjklmnpqrstvwxz]+", token.lower())), default=0)
+    parted = before.rstrip(" \t\"'`")[-1:] in (":", "=")
+    named = [{w.lower().strip("_"), *w.lower().split("_"), *(x.lower() for x in re.findall(r"[A-Z][a-z]+$", w))} for w in words]
+    naming = next((sorted(x & SECRET_WORDS)[0] for x in reversed(named) if x & SECRET_WORDS), "")
+    beside = bool(words) and naming in named[-1] and not re.search(r"[0-9]|\w\W+$", before[before.rfind(words[-1]) + len(words[-1]) :])
     names = [
         "bias",
         f"shape={shape(token)[:6]}",
@@ -77,6 +140,11 @@ def token_features(text: str, start: int, end: int, of_file: list[str]) -> list[
         *(f"prev{i}={w.lower() in SECRET_WORDS}" for i, w in enumerate(reversed(words))),
         f"any={any(w.lower().strip('_') in SECRET_WORDS for w in words)}",
         f"next={after[:1]}",
+        f"kind={kind}",
+        f"kind={kind},parted={parted},naming={naming}",
+        f"kind={kind},parted={parted},beside={beside and naming}",
+        f"kind={kind},parted={parted},hard={min(5, hard)},named={bool(naming)}",
+        f"kind={kind},size={min(9, len(token) // 2)},parted={parted},beside={beside}",
         *of_file,
     ]
     return [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % BUCKETS for x in names]
@@ -96,24 +164,26 @@ class Crf:
         out[0, 2] = DENIED
         return out
 
-    def fit(self, data: list[tuple[list[list[int]], list[int]]], rounds: int, rate: float = 0.3, decay: float = 1e-4) -> Crf:
-        """Stochastic gradient of the conditional log likelihood by forward-backward, with per-weight step sizes."""
+    def fit(self, data: list[tuple[list[list[int]], list[int], bool, bool]], rounds: int, rate: float = 0.3, decay: float = 1e-4) -> Crf:
+        """Stochastic gradient of the conditional log likelihood by forward-backward, with per-weight step sizes.
+        Each run comes with its tags and whether outside tokens stand before and after it."""
         seen_u, seen_p = np.full((BUCKETS, 3), 1e-6), np.full((3, 3), 1e-6)
         order = list(range(len(data)))
         rng = random.Random(5)
         for _ in range(rounds):
             rng.shuffle(order)
             for k in order:
-                rows, tags = data[k]
+                rows, tags, before, after = data[k]
                 u, t = self.scores(rows), self.transitions()
                 n = len(rows)
                 fwd, bwd = np.zeros((n, 3)), np.zeros((n, 3))
-                fwd[0] = u[0] + np.array([0, 0, DENIED])
+                fwd[0] = u[0] + np.array([0, 0, DENIED]) + before * t[0]
+                bwd[-1] = after * t[:, 0]
                 for i in range(1, n):
                     fwd[i] = u[i] + np.logaddexp.reduce(fwd[i - 1][:, None] + t, axis=0)
                 for i in range(n - 2, -1, -1):
                     bwd[i] = np.logaddexp.reduce(t + (u[i + 1] + bwd[i + 1])[None, :], axis=1)
-                total = np.logaddexp.reduce(fwd[-1])
+                total = np.logaddexp.reduce(fwd[-1] + bwd[-1])
                 marginal = np.exp(fwd + bwd - total)
                 for i, r in enumerate(rows):
                     g = -marginal[i]
@@ -122,8 +192,14 @@ class Crf:
                     step = g - decay * self.unary[idx]
                     seen_u[idx] += step**2
                     self.unary[idx] += rate * step / np.sqrt(seen_u[idx])
-                if n > 1:
+                if n > 1 or before or after:
                     g = np.zeros((3, 3))
+                    if before:
+                        g[0] -= marginal[0]
+                        g[0, tags[0]] += 1
+                    if after:
+                        g[:, 0] -= marginal[-1]
+                        g[tags[-1], 0] += 1
                     for i in range(1, n):
                         g -= np.exp(fwd[i - 1][:, None] + t + (u[i] + bwd[i])[None, :] - total)
                         g[tags[i - 1], tags[i]] += 1
@@ -131,15 +207,15 @@ class Crf:
                     self.pair += rate * g / np.sqrt(seen_p)
         return self
 
-    def decode(self, rows: list[list[int]]) -> list[int]:
-        """The best tag path by Viterbi; of equal paths the one with the smaller tags."""
+    def decode(self, rows: list[list[int]], before: bool = False, after: bool = False) -> list[int]:
+        """The best tag path by Viterbi; of equal paths the one with the smaller tags. before, after: outside tokens are there."""
         u, t = self.scores(rows), self.transitions()
-        best, back = u[0] + np.array([0, 0, DENIED]), []
+        best, back = u[0] + np.array([0, 0, DENIED]) + before * t[0], []
         for i in range(1, len(rows)):
             all_ = best[:, None] + t
             back.append(all_.argmax(axis=0))
             best = all_.max(axis=0) + u[i]
-        tags = [int(best.argmax())]
+        tags = [int((best + after * t[:, 0]).argmax())]
         for b in reversed(back):
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
@@ -147,15 +223,42 @@ class Crf:
 
 def training_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, bool]]]]:
     """Labelled lines made by rule: (text, [(start, end, begins)]). Secrets are random strings after naming words, alone or in
-    two parts; the rest are paths, identifiers, versions, dates, addresses and reference numbers of like length."""
+    two parts, long or short, also of letters or digits alone or with signs; the rest are paths, identifiers, versions, dates,
+    addresses and reference numbers of like length, plain values after separators, and naming words in prose."""
     rng = random.Random(seed)
     base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     words = ["build", "report", "alpha", "module", "north", "value", "server", "table", "north_east", "index", "draft", "plan"]
     some = lambda alphabet, low, high: "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
+    word = lambda: "".join(rng.choice(["ba", "re", "ton", "lin", "st", "er", "mo", "du", "al", "in", "ce", "po"]) for _ in range(rng.randint(1, 4)))
+    plain = lambda n: " ".join(word() if rng.random() < 0.6 else rng.choice(words + ["the", "of", "to", "and", "is", "for"]) for _ in range(n))
+    signed = lambda: word().title() + rng.choice("!@#$%^&*") + some(base62, 3, 8) + rng.choice(["", *"!@#$%^&*"])
+    mixed = lambda: rng.choice([word() + str(rng.randint(1, 99)) + word(), some(base62, 5, 12) + "4z"])
     out = []
     for _ in range(count):
         text, spans = " ".join(rng.choices(words, k=rng.randint(0, 6))) + " ", []
-        if rng.random() < 0.5:
+        kind = rng.random()
+        if kind < 0.25:
+            named, value = rng.choice([
+                (["pwd: ", "pwd=", "passphrase: ", "user_pwd = ", "dbPassword: ", "pass: ", 'credential="', "the pwd is "], rng.choice([signed, mixed, mixed, lambda: some(base62[:52], 6, 20), lambda: word() + word()])),
+                (["Bearer ", "authorization: Bearer ", "bearer token "], lambda: some(base62[:52], 10, 40)),
+                (["pin: ", "passcode: ", "otp = ", "access code: ", "pin code ", "passcode is "], lambda: some("0123456789", 4, 10)),
+                (["access key: ", "private key = ", "aws key: ", "api key: "], rng.choice([signed, mixed, lambda: some(base62[:52], 8, 30)])),
+            ])
+            text += rng.choice(named)
+            s = value()
+            spans.append((len(text), len(text) + len(s), True))
+            text += s
+        elif kind < 0.5:
+            text += rng.choice([
+                f"{rng.choice(['the key', 'access to', 'private', 'secret', 'bearer of', 'a token of', 'authorization for', 'the code', 'a pass', 'pin', 'credentials of'])} {plain(rng.randint(1, 5))}",
+                f"{rng.choice(['note', 'see', 'total', 'title', 'value', 'name', 'key', 'code', 'access', word()])}{rng.choice([': ', ' = ', '='])}{plain(rng.randint(1, 3))}",
+                f"{rng.choice(['total', 'value', 'page', 'year', 'order', word()])}{rng.choice([': ', ' = ', '='])}{rng.randint(1, 10**rng.randint(1, 9))}",
+                f"at {rng.randint(1, 23)}:{rng.randint(10, 59)} {plain(2)}",
+                f"{word()}.{word()}{rng.randint(1, 99)}@{word()}.org",
+                f"{word()}{rng.choice([': ', ' ', ' = '])}{word()}{rng.randint(1, 2030)}{rng.choice(['', word()])}",
+                f"https://{word()}.org/{word()}{rng.randint(1, 99)}?{word()}={rng.randint(1, 99)}",
+            ])
+        elif kind < 0.75:
             text += rng.choice(["pwd: ", "private key = ", "Bearer ", "authorization: ", "access key ", 'credential="', "aws key: ", "secret key is "])
             for part in range(rng.choice([1, 1, 1, 2])):
                 s = rng.choice(["", "", "sk-", "ghp_", "xox-"]) + some(base62, 20, 44) + "7q"
@@ -176,6 +279,19 @@ def training_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int
     return out
 
 
+def runs_of(text: str) -> list[tuple[list[tuple[int, int]], bool, bool]]:
+    """Runs of taggable tokens with no other token between them, and whether outside tokens stand before and after each."""
+    runs: list[list[tuple[int, int]]] = []
+    for a, b in candidate_tokens(text):
+        if runs and not any(c.isalnum() for c in text[runs[-1][-1][1] : a]):
+            runs[-1].append((a, b))
+        else:
+            runs.append([(a, b)])
+    last = len(runs) - 1
+    # between two runs there are outside tokens
+    return [(r, k > 0 or any(c.isalnum() for c in text[: r[0][0]]), k < last or any(c.isalnum() for c in text[r[-1][1] :])) for k, r in enumerate(runs)]
+
+
 @lru_cache(maxsize=4)
 def trained(lines: int = 1200, rounds: int = 4) -> Crf:
     """The field fitted on a bounded set of labelled lines; `lines` is the bound."""
@@ -183,26 +299,17 @@ def trained(lines: int = 1200, rounds: int = 4) -> Crf:
     for text, spans in training_lines(lines):
         tags = {a: 1 if begins else 2 for a, _, begins in spans}
         of_file = file_features(text)
-        if found := candidate_tokens(text):
-            data.append(([token_features(text, a, b, of_file) for a, b in found], [tags.get(a, 0) for a, _ in found]))
+        for run, before, after in runs_of(text):
+            data.append(([token_features(text, a, b, of_file) for a, b in run], [tags.get(a, 0) for a, _ in run], before, after))
     return Crf().fit(data, rounds)
 
 
 def field_spans(text: str, crf: Crf) -> list[tuple[int, int]]:
     """Spans that the field tags as secrets: from each begin to its last inside."""
-    tokens = candidate_tokens(text)
-    if not tokens:
-        return []
-    of_file, out = file_features(text), []
-    runs: list[list[tuple[int, int]]] = []
-    for a, b in tokens:
-        gap = text[runs[-1][-1][1] : a] if runs else ""
-        if runs and len(gap) <= 3 and not any(c.isalnum() for c in gap):
-            runs[-1].append((a, b))
-        else:
-            runs.append([(a, b)])
-    for run in runs:
-        for (a, b), tag in zip(run, crf.decode([token_features(text, a, b, of_file) for a, b in run])):
+    of_file, out = None, []
+    for run, before, after in runs_of(text):
+        of_file = of_file or file_features(text)
+        for (a, b), tag in zip(run, crf.decode([token_features(text, a, b, of_file) for a, b in run], before, after)):
             if tag == 1:
                 out.append((a, b))
             elif tag == 2:
