@@ -85,6 +85,14 @@ def test_writer_refuses_repeated_keys_and_forbidden_columns(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "x")).count() == 1
 
 
+def test_similar_items_hold_every_row(spark):
+    ten = [f"t{k}" for k in range(10)]
+    texts = [" ".join(ten), " ".join(reversed(ten)), " ".join(ten + ten[:3]), " ".join(ten[:9]), "alone here", "", "", "twice twice", "twice"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: (r["class_id"], r["copies"], r["links"]) for r in duplicates.similar_items(rows, "id", X.whitespace_tokens(F.col("t")), 0.9).collect()}
+    assert got == {0: (0, 3, 3), 1: (0, 3, 3), 2: (0, 3, 3), 3: (3, 1, 3), 4: (4, 1, 0), 5: (None, 0, 0), 6: (None, 0, 0), 7: (7, 2, 1), 8: (7, 2, 1)}
+
+
 def test_similar_pairs_at_the_threshold(spark):
     sets = [(1, "a b c d e f g h i"), (2, "a b c d e f g h i j"), (3, "a b c d e f g h x y"), (4, ""), (5, ""), (6, "a b c d e f g h i")]
     rows = spark.createDataFrame(sets, "id long, t string")

@@ -44,3 +44,20 @@ def similar_pairs(rows: DataFrame, key: str, tokens: Column, threshold: float) -
     sa, sb = classes.select(F.col("id").alias("a"), F.col("set").alias("sa")), classes.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+
+
+def similar_items(rows: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
+    """(key, class_id, copies, links) of every row: its class of equal token sets, the rows of that class, and how many other rows,
+    copies included, have a set at least threshold similar. Empty sets match nothing: null, 0, 0.
+    """
+    sets = rows.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("set"))
+    classes = sets.where(F.size("set") > 0).groupBy("set").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    digest = lambda: F.sha2(F.array_join(F.transform("set", lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), ""), 256)
+    pairs = similar_pairs(rows, key, tokens, threshold)
+    sizes = classes.select(F.col("class_id").alias("b"), F.col("copies").alias("others"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(sizes, "b").groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "class_id")
+    # joined by a digest, not by the grouped set: both sides come straight from a shuffle, so a large class can be split
+    named = classes.join(linked, "class_id", "left").select(digest().alias("digest"), "class_id", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    whole = sets.select(key, F.when(F.size("set") > 0, digest()).alias("digest")).join(named, "digest", "left")
+    return whole.select(key, "class_id", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -54,6 +54,14 @@ def j5(spark, sf):
     return duplicates.similar_pairs(docs_of(spark, sf), "doc_id", X.tokenise(F.col("text")), 0.9).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+_ITEMS = f"with d as (select doc_id, list_sort(list_distinct({TOK})) as s from documents), c as (select s, min(doc_id) as id, count(*) as n from d where len(s) > 0 group by s), p as (select a.id as a, b.n as n, len(list_intersect(a.s, b.s)) as i, len(a.s) as na, len(b.s) as nb from c a join c b on a.id <> b.id and len(a.s) >= len(b.s) * 0.9 - 1e-9 and len(b.s) >= len(a.s) * 0.9 - 1e-9), l as (select a, sum(n) as n from p where i / (na + nb - i) >= 0.9 - 1e-12 group by a)"
+
+
+@query("j5_near_dup_items", _ITEMS + " select doc_id, c.id as class_id, coalesce(c.n, 0)::bigint as copies, coalesce(c.n - 1 + coalesce(l.n, 0), 0)::bigint as links from d left join c on d.s = c.s left join l on l.a = c.id")
+def j5_items(spark, sf):
+    return duplicates.similar_items(docs_of(spark, sf), "doc_id", X.tokenise(F.col("text")), 0.9)
+
+
 @query("j6_memorisation_probe", f"with q as (select item_id, list_distinct({WS}) as qs from benchmark), r as (select doc_id, list_distinct({WS}) as rs from documents), p as (select item_id, doc_id, round(len(list_intersect(qs, rs)) / (len(qs) + len(rs) - len(list_intersect(qs, rs))), 9) as score from q, r) select item_id, doc_id, round(score, 6) as score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as k from p) where k = 1")
 def j6(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(X.whitespace_tokens(F.col("text"))).alias("qset"))
