@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, chats, common, decontaminate, licenses, pii, quality, secrets, simhash, substrings, urls
 
@@ -169,18 +171,52 @@ def brute_repeats(texts):
 
 def test_substring_dedup(spark):
     shared = prose(9, 90)
-    texts = ODD[:10] + [prose(20 + k, 40) + " " + " ".join(shared.split()[k % 7 : 60 + k]) + " " + prose(50 + k, 20) for k in range(12)]
+    texts = ODD + [prose(20 + k, 40) + " " + " ".join(shared.split()[k % 7 : 60 + k]) + " " + prose(50 + k, 20) for k in range(12)]
     texts += ["q " * 36, "q " * 35, "ab cd " * 40, prose(90, 34), prose(90, 34), prose(91, 35), prose(91, 35) + " z"]
     got = rows(substrings.remove_repeats(docs(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(brute_repeats(texts), key=str)
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_substring_index_is_incremental(spark):
-    index = substrings.FingerprintIndex(common.Scratch(spark, "test"))
-    found = [set(r[0] for r in index.ingest(spark.createDataFrame([(h,) for h in batch], "h long")).collect()) for batch in ([1, 2, 2], [3, 1], [4], [2, 5, 5], [4, 3])]
+def test_wholly_equal_rows_take_linear_work(spark):
+    texts = [prose(300, 400)] * 10_000 + [prose(301, 50) + " " + " ".join(prose(300, 400).split()[100:150]) + " " + prose(302, 50)]
+    table = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    began = time.perf_counter()
+    got = Counter((r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(table).collect())
+    assert got == {(400, 400): 10_000, (150, 50): 1}
+    assert time.perf_counter() - began < 120
+
+
+def test_substring_index_opens_again_for_the_next_batch(spark, tmp_path):
+    shared, long_ = prose(9, 90), prose(11, 200).split()
+    one = ["", None, prose(20, 60) + " " + shared, prose(21, 80), prose(22, 80), prose(22, 80), " ".join(long_)]
+    two = [prose(23, 20) + " " + " ".join(shared.split()[5:70]) + " " + prose(24, 30), prose(21, 80), prose(25, 60), prose(25, 60) + " tail", " ".join(long_[30:90]) + " x " + " ".join(long_[91:150]), None, "short"]
+    three = [" ".join(prose(23, 20).split()[-10:] + shared.split()[5:40]), prose(26, 70), prose(22, 80) + " more"]
+    path, before = str(tmp_path / "index"), []
+    for batch in (one, two, three):
+        got = rows(substrings.remove_repeats(docs(spark, batch, len(before)), 2, path), "doc_id", "n_words", "n_removed", "kept_sha256")
+        want = [r for r in brute_repeats(before + batch) if r[0] >= len(before)]
+        assert got == sorted(want, key=str)
+        before += batch
+    assert substrings.FingerprintIndex(spark, path).version == 3
+
+
+def test_substring_index_is_incremental(spark, tmp_path):
+    scratch, found = common.Scratch(spark, "test"), []
+    for batch in ([1, 2, 2], [3, 1], [4], [2, 5, 5], [4, 3]):
+        index = substrings.FingerprintIndex(spark, str(tmp_path / "runs"), 3)
+        found.append({r[0] for r in index.ingest(spark.createDataFrame([(h,) for h in batch], "h long"), scratch).collect()})
+        index.commit()
     assert found == [{2}, {1}, set(), {2, 5}, {3, 4}]
-    assert [level for level, _, _ in index.runs] == [2, 0]
+    assert [level for level, _ in index.runs] == [2, 0]
+
+
+def test_runs_merge_without_an_exchange(spark, tmp_path):
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "runs"))
+    one, two = (index._write(spark.range(1000).select((F.col("id") * k).alias("h"), F.lit(1).cast("long").alias("n"))) for k in (2, 3))
+    with substrings._sorted_buckets(spark):
+        plan = index._run(one).select("h").join(index._run(two).select("h").hint("merge"), "h", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Sort ") == 0
 
 
 def test_minimizers_cover_every_window_once():

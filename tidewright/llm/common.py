@@ -56,13 +56,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where the setting is absent."""
+    """The shared folder that the cluster names. Where the setting is absent a local session gets a temporary one; on a cluster
+    that would be a folder of each machine's own, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = "file://" + tempfile.mkdtemp(prefix="tidewright-")
     spark.sparkContext.setCheckpointDir(root)
     return root
@@ -75,6 +78,7 @@ class Scratch:
         self.spark = spark
         share_package(spark)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
+        MADE.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -84,10 +88,37 @@ class Scratch:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
-    def drop(self, table: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop(self, table: str) -> None:
+        self._delete(self.path(table))
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+
+#: The folders made so far. Results are lazy and read them, so they stay until clear_scratch() is called.
+MADE: list[Scratch] = []
+
+
+def clear_scratch() -> None:
+    """Removes the intermediate tables of all operators called so far. Call it when their results have been read or written."""
+    while MADE:
+        MADE.pop().clear()
+
+
+SALTS = 16
+
+
+def join_dealt(rows: DataFrame, book: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with book(key, ...), which holds each key once, where a key may be hot among the rows: every key of the book
+    stands SALTS times, and a key's rows are dealt over them by a hash of the whole row."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = book.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
 
 def small_enough(df: DataFrame, column: str, max_bytes: int) -> bool:
     """True if the column's bytes, counted over all rows, fit the bound: only then may the table be gathered and broadcast."""
