@@ -1,25 +1,29 @@
 """Personal data by weak supervision.
 
-Fixed patterns find the base spans. Beyond them, wider candidate spans are voted on by labelers of three kinds: patterns
-(form), gazetteers (given names, dialling codes, domain endings) and context (words beside the span). Expectation
-maximisation over the counts of all vote patterns of all documents estimates each labeler's reliability and a posterior for
-each pattern. A logistic span classifier is then fitted to the posteriors on the span's own form and context, and a candidate
-that it accepts and that meets no base span is added. Only counts by vote pattern and feature cell, whose number is fixed by
-the labelers, reach the driver.
+Fixed patterns find the base spans. Beyond them, wider candidate spans of three kinds (names, numbers, addresses) are voted on by
+six labelers a kind: patterns (form), gazetteers (given names, dialling codes, domain endings) and context (words beside the
+span). A labeler votes yes, no or not at all, and no candidate is thrown away before the votes; the base patterns' own matches
+are candidates as well, on which the pattern labeler votes yes, so that context is learnt from them. Expectation maximisation
+over the counts of all vote patterns of all documents, for each kind by itself, estimates the labelers' reliabilities and a
+posterior for each pattern. A logistic span classifier is then fitted to the posteriors on hashed features of the span's words
+and neighbours, not on the votes. A candidate that it accepts and that meets no base span is added.
+
+The driver receives counts by vote pattern (a number fixed by the labelers) and, for the classifier, a sample bounded by SAMPLE.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from bisect import bisect_right
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Scratch, map_batches, read_table
+from tidewright.llm.common import Scratch, map_batches, read_table, slices
 
 KINDS = ("email", "ip", "card", "phone", "person", "number", "address")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -27,18 +31,37 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Candidates: digit groups, names of two or three capitalised words, and things with an at sign.
-NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}(?![A-Za-z0-9])")
-PERSON = re.compile(r"(?<![A-Za-z])(?:[A-Z][a-z]+\x20){1,4}[A-Z][a-z]+(?![A-Za-z])")
+#: Candidates: runs of capitalised words, whose parts of two or three different words may be names; digit groups; at signs.
+RUN = re.compile(r"(?<![\w'’-])[^\W\d_a-zß-öø-ÿ](?:\.|[^\W\d_]*(?:[-'’][^\W\d_]+)*)(?:\x20[^\W\d_a-zß-öø-ÿ](?:\.(?=\x20)|[^\W\d_]*(?:[-'’][^\W\d_]+)*))+")
+NUMBER = re.compile(r"(?<![\w+])\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}(?!\w)")
 AT_SIGN = re.compile(r"(?<![^\s<(])[^\s<>()@,;]{1,64}(?:@|\x20?[\[(]at[\])]\x20?)[^\s<>()@,;]{2,100}")
+FORMS = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|\+?[0-9]{1,3}(?:[ ./-][0-9]{2,4}){2,6}|00[1-9][0-9]{8,13}|0[1-9](?:[ .][0-9]{2}){4}")
+NEIGHBOUR = re.compile(r"[^\W_]+")
 #: Words of the gazetteer and context labelers.
-GIVEN_NAMES = frozenset("anna maria james john mary robert patricia michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah carlos ana luis carmen jose pierre marie jean claire hans peter klaus petra ursula stefan".split())
-TITLES = frozenset("mr mrs ms dr herr frau monsieur madame senor senora contact name signed attn dear".split())
-NEAR_NUMBER = frozenset("phone tel telephone mobile call fax contact ssn passport iban account card born dob id".split())
-NOT_NUMBER = frozenset("version isbn page pages order invoice chapter figure table section total sum population year".split())
-NEAR_ADDRESS = frozenset("email mail contact write address reach".split())
+GIVEN_NAMES = frozenset(
+    "anna maria james john mary robert patricia michael linda david elizabeth william barbara richard susan joseph jessica thomas "
+    "sarah carlos ana luis carmen jose josé pierre marie jean claire hans peter klaus petra ursula stefan jürgen günter hélène "
+    "françois andré maría lucía sofía javier miguel pablo elena laura martin paul emma julia daniel".split()
+)
+TITLES = frozenset("mr mrs ms dr prof herr frau monsieur madame mme señor señora sr sra".split())
+NAME_BEFORE = frozenset("contact name named signed attn dear by nombre nom llamado appelé heißt namens patient employee customer author".split())
+NAME_AFTER = frozenset("said says wrote lives born aged told called sagte wohnt geboren dijo vive nació dit habite né née".split())
+NOT_NAME = frozenset(
+    "the a an this that these for from in on at of and or to with is it der die das und ein eine von zu el la los las de en un una y "
+    "le les du des et une license version university company inc ltd gmbh street road avenue river lake mount north south east west "
+    "new old great grand central national international general public united states january february march april may june july "
+    "august september october november december monday tuesday wednesday thursday friday saturday sunday home news about".split()
+)
+NEAR_NUMBER = frozenset("phone tel telephone telefon teléfono téléphone mobile handy móvil call fax contact ssn passport iban account card born dob id".split())
+NOT_NUMBER = frozenset("version isbn page pages order invoice chapter figure table section total sum population year serial item article code".split())
+UNITS = frozenset("km m kg euros euro dollars usd eur percent items people times units bytes rows years".split())
+DIALLING = ("001", "0033", "0034", "0044", "0049", "0039", "0041", "0043", "+1", "+33", "+34", "+44", "+49", "+39", "+41", "+43", "0800")
+NEAR_ADDRESS = frozenset("email mail contact write address reach correo courriel adresse kontakt".split())
+NOT_ADDRESS = frozenset("git ssh scp price rate each sold user".split())
 ENDINGS = frozenset("com org net edu gov de fr es uk eu io".split())
-LABELERS = 6
+LABELERS, NO, YES, UNVOTED = 6, 1, 2, 0.02
+#: Hashed features of the span classifier, and the most distinct candidates of one kind and side that it is fitted on.
+FEATURES, SAMPLE = 4096, 4000
 
 
 def _luhn(digits: str) -> bool:
@@ -78,61 +101,129 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-@dataclass
-class Candidate:
-    kind: int
-    start: int
-    end: int
-    votes: int  # base-3 number: 0 abstains, 1 no, 2 yes
-    cell: int  # form and context of the span, bucketed
+def _words_before(text: str, at: int) -> list[str]:
+    return NEIGHBOUR.findall(text[max(0, at - 40) : at].lower())[-3:]
 
 
-def candidates(text: str) -> list[Candidate]:
-    """Wider spans with the votes of the labelers and their feature cell."""
+def _word_after(text: str, at: int) -> str:
+    m = NEIGHBOUR.search(text, at, at + 24)
+    return m[0].lower() if m else ""
+
+
+def _form(word: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:24]))
+
+
+def _hashed(kind: int, names: list[str]) -> list[int]:
+    return sorted({crc32(f"{kind}|{x}".encode("utf-8", "surrogatepass")) % FEATURES for x in names})
+
+
+def _pack(votes: tuple[int, ...]) -> int:
+    out = 0
+    for v in votes:
+        out = out * 3 + v
+    return out
+
+
+Candidate = tuple[int, int, int, int, list[int]]  # kind, start, end, votes as a base-3 number, features
+
+
+def _person_candidates(text: str) -> list[Candidate]:
     out = []
-    for kind, pattern in ((4, PERSON), (5, NUMBER), (6, AT_SIGN)):
-        if kind == 6 and "@" not in text and "at]" not in text and "at)" not in text:
+    for m in RUN.finditer(text):
+        words, at = [], m.start()
+        for w in m[0].split(" "):
+            words.append((w, w.lower().rstrip("."), at, at + len(w)))
+            at += len(w) + 1
+        if not all(w[0].isupper() for w, _, _, _ in words):
             continue
-        for m in pattern.finditer(text):
-            before = re.findall(r"[a-z]+", text[max(0, m.start() - 30) : m.start()].lower())[-3:]
-            span, start = m[0], m.start()
-            while kind == 4 and span.partition(" ")[0].lower() in TITLES:  # a title is context, not name
-                head, _, span = span.partition(" ")
-                start += len(head) + 1
-                before = [*before, head.lower()]
-            digits = sum(c.isdigit() for c in span)
-            near, against = 0, 0
-            if kind == 4:
-                words = span.lower().split()
-                if len(words) < 2:
+        before, after = _words_before(text, m.start()), _word_after(text, m.end())
+        opens = text[: m.start()].rstrip(" ")[-1:] if m.start() < 2 else text[max(0, m.start() - 2) : m.start()].rstrip(" ")[-1:]
+        for i in range(len(words)):
+            for n in (2, 3):
+                part = words[i : i + n]
+                low = [x for _, x, _, _ in part]
+                if len(part) < n or len(set(low)) < n or len(part[-1][1]) < 2:
                     continue
-                listed = words[0] in GIVEN_NAMES
-                if not listed and not TITLES.intersection(before[-1:]):
-                    continue  # no labeler but the weak form rule has anything to say
-                form, names = 2 if len(words) == 2 else 0, 2 if listed else 1
-                near = 2 if TITLES.intersection(before[-1:]) else 1
-                shape = min(3, len(words))
-            elif kind == 5:
-                form = 2 if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}|00[0-9]{8,13}", span) else 1
-                names = 2 if span.startswith(("00", "0800", "+")) else 0
-                near = 2 if NEAR_NUMBER.intersection(before) else 0
-                against = 1 if NOT_NUMBER.intersection(before) else 0
-                shape = min(3, digits // 5)
-            else:
-                form = 2 if re.search(r"[A-Za-z0-9]\.[A-Za-z]{2,}$", span) else 1
-                names = 2 if span.lower().rsplit(".", 1)[-1] in ENDINGS else 1
-                near = 2 if NEAR_ADDRESS.intersection(before) else 0
-                shape = min(3, len(span) // 12)
-            plain = 1 if digits == len(span) or span.isupper() else 0
-            short = 1 if len(span) < 6 else 0
-            votes = 0
-            for v in (form, names, near, against, plain, short):
-                votes = votes * 3 + v
-            cell = ((((kind - 4) * 4 + shape) * 3 + form) * 3 + near) * 2 + (against > 0)
-            out.append(Candidate(kind, start, m.end(), votes, cell))
+                prev = words[i - 1][1] if i else before[-1] if before else ""
+                end = i + n == len(words)
+                following = after if end else words[i + n][1]
+                shapely = all(2 <= len(x) <= 15 and not w.isupper() or len(x) == 1 for w, x, _, _ in part)
+                titled = any(x in TITLES or x in NAME_BEFORE for x in low)
+                votes = _pack((
+                    NO if not shapely else 0,
+                    YES if low[0] in GIVEN_NAMES else NO if any(x in GIVEN_NAMES for x in low[1:]) and n == 2 else 0,
+                    NO if titled or any(x in NOT_NAME for x in low) else 0,
+                    YES if prev in TITLES or prev in NAME_BEFORE else 0,
+                    YES if following in NAME_AFTER else 0,
+                    NO if (not end and words[i + n][1] not in NOT_NAME) or (i and prev in GIVEN_NAMES) else 0,
+                ))
+                names = [
+                    "bias", f"n={n}", f"prev={prev}", f"next={following}", f"first={low[0]}", f"last3={low[-1][-3:]}", f"run={min(6, len(words))}",
+                    f"at={i == 0}{end}", f"opens={opens if not opens.isalnum() else 'w'}", f"form={' '.join(_form(w) for w, _, _, _ in part)}",
+                    f"len={sum(map(len, low)) // (3 * n)}", *(f"in={x}" for x in low), f"pair={prev}|{min(3, len(words) - i)}",
+                ]
+                out.append((4, part[0][2], part[-1][3], votes, _hashed(4, names)))
+    return out
+
+
+def _number_candidates(text: str, base: set[tuple[int, int]]) -> list[Candidate]:
+    out = []
+    for m in NUMBER.finditer(text):
+        span, start, end = m[0], m.start(), m.end()
+        before, after = _words_before(text, start), _word_after(text, end)
+        digits = [c for c in span if c.isdigit()]
+        plain = len(digits) == len(span)
+        failing = 14 <= len(digits) <= 19 and not _luhn("".join(digits))
+        near, against = bool(NEAR_NUMBER.intersection(before[-2:])), bool(NOT_NUMBER.intersection(before[-2:]))
+        votes = _pack((
+            YES if (start, end) in base or FORMS.fullmatch(span) else NO if failing else 0,
+            YES if span.replace(" ", "").startswith(DIALLING) else 0,
+            YES if near else 0,
+            NO if against else 0,
+            NO if plain and not near else 0,
+            NO if after in UNITS else 0,
+        ))
+        names = ["bias", f"digits={len(digits)}", f"form={_form(span)}", f"plain={plain}", f"head={span[:2]}", f"next={after}", f"groups={len(re.findall('[0-9]+', span))}",
+                 *(f"prev{k}={w}" for k, w in enumerate(reversed(before[-2:]))), *(f"near={w}" for w in before[-2:]), f"luhn={failing}"]
+        out.append((5, start, end, votes, _hashed(5, names)))
+    return out
+
+
+def _address_candidates(text: str, base: set[tuple[int, int]]) -> list[Candidate]:
+    out = []
+    if "@" not in text and "at]" not in text and "at)" not in text:
+        return out
+    for m in AT_SIGN.finditer(text):
+        start, end = m.start(), m.start() + len(m[0].rstrip(".!?:'\"]}"))
+        span = text[start:end]
+        hidden = "@" not in span
+        if hidden:  # the host may go on after a spelt-out dot
+            more = re.compile(r"(?:\x20?[\[(](?:dot|punkt|point)[\])]\x20?[A-Za-z0-9-]+)+").match(text, end)
+            end, span = (more.end(), text[start : more.end()]) if more else (end, span)
+        before, after = _words_before(text, start), _word_after(text, end)
+        local, ending = re.split(r"@|\x20?[\[(]at[\])]\x20?", span, maxsplit=1)[0], re.split(r"[^A-Za-z]+", span.lower())[-1]
+        inside = any(start <= a and b <= end for a, b in base)
+        votes = _pack((
+            YES if inside or re.search(r"[A-Za-z0-9](?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z]{2,}$", span) else NO,
+            YES if ending in ENDINGS else NO,
+            YES if NEAR_ADDRESS.intersection(before[-3:]) else 0,
+            NO if NOT_ADDRESS.intersection(before[-2:]) else 0,
+            YES if hidden else 0,
+            NO if not re.search("[A-Za-z]", local) else 0,
+        ))
+        names = ["bias", f"hidden={hidden}", f"ending={ending}", f"local={_form(local)}", f"len={len(span) // 6}", f"next={after}", f"dots={min(4, span.count('.'))}",
+                 *(f"prev{k}={w}" for k, w in enumerate(reversed(before[-2:]))), f"head={span[:1] if not span[:1].isalnum() else 'w'}"]
+        out.append((6, start, end, votes, _hashed(6, names)))
     return out
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
+    """Wider spans with the votes of the labelers and the features of the classifier."""
+    held = {(a, b) for _, a, b in base}
+    return _person_candidates(text) + _number_candidates(text, held) + _address_candidates(text, held)
+
+
 def decode_votes(votes: int) -> list[int]:
     out = []
     for _ in range(LABELERS):
@@ -141,103 +232,138 @@ def decode_votes(votes: int) -> list[int]:
     return out[::-1]
 
 
-def reliabilities(counts: dict[int, int], rounds: int = 60) -> tuple[float, np.ndarray, dict[int, float]]:
-    """Prior, P(vote | class) of each labeler and the posterior of each vote pattern, by expectation maximisation on counts."""
-    patterns = sorted(counts)
+def reliabilities(counts: dict[int, int], rounds: int = 60, belief: float = 0.02) -> tuple[float, np.ndarray, dict[int, float]]:
+    """Prior, P(vote | class) of each labeler and the posterior of each vote pattern of one kind, by expectation maximisation on
+    counts. `belief`, as a share of all candidates, is the weight of the prior belief that yes votes stand on the right spans.
+    Candidates without any vote take no part in the estimate; with nothing said for them they get the posterior UNVOTED."""
+    patterns = sorted(p for p in counts if p)
     votes = np.array([decode_votes(p) for p in patterns]).reshape(-1, LABELERS)
     weight = np.array([counts[p] for p in patterns], float)
-    yes, no = (votes == 2).sum(axis=1), (votes == 1).sum(axis=1)
-    post = (yes + 0.5) / (yes + no + 1.0)
+    yes, no = (votes == YES).sum(axis=1), (votes == NO).sum(axis=1)
+    post = (yes + 0.05) / (yes + 2 * no + 1.0)
     prior, table = 0.5, np.zeros((LABELERS, 2, 3))
+    pseudo = (1 + belief * weight.sum()) * np.array([[0.6, 0.35, 0.05], [0.5, 0.05, 0.45]])
     for _ in range(rounds):
-        prior = float(np.clip((weight @ post + 1) / (weight.sum() + 2), 1e-3, 1 - 1e-3))
+        prior = float(np.clip((weight @ post + 0.5) / (weight.sum() + 2), 1e-4, 1 - 1e-3))
         for k in range(LABELERS):
             for c, p in ((0, 1 - post), (1, post)):
-                table[k, c] = [(weight * p * (votes[:, k] == v)).sum() + 0.5 for v in range(3)]
+                table[k, c] = [(weight * p * (votes[:, k] == v)).sum() + pseudo[c, v] for v in range(3)]
                 table[k, c] /= table[k, c].sum()
         odds = np.log(prior / (1 - prior)) + sum(np.log(table[k, 1, votes[:, k]] / table[k, 0, votes[:, k]]) for k in range(LABELERS))
         post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    return prior, table, dict(zip(patterns, post.tolist()))
-
-
-def fit_classifier(cells: dict[tuple[int, int], int], posterior: dict[int, float], rounds: int = 400) -> dict[int, float]:
-    """Probability by feature cell from a logistic model fitted to the posteriors, weighted by counts."""
-    if not cells:
-        return {}
-    names = sorted({c for _, c in cells})
-
-    def features(cell: int) -> np.ndarray:
-        rest, against = divmod(cell, 2)
-        rest, near = divmod(rest, 3)
-        rest, form = divmod(rest, 3)
-        kind, shape = divmod(rest, 4)
-        x = np.zeros(1 + 3 + 4 + 3 + 3 + 1)
-        x[[0, 1 + kind, 4 + shape, 8 + form, 11 + near]] = 1
-        x[14] = against
-        return x
-
-    x = np.array([features(c) for _, c in cells])
-    w = np.array(list(cells.values()), float)
-    y = np.array([posterior[v] for v, _ in cells])
-    beta = np.zeros(x.shape[1])
+    return prior, table, {0: UNVOTED, **dict(zip(patterns, post.tolist()))}
+
+
+def fit_classifier(rows: list[tuple[list[int], float, float]], rounds: int = 300, decay: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic model of (features, posterior, weight), by gradient steps of decreasing size."""
+    beta, seen = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
+    if not rows:
+        return beta
+    at = np.concatenate([f for f, _, _ in rows]).astype(np.int64)
+    of = np.repeat(np.arange(len(rows)), [len(f) for f, _, _ in rows])
+    y, w = np.array([p for _, p, _ in rows]), np.array([w for _, _, w in rows])
+    w = w / w.sum()
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ beta))
-        grad = x.T @ (w * (y - p)) - 1e-2 * beta
-        curve = (x * (w * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
-        step = np.linalg.solve(curve, grad)
-        beta += np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-9:
-            break
-    return {c: float(1 / (1 + np.exp(-features(c) @ beta))) for c in names}
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(of, beta[at], len(rows)), -30, 30)))
+        grad = np.bincount(at, (w * (y - p))[of], FEATURES) - decay / len(rows) * beta
+        seen += grad**2
+        beta += 0.5 * grad / np.sqrt(seen)
+    return beta
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+def free_spans(chosen: list[tuple[float, int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The likeliest of overlapping spans (probability, kind, start, end) that meet no base span; of equal ones the longest, then
+    the first. Taken spans lie apart, so a search among their starts finds any that overlap."""
+    taken: list[tuple[int, int]] = []
+    for _, a, b in sorted(base, key=lambda x: x[1]):  # base spans of two kinds may overlap: merged
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    starts, ends = [a for a, _ in taken], [b for _, b in taken]
+    clear = []
+    for p, k, a, b in chosen:
+        i = bisect_right(starts, a)
+        if not (i and ends[i - 1] > a) and not (i < len(starts) and starts[i] < b):
+            clear.append((p, k, a, b))
+    clear.sort(key=lambda x: x[2])
+    out, group, reach = [], [], -1
+    for x in [*clear, (0.0, -1, 1 << 62, 1 << 62)]:  # overlapping spans form groups, few each
+        if group and x[2] >= reach:
+            held: list[tuple[int, int, int]] = []
+            for _, k, a, b in sorted(group, key=lambda x: (-round(x[0], 9), x[2] - x[3], x[2])):
+                if not any(a < d and c < b for _, c, d in held):
+                    held.append((k, a, b))
+            out += held
+            group = []
+        group.append(x)
+        reach = max(reach, x[3])
+    return out
+
+
 def _scan():
     span = pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
-    wide = pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("votes", pa.int32()), ("cell", pa.int32())])
+    wide = pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("votes", pa.int32()), ("feats", pa.list_(pa.int32()))])
 
     def each(batch: pa.RecordBatch):
-        base, more = [], []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            own = sorted(base_spans(text), key=lambda x: (x[1], x[0]))
-            base.append([{"kind": k, "a": a, "b": b} for k, a, b in own])
-            more.append([{"kind": c.kind, "a": c.start, "b": c.end, "votes": c.votes, "cell": c.cell} for c in candidates(text)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(more, pa.list_(wide))], names=["doc_id", "base", "more"])
+        for part in slices(batch, "text", 2048, 8 << 20):
+            base, more = [], []
+            for text in part.column("text").to_pylist():
+                own = sorted(base_spans(text or ""), key=lambda x: (x[1], x[0]))
+                base.append([{"kind": k, "a": a, "b": b} for k, a, b in own])
+                more.append([{"kind": k, "a": a, "b": b, "votes": v, "feats": f} for k, a, b, v, f in candidates(text or "", own)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(more, pa.list_(wide))], names=["doc_id", "base", "more"])
 
     return each
 
 
-def find_pii(docs: DataFrame, accept: float = 0.5) -> DataFrame:
+def learnt(seen: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> np.ndarray:
+    """The span classifier's weights from all candidates' votes: reliabilities on the counts of all vote patterns, the classifier
+    on at most `sample` distinct candidates of each kind and side (those of the least hashes), weighted to stand for all."""
+    vectors = seen.select(F.explode("more").alias("c")).groupBy("c.kind", "c.votes", "c.feats").agg(F.count(F.lit(1)).alias("n"))
+    vectors = scratch.keep(vectors, "vectors")
+    counts: dict[int, dict[int, int]] = {}
+    for r in vectors.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect():  # at most 3 ** LABELERS patterns a kind
+        counts.setdefault(r["kind"], {})[r["votes"]] = r["n"]
+    posterior = {(k, v): p for k, c in counts.items() for v, p in reliabilities(c)[2].items()}
+    if not posterior:
+        return np.zeros(FEATURES)
+    book = F.broadcast(seen.sparkSession.createDataFrame([(k, v, p) for (k, v), p in posterior.items()], "kind int, votes int, p double"))
+    judged = vectors.join(book, ["kind", "votes"]).withColumn("side", F.col("p") >= 0.5)
+    totals = {(k, side): sum(n for v, n in c.items() if (posterior[k, v] >= 0.5) == side) for k, c in counts.items() for side in (True, False)}
+    rows = []
+    for k, side in sorted(totals):
+        if totals[k, side]:
+            part = judged.where((F.col("kind") == k) & (F.col("side") == side)).orderBy(F.xxhash64("feats", "votes"), "votes").limit(sample).select("feats", "p", "n").collect()
+            scale = totals[k, side] / sum(r["n"] for r in part)
+            rows += [(r["feats"], r["p"], r["n"] * scale) for r in part]
+    return fit_classifier(rows)
+
+
+def find_pii(docs: DataFrame, accept: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs(doc_id, text).
 
-    Offsets are code points, ends exclusive. Null and empty texts have no spans (empty string, hash of the empty string).
-    Extra columns aren't read; rows repeat as they do in docs; an empty table gives no rows.
+    Offsets are code points, ends exclusive. Null and empty texts have no spans (empty string, hash of the empty string); very
+    long texts are read whole, in time linear in their length. Of overlapping added spans the likeliest stays, then the longest,
+    then the first. Extra columns aren't read; rows repeat as they do in docs; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    schema = "doc_id long, base array<struct<kind: int, a: int, b: int>>, more array<struct<kind: int, a: int, b: int, votes: int, cell: int>>"
+    schema = "doc_id long, base array<struct<kind: int, a: int, b: int>>, more array<struct<kind: int, a: int, b: int, votes: int, feats: array<int>>>"
     seen = scratch.keep(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan, schema), "seen")
-    counts = seen.select(F.explode("more").alias("c")).groupBy("c.votes", "c.cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    cells = {(r["votes"], r["cell"]): r["n"] for r in counts}
-    by_votes: dict[int, int] = {}
-    for (v, _), n in cells.items():
-        by_votes[v] = by_votes.get(v, 0) + n
-    _, _, posterior = reliabilities(by_votes) if cells else (0.5, None, {})
-    accepted = {c for c, p in fit_classifier(cells, posterior).items() if p >= accept}
+    beta = learnt(seen, scratch, sample)
+    least = float(np.log(accept / (1 - accept)))
 
     def make():
         def each(batch: pa.RecordBatch):
             rows = []
             for base, more in zip(batch.column("base").to_pylist(), batch.column("more").to_pylist()):
                 own = [(x["kind"], x["a"], x["b"]) for x in base]
-                added, ends = [], -1
-                for x in sorted(more, key=lambda x: (x["a"], x["kind"])):
-                    if x["cell"] in accepted and x["a"] >= ends and not any(x["a"] < b and a < x["b"] for _, a, b in own):
-                        added.append((x["kind"], x["a"], x["b"]))
-                        ends = x["b"]
+                scored = [(float(beta[x["feats"]].sum()), x["kind"], x["a"], x["b"]) for x in more]
+                added = free_spans([x for x in scored if x[0] > least], own)
                 every = sorted(own + added, key=lambda x: (x[1], x[0]))
                 rows.append((*(sum(k == i for k, _, _ in own) for i in range(4)), hashlib.sha256(joined(own).encode()).hexdigest(), joined(every)))
             kinds = (*[pa.int64()] * 4, pa.string(), pa.string())
