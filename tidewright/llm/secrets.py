@@ -37,7 +37,7 @@ NAMING = re.compile(r"(?<![A-Za-z])(?i:password|passwd|pwd|pass|passphrase|passc
 SEPARATOR = re.compile(r"""(?<=[A-Za-z0-9_\])"'`])\x20?[:=](?!//)""", re.ASCII)
 #: A token after leading signs; a name with its separator is passed over, so that the value is a token of its own.
 TOKEN = re.compile(r"""[^\s"'`]+""")
-HEAD = re.compile(r"[(\[{<:=,;|>-]*(?:[A-Za-z][A-Za-z_-]*[:=]+(?!//))?[(\[{<]*")
+HEAD = re.compile(r"[(\[{<:=,;|>-]*(?:[A-Za-z_][A-Za-z0-9_-]*[:=]+(?!//))?[(\[{<]*")
 DENIED = -1e9
 
 
@@ -229,10 +229,11 @@ def training_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int
     base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     words = ["build", "report", "alpha", "module", "north", "value", "server", "table", "north_east", "index", "draft", "plan"]
     some = lambda alphabet, low, high: "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
+    with_both = lambda low, high: next(x for x in iter(lambda: some(base62, low, high), "") if re.search("[0-9]", x) and re.search("[A-Za-z]", x))
     word = lambda: "".join(rng.choice(["ba", "re", "ton", "lin", "st", "er", "mo", "du", "al", "in", "ce", "po"]) for _ in range(rng.randint(1, 4)))
     plain = lambda n: " ".join(word() if rng.random() < 0.6 else rng.choice(words + ["the", "of", "to", "and", "is", "for"]) for _ in range(n))
     signed = lambda: word().title() + rng.choice("!@#$%^&*") + some(base62, 3, 8) + rng.choice(["", *"!@#$%^&*"])
-    mixed = lambda: rng.choice([word() + str(rng.randint(1, 99)) + word(), some(base62, 5, 12) + "4z"])
+    mixed = lambda: rng.choice([word() + str(rng.randint(1, 99)) + word(), with_both(6, 14)])
     out = []
     for _ in range(count):
         text, spans = " ".join(rng.choices(words, k=rng.randint(0, 6))) + " ", []
@@ -261,7 +262,7 @@ def training_lines(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int
         elif kind < 0.75:
             text += rng.choice(["pwd: ", "private key = ", "Bearer ", "authorization: ", "access key ", 'credential="', "aws key: ", "secret key is "])
             for part in range(rng.choice([1, 1, 1, 2])):
-                s = rng.choice(["", "", "sk-", "ghp_", "xox-"]) + some(base62, 20, 44) + "7q"
+                s = rng.choice(["", "", "sk-", "ghp_", "xox-"]) + with_both(20, 44)
                 text += " " * (part > 0)
                 spans.append((len(text), len(text) + len(s), part == 0))
                 text += s
@@ -320,7 +321,16 @@ def field_spans(text: str, crf: Crf) -> list[tuple[int, int]]:
 def all_spans(text: str, crf: Crf) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each sorted by start and kind. A span of the field that meets a base span adds nothing."""
     base = sorted(base_spans(text), key=lambda x: (x[1], x[0]))
-    more = [(3, a, b) for a, b in field_spans(text, crf) if not any(a < e and s < b for _, s, e in base)]
+    reach, starts, far = -1, [], []
+    for _, a, b in base:  # far[i]: the greatest end of the base spans up to i
+        reach = max(reach, b)
+        starts.append(a)
+        far.append(reach)
+    more = []
+    for a, b in field_spans(text, crf):
+        k = bisect_right(starts, b - 1)
+        if not k or far[k - 1] <= a:
+            more.append((3, a, b))
     return base, sorted(base + more, key=lambda x: (x[1], x[0]))
 
 
@@ -331,8 +341,9 @@ def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) ->
 def find_secrets(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of docs(doc_id, text).
 
-    Offsets are code points, ends exclusive. Null and empty texts have no spans (empty string, hash of the empty string).
-    Extra columns aren't read; rows repeat as they do in docs; an empty table gives no rows.
+    Offsets are code points, ends exclusive. Null and empty texts have no spans (empty string, hash of the empty string); very
+    long texts are read whole, in time linear in their length. Ties between tag paths go to the smaller tags. Extra columns
+    aren't read; rows repeat as they do in docs; an empty table gives no rows.
     """
     model = crf or trained()
 
