@@ -489,7 +489,7 @@ def test_links_give_the_same_components(spark, block):
             k = roots[k]
         return k
 
-    for r in simhash.links(table, block).collect():
+    for r in simhash.links(table, common.Scratch(spark, "test"), block).collect():
         a, b = sorted((find(place[r["u"]]), find(place[r["v"]])))
         roots[b] = a
     want = brute_components(fps)

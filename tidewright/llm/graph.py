@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Scratch
+from tidewright.llm.common import Scratch, join_dealt
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """Adds m, the least of each u and its partners. An aggregate and a join: a hub's rows can be split, a window's can't."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("lv")).select(F.col("u").alias("lu"), F.least("u", "lv").alias("m"))
-    return pairs.join(least, pairs.u == least.lu).select("u", "v", "m")
+    """Adds m, the least of each u and its partners. The least is aggregated (partially before the shuffle), and a hub's rows are
+    dealt over copies of its least, so that no task gets all of them."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("lv")).select("u", F.least("u", "lv").alias("m"))
+    return join_dealt(pairs, least, "u").select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Scratch, map_batches, raw_bytes, read_table
+from tidewright.llm.common import Scratch, join_dealt, map_batches, raw_bytes, read_table
 from tidewright.llm.graph import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
@@ -99,41 +99,45 @@ def _block_forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})[u != v]
 
 
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between distinct fingerprints fps(fp): all of them at ordinary anchors, a spanning forest of each block at
-    anchors with over `block` homes, where the number of pairs would grow with the square. Components are the same."""
-    at = map_batches(fps.select("fp"), _anchors, "anchor long, fp long, home boolean")
+    anchors with over `block` homes, where the number of pairs would grow with the square. Components are the same. The
+    replicas are written once; joins on anchors that may be crowded deal their rows."""
+    at = scratch.keep(map_batches(fps.select("fp"), _anchors, "anchor long, fp long, home boolean"), "anchors")
     homes, all_at = at.where("home").select("anchor", "fp"), at.select("anchor", F.col("fp").alias("fp2"))
-    hot = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= THRESHOLD
-    some_hot = hot.count()
-    if not some_hot:
-        return homes.join(all_at, "anchor").where(near & (F.col("fp") < F.col("fp2"))).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
-    cold = homes.join(hot, "anchor", "left_anti").join(all_at, "anchor").where(near & (F.col("fp") < F.col("fp2"))).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
-    seen = at.join(hot.select("anchor"), "anchor", "left_semi")
-    sizes = seen.groupBy("anchor").agg(F.ceil(F.sum(F.col("home").cast("int")) / block).cast("int").alias("kh"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("kv"))
-    dealt = seen.join(sizes, "anchor").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("kh"))).withColumn("j", F.pmod(F.xxhash64("fp"), F.col("kv")))
+    as_links = (F.col("fp").alias("u"), F.col("fp2").alias("v"))
+    crowds = at.groupBy("anchor").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count(F.lit(1)).alias("all")).where(F.col("homes") > block)
+    crowds = scratch.keep(crowds.select("anchor", F.ceil(F.col("homes") / block).cast("int").alias("kh"), F.ceil(F.col("all") / block).cast("int").alias("kv")), "crowds")
+    if crowds.isEmpty():
+        return homes.join(all_at, "anchor").where(near & (F.col("fp") < F.col("fp2"))).select(*as_links)
+    marked = scratch.keep(join_dealt(at, crowds, "anchor", "left"), "marked")
+    calm = marked.where("kh is null")
+    few = calm.where("home").select("anchor", "fp").join(calm.select("anchor", F.col("fp").alias("fp2")), "anchor")
+    dealt = marked.where("kh is not null").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("kh"))).withColumn("j", F.pmod(F.xxhash64("fp"), F.col("kv")))
     sides = dealt.where("home").select("anchor", "fp", F.lit(True).alias("home"), "i", F.explode(F.sequence(F.lit(0), F.col("kv") - 1)).alias("j")).unionByName(
         dealt.select("anchor", "fp", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("kh") - 1)).alias("i"), "j")
     )
-    return cold.unionByName(sides.groupBy("anchor", "i", "j").applyInPandas(_block_forest, "u long, v long"))
+    many = sides.groupBy("anchor", "i", "j").applyInPandas(_block_forest, "u long, v long")
+    return few.where(near & (F.col("fp") < F.col("fp2"))).select(*as_links).unionByName(many)
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, th (hash of the text), fp, component_id, root.
 
-    root is the least fingerprint of the component and names it whatever the ids are. component_id is the smallest doc_id reachable over links of at most three differing bits. Null or empty texts and texts
-    without words have fingerprint zero and link as any other; a component whose ids are all null has a null component_id.
-    Exact copies share a fingerprint and meet as one node. Extra columns are not read; an empty table gives no rows.
+    root is the least fingerprint of the component and names it whatever the ids are. component_id is the smallest doc_id
+    reachable over links of at most three differing bits. Null or empty texts and texts without words have fingerprint zero
+    and link as any other; a component whose ids are all null has a null component_id. Exact copies share a fingerprint and
+    meet as one node. Very long texts are read whole. Extra columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     own = scratch.keep(map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")), _fingerprints, "doc_id long, th long, fp long"), "own")
     fps = scratch.keep(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = scratch.keep(connected_components(links(fps, block), scratch), "roots")
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = scratch.keep(connected_components(links(fps, scratch, block), scratch), "roots")
+    named = scratch.keep(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(best, "root").select(F.col("fp").alias("fp_"), "component_id", "root")
-    return own.join(of_fp, F.col("fp") == F.col("fp_")).select("doc_id", "th", "fp", "component_id", "root")
+    of_fp = scratch.keep(join_dealt(named.select("fp", "root"), best, "root").select("fp", "component_id", "root"), "components")
+    return join_dealt(own, of_fp, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +147,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their component, one each: the smallest doc_id (null only where all are null), then the
-    smallest hash of the text, once. Ids may be null or repeated. All columns of docs stay as they are."""
-    own = docs.withColumn("__th", F.xxhash64("text"))
+    smallest hash of the text, once. Ids may be null or repeated; of wholly equal rows one stays; an empty table gives none.
+    All columns of docs, whatever their names, stay as they are."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")).alias("first")
-    kept = near_duplicates(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.th").alias("__kept_th"))
-    rows = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & F.col("__th").eqNullSafe(F.col("__kept_th")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
+    chosen = near_duplicates(docs).groupBy("root").agg(first).select(F.struct(F.col("first.doc_id").alias("id"), F.col("first.th").alias("th")).alias("key"))
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # a null id equals a null id: the hash of the key stands in for it in the join, the key itself is compared
+    kept = rows.alias("d").join(chosen.alias("c"), (F.xxhash64("d.key") == F.xxhash64("c.key")) & F.col("d.key").eqNullSafe(F.col("c.key")), "left_semi")
+    return kept.groupBy("key").agg(F.first("row").alias("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
