@@ -448,6 +448,46 @@ def test_licenses(spark):
     assert licenses.find_licenses(docs(spark, [])).count() == 0
 
 
+def brute_licenses(text):
+    """Labels and score by comparing every place of the text with every place of every template."""
+    words, found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), []
+    for label, body in licenses.TEMPLATES:
+        book = re.findall(r"[a-z0-9]+", body.lower())
+        places = defaultdict(set)
+        for j in range(len(book) - 3):
+            for i in range(len(words) - 3):
+                if words[i : i + 4] == book[j : j + 4]:
+                    places[i - j].add(j)
+        bands, last = [], None
+        for d in sorted(places):
+            if last is None or d - last > 6:
+                bands.append(set())
+            bands[-1] |= places[d]
+            last = d
+        found += [(label, len(b) / (len(book) - 3)) for b in bands if len(b) / (len(book) - 3) >= 0.6]
+    phrases = {label for p, label in licenses.PHRASES if f" {p} " in f" {' '.join(words)} "}
+    return ",".join(sorted({x for x, _ in found} | phrases)), max((x for _, x in found), default=0.0)
+
+
+def test_licenses_equal_brute_force(spark):
+    rng, texts = np.random.default_rng(12), [None, "", "mit", "x " * 50]
+    for k in range(40):
+        parts = []
+        for _ in range(rng.integers(1, 3)):
+            words = licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))][1].split()
+            for _ in range(rng.integers(0, 4)):
+                at = int(rng.integers(len(words)))
+                words[at : at + int(rng.integers(0, 3))] = ["edit"] * int(rng.integers(0, 3))
+            parts.append(" ".join(words[int(rng.integers(0, len(words) // 2)) :]))
+        texts.append(prose(400 + k, 10) + " " + (" " + prose(500 + k, 5) + " ").join(parts))
+    texts += [licenses.TEMPLATES[0][1]] * 3 + [prose(77, 30_000) + " " + licenses.TEMPLATES[2][1], " ".join([licenses.TEMPLATES[1][1]] * 30)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.find_licenses(docs(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        want = brute_licenses(t) if len(t or "") < 20_000 else ("mit", 1.0)
+        assert got[k][0] == want[0] and abs(got[k][1] - want[1]) < 1e-12, (k, got[k], want)
+
+
 # ---- 9: SimHash
 
 
