@@ -14,48 +14,54 @@ from tidewright.llm.common import Scratch, read_table
 
 #: Turns that one window reads at once; longer conversations are cut into such blocks and their sums carried over.
 BLOCK = 256
-TEMPLATE = "<|{role}|>\n{text}\n<|end|>\n"
+ORDER = ("conv_id", "turn", "role", "text")
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, at (1, 2, ...), h1, h2 for every turn: the hash of the turns up to it.
+def prefix_hashes(turns: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """conv_id, turn, role, text, at (1, 2, ...), h1, h2 for every one of the different rows of turns: the hash of the turns up to it.
 
     A turn's part is a 64-bit hash of its place, role and text under two seeds; a prefix's hash is the pair of sums of its
-    parts, which can be carried from block to block. Places are ranks: order by turn, then role and text.
+    parts, which can be carried from block to block. Places are ranks: order by turn, then role and text, nulls first. The rows
+    are sorted by ranges and cut into blocks by their position, so a conversation may be spread over any number of tasks,
+    whatever its turn numbers are.
     """
-    blocks = turns.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    within = Window.partitionBy("conv_id", "block").orderBy(*order)
-    sizes = blocks.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    sorted_ = turns.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("pos", F.monotonically_increasing_id())
+    placed = scratch.keep(sorted_, "sorted").withColumn("block", F.shiftright("pos", block.bit_length() - 1))
+    within = Window.partitionBy("conv_id", "block").orderBy("pos")
+    sizes = placed.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "start")
-    placed = blocks.withColumn("k", F.row_number().over(within)).join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).withColumn("at", F.col("start") + F.col("k")).drop("c", "b", "k", "start")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
+    ranked = placed.withColumn("k", F.row_number().over(within)).join(starts, same).withColumn("at", F.col("start") + F.col("k")).drop("c", "b", "k", "start")
     part = lambda seed: F.xxhash64(F.lit(seed), F.col("at"), F.coalesce("role", F.lit("\x00")), F.coalesce("text", F.lit("\x00"))).cast("decimal(38,0)")
-    parts = placed.withColumn("p1", part(1)).withColumn("p2", part(2))
-    upto = Window.partitionBy("conv_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ranked.withColumn("p1", part(1)).withColumn("p2", part(2))
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
     sums = parts.groupBy("conv_id", "block").agg(F.sum("p1").alias("s1"), F.sum("p2").alias("s2"))
     carry = sums.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), *(F.coalesce(F.sum(f"s{k}").over(earlier), F.lit(0)).cast("decimal(38,0)").alias(f"c{k}") for k in (1, 2)))
     rolled = parts.withColumn("r1", F.sum("p1").over(upto)).withColumn("r2", F.sum("p2").over(upto))
-    return rolled.join(carry, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "turn", "role", "text", "at", (F.col("c1") + F.col("r1")).cast("decimal(38,0)").alias("h1"), (F.col("c2") + F.col("r2")).cast("decimal(38,0)").alias("h2"))
+    return rolled.join(carry, same).select(*ORDER, "at", (F.col("c1") + F.col("r1")).cast("decimal(38,0)").alias("h1"), (F.col("c2") + F.col("r2")).cast("decimal(38,0)").alias("h2"))
 
 
 def collapse(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns and rendered text of the maximal conversations of (conv_id, turn, role, text).
 
-    Repeated rows count once. Turns with a null conv_id make one conversation of their own. Null roles and texts differ
-    from empty ones when compared and are rendered as empty. Extra columns aren't read; an empty table gives no rows.
+    Repeated rows count once. Turns with a null conv_id make one conversation of their own; null turn numbers come first, equal
+    ones are ordered by role and text. Null roles and texts differ from empty ones when compared and are rendered as empty.
+    Conversations are compared by length and 128 bits of hashes of their turns; of equal ones the smallest conv_id stays.
+    Very long conversations are ranked and hashed in blocks; only a conversation that stays is gathered, to be rendered as one
+    text. Extra columns aren't read; an empty table gives no rows.
     """
     scratch = Scratch(conversations.sparkSession, "chats")
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").dropDuplicates()
-    hashed = scratch.keep(prefix_hashes(turns).select("conv_id", "at", "h1", "h2"), "hashes")
-    ends = hashed.groupBy("conv_id").agg(F.max(F.struct("at", "h1", "h2")).alias("end"))
+    hashed = scratch.keep(prefix_hashes(turns, scratch), "hashes")
+    ends = scratch.keep(hashed.groupBy("conv_id").agg(F.max(F.struct("at", "h1", "h2")).alias("end")), "ends")
     distinct = ends.groupBy("end.at", "end.h1", "end.h2").agg(F.min("conv_id").alias("kept_id"), F.count(F.col("conv_id")).alias("named"))
     lengths = ends.select(F.col("conv_id").alias("c"), F.col("end.at").alias("last"))
-    inner = hashed.join(lengths, F.col("conv_id").eqNullSafe(F.col("c"))).where("at < last").select("at", "h1", "h2").distinct()
+    inner = hashed.select("conv_id", "at", "h1", "h2").join(lengths, F.col("conv_id").eqNullSafe(F.col("c"))).where("at < last").select("at", "h1", "h2").distinct()
     kept = distinct.join(inner, ["at", "h1", "h2"], "left_anti").select("kept_id", F.col("at").alias("n_turns"))
-    rows = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    rows = hashed.select("conv_id", "at", "role", "text").join(scratch.keep(kept, "kept"), F.col("conv_id").eqNullSafe(F.col("kept_id")))
     rendered = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
-    listed = rows.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), rendered.alias("out")))).alias("turns"))
+    listed = rows.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct("at", rendered.alias("out")))).alias("turns"))
     return listed.select("conv_id", "n_turns", F.array_join(F.transform("turns", lambda x: x["out"]), "").alias("rendered"))
 
 
