@@ -118,9 +118,3 @@ def join_dealt(rows: DataFrame, book: DataFrame, key: str, how: str = "inner") -
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     copies = book.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
-
-
-def small_enough(df: DataFrame, column: str, max_bytes: int) -> bool:
-    """True if the column's bytes, counted over all rows, fit the bound: only then may the table be gathered and broadcast."""
-    total = df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(16)), F.lit(0)).alias("b")).first()["b"]
-    return total <= max_bytes

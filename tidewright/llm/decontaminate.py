@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import Scratch, alnum_words, map_batches, raw_bytes, read_table, small_enough
+from tidewright.llm.common import Scratch, alnum_words, map_batches, raw_bytes, read_table, slices
 
 WINDOW, SHINGLE = 10, 5
-#: Bytes of benchmark texts up to which the windows are broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Windows of the benchmark up to which they are gathered and broadcast: about 120 bytes of text and 1 KB of index each.
+BROADCAST_WINDOWS = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 RESULT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
 
@@ -191,14 +191,17 @@ def _shuffled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def make_shingles():
         def each(batch: pa.RecordBatch):
-            for raw in raw_bytes(batch.column("text")):
-                words, own = alnum_words(raw), _text_key(raw)
-                for size in range(1, SHINGLE + 1):
-                    keys = [_key(size, words[i : i + size]) for i in range(len(words) - size + 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(keys), pa.binary()), pa.array([len(words)] * len(keys), pa.int32()), pa.array(range(len(keys)), pa.int32()), pa.array(keys, pa.int64())], names=["text_key", "total", "at", "key"])
+            for part in slices(batch, "text", 64, 1 << 20):
+                rows: list[tuple[bytes, int, int, int]] = []
+                for raw in raw_bytes(part.column("text")):
+                    words, own = alnum_words(raw), _text_key(raw)
+                    for size in sizes:
+                        rows += [(own, len(words), i, _key(size, words[i : i + size])) for i in range(len(words) - size + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.int64()))], names=["text_key", "total", "at", "key"])
 
         return each
 
+    sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # SHINGLE of them at most
     wanted = parts.select("key").distinct()
     hits = scratch.keep(map_batches(docs.select("text"), make_shingles, "text_key binary, total int, at int, key long").join(wanted, "key", "left_semi").distinct(), "hits")
     frequency = hits.groupBy("key", "text_key").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count(F.lit(1)).alias("f"))
@@ -237,16 +240,20 @@ def _shuffled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return map_batches(every.select("row", "text", "spans", "items"), make, _schema(docs))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """row (a struct of the named columns of docs) and n_words, n_hit, n_items, items_sha256, contaminated of each row of docs.
 
     benchmark(item_id, text) may repeat ids and texts. Null texts have no words on either side; an item with a null id hits
-    words but isn't counted or named. Names of other columns can't clash with the result's; empty tables give no rows or
-    no hits.
+    words but isn't counted or named. Very long texts are read whole. Names of other columns can't clash with the result's;
+    empty tables give no rows or no hits. A benchmark of at most broadcast_windows windows is gathered and broadcast.
     """
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text")
     held = benchmark.select("item_id", "text").where("text is not null")
-    return (_beside_scan if small_enough(held, "text", broadcast_bytes) else _shuffled)(own, held)
+    # a window begins at a word: blanks and signs part words, so half the characters bound their number
+    windows = held.agg(F.coalesce(F.sum(F.floor(F.octet_length("text") / 2) + F.lit(1)), F.lit(0)).alias("n")).first()["n"]
+    if windows > broadcast_windows >= 0:  # the bound is wide: count the words
+        windows = held.agg(F.sum(F.size(F.split(F.regexp_replace("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " "), " "))).alias("n")).first()["n"]
+    return (_beside_scan if windows <= broadcast_windows else _shuffled)(own, held)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
