@@ -9,6 +9,9 @@ DataFrame functions only. Line rules, on lines that hold a word:
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +36,18 @@ def _let(value: Column, body) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more, the first occurrence included."""
+    """Words in 3-word windows that occur twice or more, the first occurrence included. Windows of one text are equal if the
+    64-bit hashes of their words are. A text whose hashes all differ is done without sorting."""
 
     def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"), i.alias("i")))
+        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+
+    def placed(hashes: Column) -> Column:
+        return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+
+    def told(hashes: Column) -> Column:
+        alike = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(alike, _let(F.sort_array(placed(hashes)), covered)).otherwise(F.lit(0).cast("long"))
 
     def covered(s: Column) -> Column:
         # windows beside one of the same hash in sorted order, by place again; each adds the words not yet covered
@@ -50,30 +61,30 @@ def repeated_words(words: Column) -> Column:
         )
 
     # words are bound before lambdas read single ones: the optimizer may put the expression that makes them in their place
-    return _let(words, lambda w: F.when(F.size(w) >= 3, _let(F.sort_array(windows(w)), covered)).otherwise(F.lit(0).cast("long")))
+    return _let(words, lambda w: F.when(F.size(w) >= 3, _let(windows(w), told)).otherwise(F.lit(0).cast("long")))
 
 
 def first_of_equal(lines: Column) -> Column:
-    """The lines (text, n) in order, without those that hold a word and repeat an earlier line; sorted, not compared pairwise."""
+    """The lines (text, n, fails) in order, without those that hold a word and repeat an earlier line; sorted, not compared pairwise."""
 
     def firsts(s: Column) -> Column:
         return F.filter(s, lambda x, j: (x["n"] == 0) | F.coalesce(F.get(s, j - 1)["text"] != x["text"], F.lit(True)))
 
-    placed = F.transform(lines, lambda x, i: F.struct(x["text"].alias("text"), i.alias("i"), x["n"].alias("n")))
-    in_place = _let(F.sort_array(placed), lambda s: F.sort_array(F.transform(firsts(s), lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), x["n"].alias("n")))))
-    return F.transform(in_place, lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n")))
+    placed = F.transform(lines, lambda x, i: F.struct(x["text"].alias("text"), i.alias("i"), x["n"].alias("n"), x["fails"].alias("fails")))
+    in_place = _let(F.sort_array(placed), lambda s: F.sort_array(F.transform(firsts(s), lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), x["n"].alias("n"), x["fails"].alias("fails")))))
+    return F.transform(in_place, lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), x["fails"].alias("fails")))
 
 
 def _line_fails(line: Column) -> Column:
     """The verdict of the rules on one line with its number of words n_."""
     text, n = line["text"], line["n"]
-    low = F.lower(text)
-    known = F.lit(False)
-    for phrase in BOILERPLATE:
-        known = known | low.contains(phrase)
-    punctuation = ((n >= LONG_LINE) & (_occurs(text, ".!?:;") == 0)) | (_occurs(text, "!") >= n * LOUD) & (n >= 3) | (_occurs(text, SYMBOLS) >= n * SYMBOLIC) & (n >= 3)
-    separators = _occurs(text, "|>»•")
-    return punctuation | ((separators >= 3) & (separators * 4 >= n)) | (known & (n <= BOILERPLATE_WORDS))
+    known = _let(F.lower(text), lambda low: reduce(or_, (low.contains(phrase) for phrase in BOILERPLATE)))
+    # characters are counted only where one occurs: a test is cheaper than a count
+    silent = (n >= LONG_LINE) & ~text.rlike("[.!?:;]")
+    loud = (n >= 3) & text.contains("!") & (_occurs(text, "!") >= n * LOUD)
+    symbolic = (n >= 3) & text.rlike(f"[{SYMBOLS}]") & (_occurs(text, SYMBOLS) >= n * SYMBOLIC)
+    menu = text.rlike("[|>»•]") & _let(_occurs(text, "|>»•"), lambda k: (k >= 3) & (k * 4 >= n))
+    return silent | loud | symbolic | menu | ((n <= BOILERPLATE_WORDS) & known)
 
 
 def judged(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
@@ -81,11 +92,13 @@ def judged(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
 
     Null counts as an empty text: no words, rejected. A document is kept if it passes the base rule (50 words or more, at
     most half of them in repeated windows) and its failing lines hold at most most_lost of its words. Blank lines stay with
-    the text. Columns of docs, whatever their names, stay inside row; an empty table gives no rows.
+    the text. Very long texts are read whole. Columns of docs, whatever their names, stay inside row; rows repeat as they do in
+    docs; an empty table gives no rows.
     """
     t = F.coalesce(F.col("row.text"), F.lit(""))
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("t", t)
-    lines = F.transform(F.split("t", "\n"), lambda x: F.struct(x.alias("text"), F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("n")))
+    counted = F.transform(F.split("t", "\n"), lambda x: F.struct(x.alias("text"), F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("n")))
+    lines = F.transform(counted, lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), ((x["n"] > 0) & _line_fails(x)).alias("fails")))
     parts = base.withColumn("words", F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).withColumn("lines", lines)
     real = F.filter("lines", lambda x: x["n"] > 0)
     measured = parts.select(
@@ -99,11 +112,11 @@ def judged(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )
     # the first of equal lines stays: what a later copy holds is what all lines hold less what distinct lines hold
-    good = F.filter("lines", lambda x: (x["n"] > 0) & ~_line_fails(x))
+    good = F.filter("lines", lambda x: (x["n"] > 0) & ~x["fails"])
     kept_words = F.aggregate(F.array_distinct(good), F.lit(0), lambda acc, x: acc + x["n"])
     verdict = measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("kept_words", kept_words.cast("long"))
     once_each = F.when(F.col("n_dup_lines") > 0, first_of_equal(F.col("lines"))).otherwise(F.col("lines"))
-    cleaned = F.array_join(F.transform(F.filter(once_each, lambda x: (x["n"] == 0) | ~_line_fails(x)), lambda x: x["text"]), "\n")
+    cleaned = F.array_join(F.transform(F.filter(once_each, lambda x: ~x["fails"]), lambda x: x["text"]), "\n")
     return verdict.select(
         "row", cleaned.alias("cleaned"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words", "once",
         (~F.col("base_failed") & ((F.col("n_words") - F.col("kept_words")) <= F.col("n_words") * most_lost)).alias("kept"),
