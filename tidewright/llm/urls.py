@@ -54,11 +54,12 @@ def split_url(url: str | None) -> tuple[str, str]:
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def candidate_forms(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Suffixes of the host at label starts times the prefixes of the path of the listed lengths."""
+def candidate_forms(host: str, path: str, lengths: list[int], longest: int) -> list[str]:
+    """Suffixes of the host at label starts, as long as some listed host, times the prefixes of the path of the listed lengths.
+    `longest` is the length of the longest listed host: a host of many labels has no more suffixes than that."""
     if not host:
         return []
-    labels = [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
+    labels = [i for i in range(max(0, len(host) - longest), len(host) + 1) if not i or host[i - 1] == "."]
     return [host[a:] + path[:n] for a in labels for n in lengths if n <= len(path)]
 
 
@@ -75,9 +76,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", list_bytes
     spark = pages.sparkSession
     listed = rules.where("host is not null and host <> '' and path is not null and verdict is not null").select(F.concat("host", "path").alias("form"), F.length("path").alias("n"), F.length("host").alias("nh"), "verdict")
     listed = listed.groupBy("form", "nh", "n").agg(F.max("verdict").alias("verdict"))
-    total = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("form") + 40), F.lit(0)).alias("b"), F.collect_set("n").alias("lengths")).first()
+    total = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("form") + 40), F.lit(0)).alias("b"), F.collect_set("n").alias("lengths"), F.coalesce(F.max("nh"), F.lit(0)).alias("longest")).first()
     small = total["b"] <= list_bytes
-    lengths = sorted(total["lengths"])  # one number for each path length, few however long the list
+    longest, lengths = total["longest"], sorted(total["lengths"])  # one number for each path length, few however long the list
     bloom = BlockedBloom(total["n"], bloom_bytes)
     if small:
         for row in listed.select("form").collect():
@@ -92,7 +93,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", list_bytes
 
         def each(batch: pa.RecordBatch):
             both = [split_url(u) for u in batch.column("url").to_pylist()]
-            hits = [[f for f in candidate_forms(h, p, lengths) if f.encode("utf-8", "surrogatepass") in held] for h, p in both]
+            hits = [[f for f in candidate_forms(h, p, lengths, longest) if f.encode("utf-8", "surrogatepass") in held] for h, p in both]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([h for h, _ in both], pa.string()), pa.array([p for _, p in both], pa.string()), pa.array(hits, pa.list_(pa.string()))], names=["page_id", "host", "path", "forms"])
 
         return each
