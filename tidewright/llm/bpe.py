@@ -11,6 +11,7 @@ import json
 import struct
 import unicodedata
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ class Bpe:
         self.inner_ids, self.last_ids = (np.array([-1 if i is None else i for i in x], np.int64) for x in (self.inner, self.last))
         pairs_sorted = sorted(((a << 32) | b, rank, new) for (a, b), (rank, new) in self.merges.items())
         self.pair_keys, self.pair_ranks, self.pair_merged = (np.array([x[i] for x in pairs_sorted], t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+        self.special_head = commonprefix(list(self.specials))  # every special token begins with it; it may be empty
         self.split_special = regex.compile("|".join(sorted(map(regex.escape, self.specials), key=len, reverse=True))) if self.specials else None
         self.known: dict[str, tuple[bytes, str]] = {}
         from tokenizers import Regex, Tokenizer, pre_tokenizers
@@ -198,7 +200,7 @@ class Bpe:
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text. A special token's string stays whole: no word of plain text equals it."""
-        if not self.split_special or "<|" not in text:
+        if not self.split_special or self.special_head not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.split_special.finditer(text):
