@@ -344,7 +344,7 @@ def test_bpe_equals_library(spark):
     library = Tokenizer.from_file(bpe.default_path())
     rng = np.random.default_rng(4)
     bits = ["the", "ΑΣ", "e\u0301", " ", "\n", "'s", "12", "<|endoftext|>", "<|start", "!!", "日本", "\U0001f600", "İ", "zzzqqq", "\u0558", "ab" * 40]
-    texts = ODD[:9] + ODD[11:] + ["".join(bits[k] for k in rng.integers(0, len(bits), 25)) for _ in range(120)]
+    texts = ODD + ["".join(bits[k] for k in rng.integers(0, len(bits), 25)) for _ in range(120)]
     got = {r["doc_id"]: r for r in bpe.encode(docs(spark, texts)).collect()}
     for k, t in enumerate(texts):
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -364,6 +364,20 @@ def test_chat_snapshots(spark):
     assert chats.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_turns_of_equal_number_fall_in_many_blocks(spark):
+    log = [(1, 5 if k % 2 else None, "user", f"t{k:04d}") for k in range(900)]
+    log += [(2, t, r, x) for _, t, r, x in log[:]] + [(3, t, r, x) for _, t, r, x in log if t is None]
+    table = spark.createDataFrame(log, "conv_id long, turn long, role string, text string")
+    hashed = chats.prefix_hashes(table, common.Scratch(spark, "test"), 16).collect()
+    for conv in (1, 2, 3):
+        mine = sorted((r["at"], r["text"], r["h1"], r["h2"]) for r in hashed if r["conv_id"] == conv)
+        want = sorted((t is not None, x) for c, t, _, x in log if c == conv)
+        assert [(a, x) for a, x, _, _ in mine] == [(k + 1, x) for k, (_, x) in enumerate(want)]
+    assert {(r["at"], r["h1"], r["h2"]) for r in hashed if r["conv_id"] == 1} == {(r["at"], r["h1"], r["h2"]) for r in hashed if r["conv_id"] == 2}
+    got = {r["conv_id"]: r["n_turns"] for r in chats.collapse(table).collect()}
+    assert got == {1: 900}  # 2 equals 1, and 3 is its beginning
+
+
 # ---- 6: decontamination
 
 
@@ -386,11 +400,11 @@ def brute_contamination(texts, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, -1])
 def test_decontamination(spark, limit):
     item = prose(40, 25)
     items = [(3, item), (12, item), (4, "Short-Item here"), (5, None), (6, ""), (None, "nobody owns this"), (7, "word"), (8, " ".join(item.split()[5:15]))]
-    texts = ODD[:9] + [item.upper().replace(" ", ", ") + " end", "pre " + " ".join(item.split()[:9]), "pre " + " ".join(item.split()[3:14]) + " post", "a short item HERE", "nobody owns this, word", prose(41, 40)]
+    texts = ODD + [item.upper().replace(" ", ", ") + " end", "pre " + " ".join(item.split()[:9]), "pre " + " ".join(item.split()[3:14]) + " post", "a short item HERE", "nobody owns this, word", prose(41, 40)]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, row long")
     got = rows(decontaminate.contamination(docs(spark, texts), bench, ["doc_id"], limit), "row.doc_id", *(n for n, _ in decontaminate.RESULT))
     assert got == brute_contamination(texts, items)
