@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from tidewright.functions.lexicons import FIRST_PERSON, FUNCTION_WORDS, SPORT_WO
 PLACEHOLDER = r"\[[A-Z][A-Z_]*\]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tokenise(text: Column) -> Column:
     """Words of letters and apostrophes, lower-cased, and placeholders like [NAME], as they are."""
     return F.transform(F.regexp_extract_all(text, F.lit(PLACEHOLDER + "|[A-Za-z']+"), F.lit(0)), lambda t: F.when(t.startswith("["), t).otherwise(F.lower(t)))
@@ -42,48 +49,63 @@ def listed(tokens: Column, words: tuple[str, ...]) -> Column:
 
 def language(text: Column) -> Column:
     """struct(language, score, margin, tokens): the stop-word profile with the greatest share of the words; und below five words or a share of 0.10. Ties go to the smaller code."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    n = F.size(words)
-    ranked = F.array_sort(F.array(*(F.struct((-F.round(listed(words, w) / F.greatest(n, F.lit(1)), 9)).alias("s"), F.lit(code).alias("code")) for code, w in STOPWORDS.items())))
-    first, second = F.get(ranked, 0), F.get(ranked, 1)
-    known = (n >= 5) & (-first["s"] >= 0.10)
-    return F.struct(
-        F.when(known, first["code"]).otherwise("und").alias("language"),
-        F.when(n >= 5, F.round(-first["s"], 6)).otherwise(0.0).alias("score"),
-        F.when(n >= 5, F.round(second["s"] - first["s"], 6)).otherwise(0.0).alias("margin"),
-        n.cast("long").alias("tokens"),
-    )
+
+    def verdict(ranked: Column, n: Column) -> Column:
+        first, second = F.get(ranked, 0), F.get(ranked, 1)
+        known = (n >= 5) & (-first["s"] >= 0.10)
+        return F.struct(
+            F.when(known, first["code"]).otherwise("und").alias("language"),
+            F.when(n >= 5, F.round(-first["s"], 6)).otherwise(0.0).alias("score"),
+            F.when(n >= 5, F.round(second["s"] - first["s"], 6)).otherwise(0.0).alias("margin"),
+            n.cast("long").alias("tokens"),
+        )
+
+    def told(words: Column) -> Column:
+        n = F.size(words)
+        share = lambda w: (-F.round(listed(words, w) / F.greatest(n, F.lit(1)), 9)).alias("s")
+        ranked = F.array_sort(F.array(*(F.struct(share(w), F.lit(code).alias("code")) for code, w in STOPWORDS.items())))
+        return let(ranked, lambda r: verdict(r, n))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), told)
 
 
 def admission(text: Column) -> Column:
     """The first reason for which a text isn't admitted, else ok. A null text is empty."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
-    low = F.lower(t)
-    tokens, every = F.regexp_extract_all(low, F.lit(r"[a-z']+"), F.lit(0)), F.regexp_extract_all(low, F.lit(r"[^ \t\n\r\f\x0b]+"), F.lit(0))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}\s]", ""))
-    shaped = F.size(F.filter(tokens, lambda w: (F.length(w) <= 20) & ~w.rlike(r"(.)\1{3,}") & w.rlike("[aeiouy]")))
-    known = F.size(F.array_distinct(F.filter(tokens, lambda w: w.isin(*FUNCTION_WORDS))))
-    return (
-        F.when(F.length(t) == 0, "empty")
-        .when(letters / F.length(t) < 0.55, "not_letters")
-        .when((F.size(tokens) < 4) | (F.length(t) < 16), "too_short")
-        .when(shaped / F.size(tokens) < 0.60, "not_words")
-        .when((F.size(every) >= 8) & (F.size(F.array_distinct(every)) / F.size(every) < 0.30), "repetition")
-        .when(known < 2, "not_language")
-        .otherwise("ok")
-    )
+
+    def judged(p: Column) -> Column:
+        t, tokens, every = p["t"], p["tokens"], p["every"]
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}\s]", ""))
+        shaped = F.size(F.filter(tokens, lambda w: (F.length(w) <= 20) & w.rlike("[aeiouy]") & ~w.rlike(r"(.)\1{3,}")))
+        known = F.size(F.array_distinct(F.filter(tokens, lambda w: w.isin(*FUNCTION_WORDS))))
+        return (
+            F.when(F.length(t) == 0, "empty")
+            .when(letters / F.length(t) < 0.55, "not_letters")
+            .when((F.size(tokens) < 4) | (F.length(t) < 16), "too_short")
+            .when(shaped / F.size(tokens) < 0.60, "not_words")
+            .when((F.size(every) >= 8) & (F.size(F.array_distinct(every)) / F.size(every) < 0.30), "repetition")
+            .when(known < 2, "not_language")
+            .otherwise("ok")
+        )
+
+    def parted(t: Column) -> Column:
+        split = lambda low: F.struct(t.alias("t"), F.regexp_extract_all(low, F.lit(r"[a-z']+"), F.lit(0)).alias("tokens"), F.regexp_extract_all(low, F.lit(r"[^ \t\n\r\f\x0b]+"), F.lit(0)).alias("every"))
+        return let(let(F.lower(t), split), judged)
+
+    return let(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")), parted)
 
 
 def relevance(text: Column) -> Column:
     """Weighted first-person, topic and state words less shouting and digits, from 0 to 1."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z'\-]+"), F.lit(0))
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
-    n = F.size(tokens)
-    hits = lambda listed_words: F.least(F.size(F.array_distinct(F.filter(tokens, lambda t: t.isin(*listed_words)))), F.lit(3)) / 3
-    shouting = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]{2,}$"))) / F.greatest(F.size(words), F.lit(1))
-    digits = F.length(F.regexp_replace(text, "[^0-9]", "")) / F.greatest(F.length(text), F.lit(1))
-    score = 5.0 * listed(tokens, FIRST_PERSON) / F.greatest(n, F.lit(1)) + 0.25 * hits(SPORT_WORDS) + 0.30 * hits(STATE_WORDS) - shouting - 4.0 * digits
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+    def scored(tokens: Column) -> Column:
+        n = F.size(tokens)
+        hits = lambda listed_words: F.least(F.size(F.array_distinct(F.filter(tokens, lambda t: t.isin(*listed_words)))), F.lit(3)) / 3
+        shouts = let(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda words: F.size(F.filter(words, lambda w: w.rlike("^[A-Z]{2,}$"))) / F.greatest(F.size(words), F.lit(1)))
+        digits = F.length(F.regexp_replace(text, "[^0-9]", "")) / F.greatest(F.length(text), F.lit(1))
+        score = 5.0 * listed(tokens, FIRST_PERSON) / F.greatest(n, F.lit(1)) + 0.25 * hits(SPORT_WORDS) + 0.30 * hits(STATE_WORDS) - shouts - 4.0 * digits
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z'\-]+"), F.lit(0)), scored)
 
 
 JUNK = ("too_short", "no_alphabetic_content", "placeholder_only", "unbalanced_brackets", "truncated_ending", "repeated_token_run")
@@ -91,20 +113,22 @@ JUNK = ("too_short", "no_alphabetic_content", "placeholder_only", "unbalanced_br
 
 def junk_flags(text: Column, least_tokens: int = 3) -> Column:
     """The names of all junk checks that a text fails."""
-    words = tokenise(text)
-    n = F.size(words)
-    count = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
-    stripped = F.regexp_replace(text, r"\s+$", "")
-    run = (n >= 3) & F.exists(F.transform(F.array(words), lambda w: F.exists(F.sequence(F.lit(2), F.greatest(F.size(w) - 1, F.lit(2))), lambda i: (F.get(w, i) == F.get(w, i - 1)) & (F.get(w, i - 1) == F.get(w, i - 2)))), lambda x: x)
-    checks = (
-        n < least_tokens,
-        ~F.regexp_replace(text, PLACEHOLDER, "").rlike("[A-Za-z]"),
-        (n > 0) & F.forall(words, lambda w: w.startswith("[")),
-        (count("[") != count("]")) | (count("(") != count(")")),
-        (F.length(stripped) > 0) & ~stripped.rlike(r"[.!?\"']$"),
-        run,
-    )
-    return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for c, name in zip(checks, JUNK))), lambda x: x.isNotNull())
+
+    def checked(words: Column) -> Column:
+        n = F.size(words)
+        count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+        run = (n >= 3) & F.exists(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda i: (F.get(words, i) == F.get(words, i - 1)) & (F.get(words, i - 1) == F.get(words, i - 2)))
+        checks = (
+            n < least_tokens,
+            ~F.regexp_replace(text, PLACEHOLDER, "").rlike("[A-Za-z]"),
+            (n > 0) & F.forall(words, lambda w: w.startswith("[")),
+            (count("[") != count("]")) | (count("(") != count(")")),
+            let(F.regexp_replace(text, r"\s+$", ""), lambda stripped: (F.length(stripped) > 0) & ~stripped.rlike(r"[.!?\"']$")),
+            run,
+        )
+        return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for c, name in zip(checks, JUNK))), lambda x: x.isNotNull())
+
+    return let(tokenise(text), checked)
 
 
 #: Characters folded by normalisation.

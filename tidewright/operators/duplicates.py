@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.joins import join_dealt
+from tidewright.session import cut
+
 
 def exact_profile(rows: DataFrame, text: str) -> DataFrame:
     """Rows, distinct texts, rows in groups of two or more, and the largest group."""
@@ -23,22 +26,27 @@ def payload_plan(rows: DataFrame, payload: Column) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("calls"), (F.sum("n") - F.count(F.lit(1))).alias("copied"), F.round((F.sum("n") - F.count(F.lit(1))) / F.sum("n"), 9).alias("saving"), F.max("n").alias("fan_out"))
 
 
-def similar_pairs(rows: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
-    """(a, b, jaccard), a < b, of all pairs of classes of equal token sets whose Jaccard similarity is at least threshold.
+def _digest(tokens: str) -> Column:
+    """Equal for equal sets only: tokens with their lengths."""
+    return F.sha2(F.array_join(F.transform(tokens, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), ""), 256)
 
-    rows with equal sets are one class, named by its smallest key: copies don't multiply pairs. Tokens are ordered by
-    document frequency, rarest first; two sets this similar share a token among the first n - ceil(t n) + 1 of each, so
-    only those are joined, with a length bound; the sets are then compared. Empty sets match nothing.
-    """
+
+def _classes(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(id, n, set, digest) of each class of equal sets, named by its smallest key; written, since it is read several times."""
     sets = rows.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("set")).where(F.size("set") > 0)
-    classes = sets.groupBy("set").agg(F.min("id").alias("id"))
-    words = classes.select("id", F.size("set").alias("n"), F.explode("set").alias("token"))
+    named = sets.withColumn("digest", _digest("set"))
+    first = named.groupBy("digest").agg(F.min("id").alias("id"))
+    return cut(named.join(first, ["digest", "id"]).dropDuplicates(["digest"]).select("id", F.size("set").alias("n"), "set", "digest"))
+
+
+def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    words = classes.select("id", "n", F.explode("set").alias("token"))
     frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = words.join(frequency, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = join_dealt(words, frequency, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
     # tokens of one class only are the rarest of all; they take up places of the prefix but join with nothing
     alone = F.col("n") - F.size("order")
     length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - alone)
-    prefix = ranked.where(length > 0).select("id", "n", F.explode(F.slice("order", 1, length)).alias("p")).select("id", "n", F.col("p.token").alias("token"))
+    prefix = cut(ranked.where(length > 0).select("id", "n", F.explode(F.slice("order", 1, length)).alias("p")).select("id", "n", F.col("p.token").alias("token")))
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token")
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct()
     sa, sb = classes.select(F.col("id").alias("a"), F.col("set").alias("sa")), classes.select(F.col("id").alias("b"), F.col("set").alias("sb"))
@@ -46,18 +54,29 @@ def similar_pairs(rows: DataFrame, key: str, tokens: Column, threshold: float) -
     return both.select("a", "b", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
+def similar_pairs(rows: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
+    """(a, b, jaccard), a < b, of all pairs of classes of equal token sets whose Jaccard similarity is at least threshold.
+
+    rows with equal sets are one class, named by its smallest key: copies don't multiply pairs. Tokens are ordered by
+    document frequency, rarest first; two sets this similar share a token among the first n - ceil(t n) + 1 of each, so
+    only those are joined, with a length bound; the sets are then compared. Empty sets match nothing.
+    """
+    return _pairs(_classes(rows, key, tokens), threshold)
+
+
 def similar_items(rows: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
     """(key, class_id, copies, links) of every row: its class of equal token sets, the rows of that class, and how many other rows,
     copies included, have a set at least threshold similar. Empty sets match nothing: null, 0, 0.
     """
     sets = rows.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("set"))
-    classes = sets.where(F.size("set") > 0).groupBy("set").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    digest = lambda: F.sha2(F.array_join(F.transform("set", lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), ""), 256)
-    pairs = similar_pairs(rows, key, tokens, threshold)
-    sizes = classes.select(F.col("class_id").alias("b"), F.col("copies").alias("others"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sizes, "b").groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "class_id")
-    # joined by a digest, not by the grouped set: both sides come straight from a shuffle, so a large class can be split
-    named = classes.join(linked, "class_id", "left").select(digest().alias("digest"), "class_id", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    whole = sets.select(key, F.when(F.size("set") > 0, digest()).alias("digest")).join(named, "digest", "left")
+    members = cut(sets.select(key, F.when(F.size("set") > 0, _digest("set")).alias("digest")))
+    sizes = members.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    classes = _classes(rows, key, tokens)
+    named = classes.select("digest", F.col("id").alias("class_id")).join(sizes, "digest")
+    pairs = cut(_pairs(classes, threshold).select("a", "b"))
+    others = named.select(F.col("class_id").alias("b"), F.col("copies").alias("others"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(others, "b").groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "class_id")
+    links = named.join(linked, "class_id", "left").select("digest", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    whole = join_dealt(members, links, "digest", "left")
     return whole.select(key, "class_id", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))

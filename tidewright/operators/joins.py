@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import share_package
+
 
 def interval_overlap(left: DataFrame, right: DataFrame, on: str, width: float) -> DataFrame:
     """For each row of left(on, id, start, end) the row of right(on, rid, rstart, rend) with the largest overlap; of equal ones
@@ -33,49 +39,98 @@ def strict_inner(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(right, on)
 
 
+def join_dealt(rows: DataFrame, book: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with book(key, ...), which holds each key once, where a key may be hot among the rows: every key of the book
+    stands `salts` times, and a key's rows are dealt over them by a hash of the whole row."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copies = book.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def ngram_leakage(test: DataFrame, train: DataFrame, key: str, grams: Column) -> DataFrame:
-    """(key, n, seen): how many distinct n-grams each test row has and how many of them occur in train."""
+    """(key, n, seen): how many distinct n-grams each test row has and how many of them occur in train. The train side's n-grams
+    are met with the test side's before anything is made distinct: only those that occur are counted and shuffled on."""
     own = test.select(key, F.explode(F.array_distinct(grams)).alias("g"))
-    seen = train.select(F.explode(grams).alias("g")).distinct().withColumn("hit", F.lit(1))
+    wanted = own.select("g").distinct()
+    seen = train.select(F.explode(F.array_distinct(grams)).alias("g")).join(wanted, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
     return own.join(seen, "g", "left").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("seen"))
 
 
-def nearest_by_tokens(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """For each of queries(qid, qset) the row of rows(rid, rset) with the greatest Jaccard similarity; of equal ones the smallest rid.
-
-    Only rows that share a token are looked at; a query that shares none gets the smallest rid and zero.
-    """
-    q = queries.select("qid", F.size("qset").alias("nq"), F.explode("qset").alias("token"))
-    r = rows.select("rid", F.size("rset").alias("nr"), F.explode("rset").alias("token"))
-    shared = r.join(q, "token").groupBy("qid", "rid", "nq", "nr").agg(F.count(F.lit(1)).alias("both"))
-    score = F.col("both") / (F.col("nq") + F.col("nr") - F.col("both"))
-    best = shared.groupBy("qid").agg(F.max_by(F.struct("rid", score.alias("score")), F.struct(score, -F.col("rid"))).alias("b"))
-    first = F.broadcast(rows.agg(F.min("rid").alias("first")))  # one row
-    return queries.select("qid").join(best, "qid", "left").crossJoin(first).select("qid", F.coalesce("b.rid", "first").alias("rid"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+def _in_blocks(queries: DataFrame, rows: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame], most: int) -> DataFrame:
+    """search(queries, rows) over blocks of at most about `most` queries, a stated set, each gathered and sent to the tasks."""
+    parts = max(1, -(-queries.count() // most))
+    found = [search(queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k) if parts > 1 else queries, rows) for k in range(parts)]
+    every = found[0]
+    for one in found[1:]:
+        every = every.unionByName(one)
+    return every
 
 
-def cosine_nearest(queries: DataFrame, rows: DataFrame, most_queries: int = 20_000) -> DataFrame:
-    """(qid, rid, cosine): the nearest other row of rows(rid, v) for each of queries(qid, q), a stated set.
+def nearest_by_tokens(queries: DataFrame, rows: DataFrame, most: int = 20_000) -> DataFrame:
+    """For each of queries(qid, qset), a stated set, the row of rows(rid, rset) with the greatest Jaccard similarity; of equal ones
+    the smallest rid. A query that shares no token gets the smallest rid and zero.
 
-    The set is broadcast where its size is checked to be bounded; a larger one is read in blocks of that many queries.
+    The rows stay where they are: each batch counts the tokens that its rows share with every query of the block by an
+    inverted index and gives the best row for each query, so a frequent token joins nothing.
     """
-    n = queries.count()
-    if n > most_queries:
-        parts, out = -(-n // most_queries), None
-        for k in range(parts):
-            one = _nearest_block(queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k), rows)
-            out = one if out is None else out.unionByName(one)
-        return out
-    return _nearest_block(queries, rows)
-
-
-def _nearest_block(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    q, r = queries.withColumn("qn", norm("q")), rows.withColumn("rn", norm("v"))
-    cosine = F.round(dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("rn")), 9)
-    pairs = r.join(F.broadcast(q), F.col("rid") != F.col("qid")).select("qid", "rid", cosine.alias("cosine"))
-    best = pairs.groupBy("qid").agg(F.max_by(F.struct("rid", "cosine"), F.struct("cosine", -F.col("rid"))).alias("b"))
-    return best.select("qid", "b.rid", "b.cosine")
+    share_package(rows.sparkSession)
+
+    def search(block: DataFrame, rows: DataFrame) -> DataFrame:
+        held = [(r["qid"], r["qset"]) for r in block.collect()]  # of a bounded size
+        index: dict[str, list[int]] = {}
+        for k, (_, tokens) in enumerate(held):
+            for t in tokens or []:
+                index.setdefault(t, []).append(k)
+        sent = rows.sparkSession.sparkContext.broadcast(({t: np.array(v, np.int32) for t, v in index.items()}, np.array([len(t or []) for _, t in held], np.int64), [q for q, _ in held]))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            postings, sizes, names = sent.value
+            score, row = np.full(len(names), -1.0), np.zeros(len(names), np.int64)
+            for batch in batches:
+                for rid, tokens in zip(batch.column("rid").to_pylist(), batch.column("rset").to_pylist()):
+                    hits = [postings[t] for t in tokens or [] if t in postings]
+                    both = np.bincount(np.concatenate(hits), minlength=len(names)) if hits else np.zeros(len(names), np.int64)
+                    own = both / np.maximum(sizes + len(tokens or []) - both, 1)
+                    better = (own > score) | ((own == score) & (rid < row))
+                    score[better], row[better] = own[better], rid
+            some = score >= 0
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, s in zip(names, some) if s], pa.int64()), pa.array(row[some]), pa.array(score[some])], names=["qid", "rid", "score"])
+
+        return rows.select("rid", "rset").mapInArrow(best, "qid long, rid long, score double")
+
+    found = _in_blocks(queries, rows, search, most)
+    return found.groupBy("qid").agg(F.max_by(F.struct("rid", "score"), F.struct("score", -F.col("rid"))).alias("b")).select("qid", "b.rid", "b.score")
+
+
+def cosine_nearest(queries: DataFrame, rows: DataFrame, most: int = 20_000) -> DataFrame:
+    """(qid, rid, cosine): the nearest other row of rows(rid, v) for each of queries(qid, q), a stated set; of equal cosines (to nine
+    places) the smallest rid. Each batch of rows is multiplied with the block of queries as a matrix and gives its best rows."""
+    share_package(rows.sparkSession)
+
+    def search(block: DataFrame, rows: DataFrame) -> DataFrame:
+        held = block.collect()  # of a bounded size
+        q = np.array([r["q"] for r in held], float)
+        sent = rows.sparkSession.sparkContext.broadcast((q / np.linalg.norm(q, axis=1, keepdims=True) if held else q, np.array([r["qid"] for r in held], np.int64)))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unit, names = sent.value
+            score, row = np.full(len(names), -2.0), np.zeros(len(names), np.int64)
+            for batch in batches:
+                ids = np.array(batch.column("rid").to_pylist(), np.int64)
+                order = np.argsort(ids, kind="stable")
+                v = np.array(batch.column("v").to_pylist(), float)[order]
+                for at in range(0, len(ids) if len(names) else 0, 1024):
+                    part, mine = v[at : at + 1024], ids[order][at : at + 1024]
+                    cosine = np.round(unit @ (part / np.linalg.norm(part, axis=1, keepdims=True)).T, 9)
+                    cosine[names[:, None] == mine[None, :]] = -3.0
+                    k = cosine.argmax(axis=1)
+                    own, rid = cosine[np.arange(len(names)), k], mine[k]
+                    better = (own > score) | ((own == score) & (rid < row))
+                    score[better], row[better] = own[better], rid[better]
+            some = score >= -1.5
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(row[some]), pa.array(score[some])], names=["qid", "rid", "cosine"])
+
+        return rows.select("rid", "v").mapInArrow(best, "qid long, rid long, cosine double")
+
+    found = _in_blocks(queries, rows, search, most)
+    return found.groupBy("qid").agg(F.max_by(F.struct("rid", "cosine"), F.struct("cosine", -F.col("rid"))).alias("b")).select("qid", "b.rid", "b.cosine")

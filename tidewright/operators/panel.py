@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.joins import join_dealt
+from tidewright.operators.sampling import row_numbers
+
 
 def trajectories(rows: DataFrame, keys: list[str], t: str, value: str, least: int = 4) -> DataFrame:
     """n, slope (null under `least` points), volatility (sample deviation) and last step of each series."""
@@ -26,15 +29,16 @@ def islands(rows: DataFrame, keys: list[str], start: str, end: str, sign: Column
     return marked.withColumn("new", new).withColumn("island", F.sum("new").over(w)).groupBy(*keys, "island", "sign").agg(F.count(F.lit(1)).alias("n"), F.min(start).alias("first"), F.max(end).alias("last"))
 
 
-def average_rank(over: Window, ties: Window) -> Column:
-    """Rank with ties at their mean place."""
-    return F.rank().over(over) + (F.count(F.lit(1)).over(ties) - 1) / 2
-
-
 def spearman(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, rho): Pearson's correlation of average ranks within each key, null where one side is constant."""
-    rank = lambda c: average_rank(Window.partitionBy(key).orderBy(c), Window.partitionBy(key, c))
-    return rows.select(key, rank(a).alias("ra"), rank(b).alias("rb")).groupBy(key).agg(F.round(F.covar_pop("ra", "rb") / F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0)), 6).alias("rho"))
+
+    def ranked(rows: DataFrame, value: str, name: str) -> DataFrame:
+        placed = row_numbers(rows, key, [F.col(value)], name="__place")
+        ties = placed.groupBy(key, value).agg(F.avg("__place").alias(name))  # rows of one value stand side by side: their mean place
+        return join_dealt(rows.withColumn("__tie", F.struct(key, value)), ties.select(F.struct(key, value).alias("__tie"), name), "__tie").drop("__tie")
+
+    both = ranked(ranked(rows.select(key, a, b), a, "ra"), b, "rb")
+    return both.groupBy(key).agg(F.round(F.covar_pop("ra", "rb") / F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0)), 6).alias("rho"))
 
 
 def holm(rows: DataFrame, name: str, p: str, alpha: float) -> DataFrame:

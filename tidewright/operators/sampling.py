@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import draw
+from tidewright.session import cut
 
 
 def random_split(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
@@ -29,9 +30,27 @@ def group_disjoint_split(rows: DataFrame, key: str, groups: Column, share: float
     return drawn.select(key, F.when(F.size("sides") == 0, F.when(F.col("own"), "test").otherwise("train")).when(F.forall("sides", lambda x: x), "test").when(~F.exists("sides", lambda x: x), "train").otherwise("discarded").alias("side"))
 
 
+def row_numbers(rows: DataFrame, stratum: str, order: list[Column], name: str = "rn") -> DataFrame:
+    """rows with `name`, 1, 2, ... in each stratum by the order, and `name`_of, the stratum's size.
+
+    Rows are sorted by ranges of (stratum, order), so that a large stratum is spread over tasks; a range's rows are numbered on
+    from the count of the stratum's rows in the ranges before it.
+    """
+    placed = cut(rows.repartitionByRange(F.col(stratum), *order).withColumn("__range", F.spark_partition_id()))
+    counts = placed.groupBy(stratum, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy(stratum)
+    before = counts.select(
+        F.col(stratum).alias("__s"), F.col("__range").alias("__r"), F.sum("__n").over(every).alias(f"{name}_of"),
+        F.coalesce(F.sum("__n").over(every.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+    )
+    within = Window.partitionBy(stratum, "__range").orderBy(*order)
+    numbered = placed.withColumn(name, F.row_number().over(within)).join(before, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    return numbered.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__s", "__r", "__before")
+
+
 def stratified(rows: DataFrame, stratum: str, order: list[Column], n: int | Column) -> DataFrame:
-    """The first n rows of each stratum."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("rn") <= n)
+    """The first n rows of each stratum. n may read rn_of, the stratum's size."""
+    return row_numbers(rows, stratum, order).where(F.col("rn") <= n)
 
 
 def poisson_bootstrap(rows: DataFrame, key: str, value: str, resamples: int, seed: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +13,7 @@ from tidewright.operators import learning, profiles
 from tidewright.plans.catalog import query
 from tidewright.plans.q_metrics import _P, predictions
 from tidewright.plans.q_text import TOK, docs_of
+from tidewright.session import shared_root
 from tidewright.sources.readers import table
 from tidewright.streaming import streams
 
@@ -144,8 +144,7 @@ def s10(spark, sf):
 
 
 def _stream_root(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidewright-")
-    return f"{root.rstrip('/')}/tidewright/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark).rstrip('/')}/tidewright/stream-{uuid.uuid4().hex}"
 
 
 @query("w7_stream_first_seen", "select event_type, user_id from events group by all")

@@ -97,10 +97,13 @@ def _grams(n):
     return f"case when len(t) >= {n} then list_distinct(list_transform(range(1, len(t) - {n - 2}), lambda i: array_to_string(t[i:i+{n - 1}], ' '))) else [] end"
 
 
-@query("j9_ngram_leakage", f"with b as (select item_id, {_grams(6)} as g from (select item_id, {WS} as t from benchmark)), tr as (select distinct unnest(g) as g from (select {_grams(6)} as g from (select {WS} as t from documents))), x as (select item_id, unnest(g) as g from b) select item_id, count(*) as n, count(tr.g) as seen from x left join tr using (g) group by item_id")
+@query("j9_ngram_leakage", " union all ".join(f"select {k} as size, item_id, count(*) as n, count(tr.g) as seen from (select item_id, unnest({_grams(k)}) as g from (select item_id, {WS} as t from benchmark)) x left join (select distinct unnest(g) as g from (select {_grams(k)} as g from (select {WS} as t from documents))) tr using (g) group by item_id" for k in (4, 6, 8)))
 def j9(spark, sf):
-    bound = F.transform(F.array(X.whitespace_tokens(F.col("text"))), lambda t: X.ngrams(t, 6))[0]
-    return joins.ngram_leakage(table(spark, sf, "benchmark"), docs_of(spark, sf), "item_id", bound)
+    def of(size):
+        grams = X.let(X.whitespace_tokens(F.col("text")), lambda t: X.ngrams(t, size))
+        return joins.ngram_leakage(table(spark, sf, "benchmark"), docs_of(spark, sf), "item_id", grams).select(F.lit(size).alias("size"), "item_id", "n", "seen")
+
+    return of(4).unionByName(of(6)).unionByName(of(8))
 
 
 @query("j10_unseen_texts", "select doc_id from documents d where source <> 'src0' and not exists (select 1 from documents e where e.source = 'src0' and e.text = d.text)")
@@ -188,14 +191,14 @@ def j20(spark, sf):
     return d.join(p, "k", "full").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j21_coverage_map", "select r_name, n_name, count(s_suppkey) as n_suppliers, count(distinct c_custkey) as n_customers from region join nation on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey left join (select c_custkey, c_nationkey from customer where c_acctbal < 0) c on c_nationkey = n_nationkey group by all")
+@query("j21_coverage_map", "select r_name, n_name, count(distinct s_suppkey) as n_suppliers, count(distinct c_custkey) as n_customers from region join nation on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey left join (select c_custkey, c_nationkey from customer where c_acctbal < 0) c on c_nationkey = n_nationkey group by all")
 def j21(spark, sf):
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     s = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("ns"))
     c = table(spark, sf, "customer").where("c_acctbal < 0").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("nc"))
     both = n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     ns, nc = F.coalesce("ns", F.lit(0)), F.coalesce("nc", F.lit(0))
-    return both.select("r_name", "n_name", (ns * F.greatest(nc, F.lit(1))).alias("n_suppliers"), nc.alias("n_customers"))
+    return both.select("r_name", "n_name", ns.alias("n_suppliers"), nc.alias("n_customers"))
 
 
 @query("u1_label_set_difference", "select doc_id, array_to_string(list_sort(list_filter(['quality', 'toxic'], lambda x: (x = 'quality' and quality = 1 and n_chars <= 500) or (x = 'toxic' and toxic = 1 and n_chars <= 2000))), ',') as missed, array_to_string(list_filter(['quality', 'toxic'], lambda x: (x = 'quality' and quality = 0 and n_chars > 500) or (x = 'toxic' and toxic = 0 and n_chars > 2000)), ',') as spurious from documents join labels using (doc_id)")

@@ -175,9 +175,10 @@ def a18(spark, sf):
 
 @query("a20_lower_median_member", "with s as (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as k, count(*) over (partition by source) as n, max(n_chars) over (partition by source) - min(n_chars) over (partition by source) as spread from documents) select source, n, spread, doc_id as median_doc from s where k = (n - 1) // 2 + 1")
 def a20(spark, sf):
-    w = Window.partitionBy("source")
-    s = docs_of(spark, sf).select("source", "doc_id", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).alias("k"), F.count(F.lit(1)).over(w).alias("n"), (F.max("n_chars").over(w) - F.min("n_chars").over(w)).alias("spread"))
-    return s.where(F.col("k") == F.floor((F.col("n") - 1) / 2) + 1).select("source", "n", "spread", F.col("doc_id").alias("median_doc"))
+    d = docs_of(spark, sf).select("source", "doc_id", "n_chars")
+    spread = d.groupBy(F.col("source").alias("s")).agg((F.max("n_chars") - F.min("n_chars")).alias("spread"))
+    ranked = sampling.row_numbers(d, "source", [F.desc("n_chars"), F.col("doc_id")]).where(F.col("rn") == F.floor((F.col("rn_of") - 1) / 2) + 1)
+    return ranked.join(spread, F.col("source").eqNullSafe(F.col("s"))).select("source", F.col("rn_of").alias("n"), "spread", F.col("doc_id").alias("median_doc"))
 
 
 _U = lambda seed, key: f"('0x' || substr(md5('{seed}:' || cast({key} as varchar)), 1, 8))::bigint"
@@ -196,8 +197,8 @@ def p2(spark, sf):
 
 @query("p3_stratified_hold_out", f"with r as (select doc_id, source, row_number() over (partition by source order by {_U(3, 'doc_id')}, doc_id) as k, count(*) over (partition by source) as n from documents) select doc_id, source from r where k <= greatest(1, round_even(n * 0.1, 0))")
 def p3(spark, sf):
-    d = docs_of(spark, sf).select("doc_id", "source").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source")))
-    return sampling.stratified(d, "source", [X.draw(F.lit(3), F.col("doc_id")), F.col("doc_id")], F.greatest(F.lit(1), F.bround(F.col("n") * 0.1))).select("doc_id", "source")
+    d = docs_of(spark, sf).select("doc_id", "source").withColumn("u", X.draw(F.lit(3), F.col("doc_id")))
+    return sampling.stratified(d, "source", [F.col("u"), F.col("doc_id")], F.greatest(F.lit(1), F.bround(F.col("rn_of") * 0.1))).select("doc_id", "source")
 
 
 @query("p7_weighted_draw", f"with r as (select doc_id, source, round(-ln(({_U(9, 'doc_id')} + 1) / {float(2**32 + 1)}) / n_chars, 9) as e from documents where n_chars > 0) select doc_id, source from (select *, row_number() over (partition by source order by e, doc_id) as k from r) where k <= 3")
@@ -213,11 +214,19 @@ def b1(spark, sf):
     return sampling.poisson_bootstrap(table(spark, sf, "labels"), "doc_id", "quality", 200, 42)
 
 
-@query("x14_training_fingerprint", "select sha256(string_agg(h, '' order by h)) as fingerprint, sum(n)::bigint as n from (select substr(md5(text), 1, 2) as b, count(*) as n, sha256(string_agg(md5(text), '' order by md5(text))) as h from documents group by 1)")
+@query("x14_training_fingerprint", "with m as (select md5(coalesce(text, '')) as m, count(*) as n from documents group by 1), a as (select substr(m, 1, 6) as p, sum(n) as n, sha256(string_agg(m || ':' || n, ',' order by m)) as h from m group by 1), b as (select substr(p, 1, 4) as p, sum(n) as n, sha256(string_agg(h, '' order by p)) as h from a group by 1), c as (select substr(p, 1, 2) as p, sum(n) as n, sha256(string_agg(h, '' order by p)) as h from b group by 1) select sha256(string_agg(h, '' order by p)) as fingerprint, sum(n)::bigint as n from c")
 def x14(spark, sf):
-    # order-independent, in two levels: 256 buckets hash their own sorted rows
-    b = docs_of(spark, sf).select(F.md5("text").alias("m")).groupBy(F.substring("m", 1, 2).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("m")), ""), 256).alias("h"))
-    return b.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"), F.sum("n").alias("n"))
+    # order-independent, as a tree: different texts by six digits of their hash, then at most 256 hashes a node
+    def node(rows, digits, item):
+        parts = F.array_sort(F.collect_list(F.struct("p", item.alias("h"))))
+        joined = F.array_join(F.transform(parts, lambda x: x["h"]), "," if digits == 6 else "")
+        return rows.groupBy(F.substring("p", 1, digits).alias("q")).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("h")).withColumnRenamed("q", "p")
+
+    tree = docs_of(spark, sf).groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    tree = node(tree, 6, F.concat_ws(":", "p", F.col("n").cast("string")))
+    for digits in (4, 2, 0):
+        tree = node(tree, digits, F.col("h"))
+    return tree.select(F.col("h").alias("fingerprint"), "n")
 
 
 @query("f14_response_validation", "select event_id, case when props is null or props = '' then 'EMPTY_RESPONSE' when event_id % 9 = 0 then 'NOT_JSON' when event_id % 10 = 0 then 'MISSING_KEYS' when cast(json_extract(props, '$.k') as bigint) > 90 then 'BAD_INTENSITY' else 'OK' end as code from events")

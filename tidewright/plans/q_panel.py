@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as X
-from tidewright.operators import panel
+from tidewright.operators import panel, sampling
 from tidewright.plans.catalog import query
 from tidewright.plans.q_text import TOK, docs_of
 from tidewright.sources.readers import table
@@ -100,8 +100,8 @@ def w17(spark, sf):
 
 @query("w18_stride_sample", "with r as (select event_type, event_id, row_number() over (partition by event_type order by value, event_id) - 1 as k, count(*) over (partition by event_type) as n from events) select event_type, event_id from r where floor(k * 20 / n) > floor((k - 1) * 20 / n) or k = 0")
 def w18(spark, sf):
-    w = Window.partitionBy("event_type")
-    r = table(spark, sf, "events").withColumn("k", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    e = table(spark, sf, "events").select("event_type", "event_id", "value")
+    r = sampling.row_numbers(e, "event_type", [F.col("value"), F.col("event_id")]).withColumn("k", F.col("rn") - 1).withColumn("n", F.col("rn_of"))
     return r.where((F.floor(F.col("k") * 20 / F.col("n")) > F.floor((F.col("k") - 1) * 20 / F.col("n"))) | (F.col("k") == 0)).select("event_type", "event_id")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -25,6 +26,31 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset a local session gets a temporary
+    folder; on a cluster that would be a folder of each machine's own, so it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+    spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows written in the shared folder and read again: made once, and a lost executor costs one read."""
+    spark = rows.sparkSession
+    root = shared_root(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return rows.checkpoint()
+
+
 def share_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it. On a cluster without that path, use --py-files."""
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
