@@ -26,15 +26,16 @@ def payload_plan(rows: DataFrame, payload: Column) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("calls"), (F.sum("n") - F.count(F.lit(1))).alias("copied"), F.round((F.sum("n") - F.count(F.lit(1))) / F.sum("n"), 9).alias("saving"), F.max("n").alias("fan_out"))
 
 
-def _digest(tokens: str) -> Column:
-    """Equal for equal sets only: tokens with their lengths."""
-    return F.sha2(F.array_join(F.transform(tokens, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), ""), 256)
+def _sets(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(id, set, digest) of every row; digest, 128 bits of hashes of the sorted set, is null for empty sets. Written once."""
+    sets = rows.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("set"))
+    digest = F.struct(F.xxhash64("set").alias("h1"), F.xxhash64(F.lit("second"), "set").alias("h2"))
+    return cut(sets.withColumn("digest", F.when(F.size("set") > 0, digest)))
 
 
-def _classes(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
+def _classes(sets: DataFrame) -> DataFrame:
     """(id, n, set, digest) of each class of equal sets, named by its smallest key; written, since it is read several times."""
-    sets = rows.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("set")).where(F.size("set") > 0)
-    named = sets.withColumn("digest", _digest("set"))
+    named = sets.where("digest is not null")
     first = named.groupBy("digest").agg(F.min("id").alias("id"))
     return cut(named.join(first, ["digest", "id"]).dropDuplicates(["digest"]).select("id", F.size("set").alias("n"), "set", "digest"))
 
@@ -61,17 +62,17 @@ def similar_pairs(rows: DataFrame, key: str, tokens: Column, threshold: float) -
     document frequency, rarest first; two sets this similar share a token among the first n - ceil(t n) + 1 of each, so
     only those are joined, with a length bound; the sets are then compared. Empty sets match nothing.
     """
-    return _pairs(_classes(rows, key, tokens), threshold)
+    return _pairs(_classes(_sets(rows, key, tokens)), threshold)
 
 
 def similar_items(rows: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
     """(key, class_id, copies, links) of every row: its class of equal token sets, the rows of that class, and how many other rows,
     copies included, have a set at least threshold similar. Empty sets match nothing: null, 0, 0.
     """
-    sets = rows.select(F.col(key), F.array_sort(F.array_distinct(tokens)).alias("set"))
-    members = cut(sets.select(key, F.when(F.size("set") > 0, _digest("set")).alias("digest")))
+    sets = _sets(rows, key, tokens)
+    members = sets.select(F.col("id").alias(key), "digest")
     sizes = members.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    classes = _classes(rows, key, tokens)
+    classes = _classes(sets)
     named = classes.select("digest", F.col("id").alias("class_id")).join(sizes, "digest")
     pairs = cut(_pairs(classes, threshold).select("a", "b"))
     others = named.select(F.col("class_id").alias("b"), F.col("copies").alias("others"))
