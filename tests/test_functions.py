@@ -169,3 +169,40 @@ def test_nearest_in_blocks_is_the_same(spark):
     q = rows.where("rid % 5 = 0").select(F.col("rid").alias("qid"), F.col("v").alias("q"))
     a, b = (sorted(map(tuple, joins.cosine_nearest(q, rows, n).collect())) for n in (100, 5))
     assert a == b and len(a) == 12
+
+
+def test_a_detector_that_misses_the_canary_stops_the_scan(spark):
+    from tidewright.operators import findings
+
+    rows = spark.createDataFrame([(1, "mail a@b.org\n@dataclass\nvalue 0.5462333333 on 2026-08-16"), (2, "b@c.org  # pragma: allowlist secret"), (3, None)], "id int, body string")
+    got = sorted((r["id"], r["line"], r["kind"], r["evidence"], r["waived"]) for r in findings.gated_scan(rows, "id", "body").collect())
+    assert got == [(1, 1, "email", "a@a.aaa", False), (2, 1, "email", "a@a.aaa", True)]
+    with pytest.raises(RuntimeError, match="phone_number"):
+        findings.gated_scan(rows, "id", "body", findings.CANARY.replace("+44 20 7946 0958", "nobody"))
+
+
+def test_response_verdicts_of_odd_answers(spark):
+    from tidewright.operators import validation
+
+    rows = [(None, "EMPTY_RESPONSE", None), ("``` {} ```", "MISSING_KEYS", None), ('{"abstain": false, "rationale": "x", "confidence": 0, "labels": []}', "OK", True), ('{"abstain": null, "rationale": "x", "confidence": 0, "labels": []}', "BAD_ABSTAIN", None), ("12", "NOT_AN_OBJECT", None)]
+    table = spark.createDataFrame([(raw, code, abstain) for raw, code, abstain in rows], "raw string, code string, abstain boolean")
+    for r in table.select("code", "abstain", validation.response_verdict(F.col("raw"), F.lit("text"), {"worry": ()}).alias("v")).collect():
+        assert (r["v"]["code"], r["v"]["abstain"]) == (r["code"], r["abstain"])
+
+
+def test_first_kept_of_a_chain(spark):
+    from tidewright.plans.q_inventory import first_kept
+
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (10, 12), (11, 12)], "a long, b long")
+    assert {r["id"]: r["kept"] for r in first_kept(pairs).collect()} == {1: True, 2: False, 3: True, 4: False, 10: True, 11: False, 12: False}
+
+
+def test_row_numbers_of_a_large_stratum(spark):
+    from tidewright.operators import sampling
+
+    rows = spark.range(1000).selectExpr("id", "if(id < 900, 'big', null) as s", "id % 7 as v")
+    got = sampling.row_numbers(rows, "s", [F.col("v"), F.col("id")]).collect()
+    for s in ("big", None):
+        mine = sorted((r["v"], r["id"]) for r in got if r["s"] == s)
+        assert [(r["v"], r["id"]) for r in sorted((r for r in got if r["s"] == s), key=lambda r: r["rn"])] == mine
+        assert {r["rn_of"] for r in got if r["s"] == s} == {len(mine)}
