@@ -44,3 +44,17 @@ CUES = (
     ("strain", "que", 1, 1.0),
     ("strain", "der", 1, 1.0),
 )
+
+#: Abbreviations that end in a full stop.
+ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr st vs etc no approx dept univ fig al inc ltd co e.g i.e a.m p.m u.s u.k".split())
+
+#: De-identification of contacts, dates and quasi-identifiers: (kind, pattern), applied in order. Patterns avoid look-around
+#: where a plain form serves, so that other engines give the same result.
+DEID = (
+    ("URL", r"(?i)(https?://|www\.)[^\s]+"),
+    ("CONTACT", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("HANDLE", r"@[A-Za-z0-9][A-Za-z0-9_.]+"),
+    ("CONTACT", r"\+?[0-9][0-9 ().-]{7,}[0-9]"),
+    ("EVENT_WINDOW", r"(?i)([0-9]{1,2} )?(january|february|march|april|june|july|august|september|october|november|december) [0-9]{1,4}"),
+    ("ID", r"(?i)(number|no\.|#) ?[0-9]{1,3}"),
+)

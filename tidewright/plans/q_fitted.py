@@ -102,7 +102,9 @@ def w10(spark, sf):
     from tidewright.operators import sampling
 
     d = docs_of(spark, sf).withColumn("band", F.when(F.col("n_chars") < 1000, "short").otherwise("long"))
-    pool = sampling.stratified(d.select("doc_id", "lang", "source", "band"), "source", [F.col("doc_id")], 50)
+    # the draw takes keys of one cell in their order, so it can't look past the first 40 of any cell
+    cells = d.select("doc_id", "lang", "source", "band", F.concat_ws("|", "lang", "source", "band").alias("cell"))
+    pool = sampling.stratified(cells, "cell", [F.col("doc_id")], 40)
     chosen = learning.balanced_draw(pool, "doc_id", ["lang", "source", "band"], 40)
     return spark.createDataFrame([(i, k) for i, k in enumerate(chosen)], "place int, doc_id long")
 

@@ -257,7 +257,7 @@ def x26(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.size(F.array_distinct(words)).cast("long").alias("n"))
 
 
-@query("s20_url_parts", "select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '://([^/?#]*)', 1) as host, regexp_extract(url, '/([0-9]+)', 1) as number from pages")
+@query("x22_url_parts", "select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '://([^/?#]*)', 1) as host, regexp_extract(url, '/([0-9]+)', 1) as number from pages")
 def s20(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "/([0-9]+)", 1).alias("number"))
 

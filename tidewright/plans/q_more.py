@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidewright.functions import lexicons as L
 from tidewright.functions import text as X
 from tidewright.operators import metrics
-from tidewright.plans.catalog import query
+from tidewright.plans.catalog import ORACLES, query
 from tidewright.plans.q_joins import cue_hits
 from tidewright.plans.q_metrics import _H, _P, contributions, predictions
-from tidewright.plans.q_text import TOK, WS, docs_of
+from tidewright.plans.q_text import _ADMIT, TOK, WS, docs_of
 from tidewright.sources.readers import table, violations
 
 
@@ -280,7 +280,7 @@ def c11(spark, sf):
     return docs_of(spark, sf).select("doc_id").join(x, "doc_id", "left").groupBy(F.when(F.col("bad").isNull(), "skipped").when(F.col("bad") == 1, "error").otherwise("labelled").alias("state")).agg(N().alias("n"))
 
 
-@query("c13_gate_evaluation")
+@query("c13_gate_evaluation", f"{_ADMIT}, rel as ({ORACLES['f11_relevance']}) select lang, v.reason as gate, count(*) as n, sum(rel.on_topic::int)::bigint as on_topic from documents join v using (doc_id) join rel using (doc_id) group by all")
 def c13(spark, sf):
     d = docs_of(spark, sf)
     one = d.select("lang", X.admission(F.col("text")).alias("gate"), (X.relevance(F.col("text")) >= 0.25).alias("on_topic"))

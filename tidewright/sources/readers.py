@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ def clean_int(value: Column) -> Column:
 def read_jsonl(spark: SparkSession, path: str, source_id: str, schema: T.StructType = RAW_RECORD) -> DataFrame:
     """Records of JSON lines. Blank lines are skipped; a record without an id gets source_id and its line number within its
     file (blank lines counted); unknown keys are dropped; lines that are no JSON give a record of nulls."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = _numbered(spark.read.text(path), ["value"])
     parsed = lines.where(F.trim("value") != "").select("line", F.from_json("value", schema).alias("r")).select("line", "r.*")
     return _typed(parsed, source_id)
 
@@ -53,7 +53,18 @@ def read_csv(spark: SparkSession, path: str, source_id: str) -> DataFrame:
     if "text" not in rows.columns:
         raise ValueError("a text column is required")
     have = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast("string").alias(f.name) for f in RAW_RECORD]
-    return _typed(rows.select(*have).withColumn("line", F.monotonically_increasing_id()), source_id)
+    own = rows.select(*have, "_metadata")
+    return _typed(_numbered(own, [f.name for f in RAW_RECORD]), source_id)
+
+
+def _numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of rows read from files, with their number from 0 within the file as `line`. Rows are counted by the blocks in
+    which files are read, so a file may be split."""
+    placed = rows.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    blocks = placed.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("__file", "__block", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    return placed.join(starts, ["__file", "__block"]).select(*columns, (F.col("__start") + F.col("__at") - F.col("__first")).alias("line"))
 
 
 def _typed(rows: DataFrame, source_id: str) -> DataFrame:
