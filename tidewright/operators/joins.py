@@ -39,7 +39,11 @@ def strict_inner(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(right, on)
 
 
-def join_dealt(rows: DataFrame, book: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+#: Copies of each key of the smaller side of a dealt join.
+SALTS = 16
+
+
+def join_dealt(rows: DataFrame, book: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """rows joined with book(key, ...), which holds each key once, where a key may be hot among the rows: every key of the book
     stands `salts` times, and a key's rows are dealt over them by a hash of the whole row."""
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
