@@ -53,6 +53,7 @@ def collapse(conversations: DataFrame) -> DataFrame:
     """
     scratch = Scratch(conversations.sparkSession, "chats")
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").dropDuplicates()
+    turns = scratch.keep(turns, "turns")  # the ranges are sampled from it before it is sorted
     hashed = scratch.keep(prefix_hashes(turns, scratch), "hashes")
     ends = scratch.keep(hashed.groupBy("conv_id").agg(F.max(F.struct("at", "h1", "h2")).alias("end")), "ends")
     distinct = ends.groupBy("end.at", "end.h1", "end.h2").agg(F.min("conv_id").alias("kept_id"), F.count(F.col("conv_id")).alias("named"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.session import share_package
+from tidewright.operators.joins import SALTS, join_dealt  # noqa: F401
+from tidewright.session import share_package, shared_root
 
 #: Lower-cases A-Z and turns every ASCII byte that is not a letter or digit into a blank.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -55,29 +55,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Where the setting is absent a local session gets a temporary one; on a cluster
-    that would be a folder of each machine's own, so it is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 class Scratch:
     """Written tables of one operator call, in the shared folder. Each cuts lineage, so a lost executor costs one read."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         share_package(spark)
-        self.root = f"{checkpoint_root(spark).rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_root(spark).rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
         MADE.append(self)
 
     def path(self, table: str) -> str:
@@ -107,14 +91,3 @@ def clear_scratch() -> None:
     """Removes the intermediate tables of all operators called so far. Call it when their results have been read or written."""
     while MADE:
         MADE.pop().clear()
-
-
-SALTS = 16
-
-
-def join_dealt(rows: DataFrame, book: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with book(key, ...), which holds each key once, where a key may be hot among the rows: every key of the book
-    stands SALTS times, and a key's rows are dealt over them by a hash of the whole row."""
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    copies = book.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")

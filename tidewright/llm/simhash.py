@@ -134,10 +134,13 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     own = scratch.keep(map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")), _fingerprints, "doc_id long, th long, fp long"), "own")
     fps = scratch.keep(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     roots = scratch.keep(connected_components(links(fps, scratch, block), scratch), "roots")
-    named = scratch.keep(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = scratch.keep(join_dealt(named.select("fp", "root"), best, "root").select("fp", "component_id", "root"), "components")
-    return join_dealt(own, of_fp, "fp").select("doc_id", "th", "fp", "component_id", "root")
+    named = scratch.keep(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", "root"), "named")
+    linked = named.where("root is not null")  # a fingerprint without links is a component of its own
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    alone = named.where("root is null").select("fp", F.col("least").alias("component_id"), F.col("fp").alias("root"))
+    of_fp = scratch.keep(join_dealt(linked.select("fp", "root"), best, "root").select("fp", "component_id", "root").unionByName(alone), "components")
+    # both sides are written tables: they come straight from a shuffle, so the rows of a frequent fingerprint can be split
+    return own.join(of_fp, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
