@@ -412,7 +412,7 @@ def first_kept(pairs):
     return settled
 
 
-_NEAR = f"d as (select doc_id, list_sort(list_distinct({TOK})) as s from documents where lang in ('en', 'de') and n_chars >= 50), c as (select s, min(doc_id) as id from d where len(s) > 0 group by s), pp as (select a.id as a, b.id as b from c a join c b on a.id < b.id and len(a.s) >= len(b.s) * 0.8 - 1e-9 and len(b.s) >= len(a.s) * 0.8 - 1e-9 where len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.8 - 1e-12), nb as (select b as id, list(a) as smaller, row_number() over (order by b) as k from pp group by b)"
+_NEAR = f"d as (select doc_id, list_sort(list_distinct({TOK})) as s from documents where lang in ('en', 'de') and n_chars >= 50), c as (select s, min(doc_id) as id from d where len(s) > 0 group by s), t as (select id, len(s) as n, unnest(s) as tok from c), sh as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as i from t a join t b on a.tok = b.tok and a.id < b.id group by all), pp as (select a, b from sh where i / (na + nb - i) >= 0.8 - 1e-12), nb as (select b as id, list(a) as smaller, row_number() over (order by b) as k from pp group by b)"
 
 
 @query("p4_eligible_pool", f"with recursive {_NEAR}, r(k, dropped) as (select 0::bigint, []::bigint[] union all select r.k + 1, case when len(list_filter(smaller, lambda x: not list_contains(dropped, x))) > 0 then list_append(dropped, nb.id) else dropped end from r join nb on nb.k = r.k + 1) select c.id as doc_id from c where c.id not in (select unnest(dropped) from (select dropped from r order by k desc limit 1))")
