@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from zlib import crc32
 
 import numpy as np
@@ -194,6 +194,8 @@ def _address_candidates(text: str, base: set[tuple[int, int]]) -> list[Candidate
     out = []
     if "@" not in text and "at]" not in text and "at)" not in text:
         return out
+    sorted_base = sorted(base)
+    starts = [a for a, _ in sorted_base]
     for m in AT_SIGN.finditer(text):
         start, end = m.start(), m.start() + len(m[0].rstrip(".!?:'\"]}"))
         span = text[start:end]
@@ -203,7 +205,7 @@ def _address_candidates(text: str, base: set[tuple[int, int]]) -> list[Candidate
             end, span = (more.end(), text[start : more.end()]) if more else (end, span)
         before, after = _words_before(text, start), _word_after(text, end)
         local, ending = re.split(r"@|\x20?[\[(]at[\])]\x20?", span, maxsplit=1)[0], re.split(r"[^A-Za-z]+", span.lower())[-1]
-        inside = any(start <= a and b <= end for a, b in base)
+        inside = any(b <= end for _, b in sorted_base[bisect_left(starts, start) : bisect_left(starts, end)])
         votes = _pack((
             YES if inside or re.search(r"[A-Za-z0-9](?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z]{2,}$", span) else NO,
             YES if ending in ENDINGS else NO,
