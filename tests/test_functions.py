@@ -206,3 +206,59 @@ def test_row_numbers_of_a_large_stratum(spark):
         mine = sorted((r["v"], r["id"]) for r in got if r["s"] == s)
         assert [(r["v"], r["id"]) for r in sorted((r for r in got if r["s"] == s), key=lambda r: r["rn"])] == mine
         assert {r["rn_of"] for r in got if r["s"] == s} == {len(mine)}
+
+
+def test_a_ledger_batch_that_runs_again_replaces_its_own_rows(spark, tmp_path):
+    from tidewright.streaming import streams
+
+    rows = spark.createDataFrame([("2024-01-05", 1, 2.0), ("2024-01-06", 1, 3.0), ("2024-02-01", 1, 4.0), ("2024-02-01", None, 1.0)], "d string, user_id long, value double").withColumn("t", F.to_timestamp("d"))
+    write = streams.ledger_sink(str(tmp_path / "ledger"))
+    write(rows, 0)
+    write(rows.where("value < 3"), 1)
+    write(rows, 0)
+    got = sorted((r["batch_id"], r["month"], r["user_id"] or 0, r["spend"]) for r in streams.read_ledger(spark, str(tmp_path / "ledger")).collect())
+    assert got == [(0, "2024-01", 1, 5.0), (0, "2024-02", 0, 1.0), (0, "2024-02", 1, 4.0), (1, "2024-01", 1, 2.0), (1, "2024-02", 0, 1.0)]
+
+
+def test_clusters_of_far_apart_shapes(spark):
+    rows = spark.createDataFrame([(k, float(k % 3 * 100 + k % 2), 1.0) for k in range(60)] + [(60, None, 1.0)], "id long, a double, flat double")
+    got = {r["id"]: r["cluster"] for r in learning.cluster_shapes(rows, ["a", "flat"], 3).collect()}
+    assert len(got) == 60 and all(got[k] == got[k % 3] for k in got) and len(set(got.values())) == 3
+
+
+def test_text_model_on_held_out_rows(spark):
+    import random
+
+    rng = random.Random(4)
+    words = {0: "river stone cloud meadow".split(), 1: "engine bolt gear piston".split()}
+    rows = [(k, " ".join(rng.choice(words[k % 2] if rng.random() < 0.4 else ["the", "and", "of", "it"]) for _ in range(12)), k % 2) for k in range(300)]
+    d = spark.createDataFrame([*rows, (300, None, 0)], "id long, t string, y int")
+    told = learning.tfidf_logistic(d.where("id < 200"), d.where("id >= 200"), "t", "y").collect()
+    assert len(told) == 101 and sum(r["pred"] == r["y"] for r in told) >= 95
+    assert all(0 <= r["prob"] <= 1 and (r["prob"] > 0.5) == (r["pred"] == 1) for r in told)
+    one_class = learning.tfidf_logistic(d.where("y = 1"), d.where("id >= 290"), "t", "y").collect()
+    assert {(r["prob"], r["pred"]) for r in one_class} == {(1.0, 1)}
+
+
+def test_compatibility_folding_is_nfkc(spark):
+    import unicodedata
+
+    said = [None, "", "plain", "ﬁne Å ２０ ① ㎞", "e\u0301 x\u00b2"]
+    rows = spark.createDataFrame(list(enumerate(said)), "id int, t string")
+    got = {r["id"]: r["f"] for r in rows.select("id", udfs.fold_compatibility(rows, "t").alias("f")).collect()}
+    assert got == {k: t if t is None else unicodedata.normalize("NFKC", t) for k, t in enumerate(said)}
+
+
+def test_balanced_draw_agrees_with_the_plain_rule_on_the_documents(spark, sf):
+    from tidewright.plans import catalog
+
+    catalog.load_all()
+    got = [r["doc_id"] for r in catalog.QUERIES["w10_balanced_draw"](spark, sf).orderBy("place").collect()]
+    docs = {r["doc_id"]: (("lang", r["lang"]), ("source", r["source"]), ("band", "short" if r["n_chars"] < 1000 else "long")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want, seen = [], {}
+    while len(want) < 40:
+        best = min((sum(seen.get(s, 0) for s in strata), k) for k, strata in docs.items() if k not in want)[1]
+        want.append(best)
+        for s in docs[best]:
+            seen[s] = seen.get(s, 0) + 1
+    assert got == want

@@ -163,6 +163,31 @@ def w15t(spark, sf):
     return streams.drain(s, f"{root}/rows", f"{root}/checkpoint").select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+_STREAM_SESSIONS = """with e as (select user_id, epoch_us(ts) as us from events),
+s as (select *, coalesce((us - lag(us) over w >= 43200000000)::int, 1) as new from e window w as (partition by user_id order by us)),
+g as (select user_id, us, sum(new) over (partition by user_id order by us rows unbounded preceding) as g from s)
+select user_id, min(us)::bigint as start_us, count(*) as n from g group by user_id, g
+having max(us) + 43200000000 <= (select max(us) - 3600000000 from e)"""
+
+
+@query("w15_stream_sessions", _STREAM_SESSIONS)
+def w15ss(spark, sf):
+    """Sessions that are over: their end plus the gap lies behind the watermark."""
+    root = _stream_root(spark)
+    s = streams.sessions(streams.event_stream(spark, f"{sf}/events.parquet*"), "12 hours", "1 hour")
+    return streams.drain(s, f"{root}/rows", f"{root}/checkpoint").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("s11_ledger", "select strftime(ts, '%Y-%m') as month, user_id, round(sum(value), 4) as spend from events group by all")
+def s11(spark, sf):
+    """The cost ledger: appended batch by batch, then read whole."""
+    root = _stream_root(spark)
+    events = streams.event_stream(spark, f"{sf}/events.parquet*")
+    sink = events.writeStream.foreachBatch(streams.ledger_sink(f"{root}/ledger")).option("checkpointLocation", f"{root}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return streams.read_ledger(spark, f"{root}/ledger").groupBy("month", "user_id").agg(F.round(F.sum("spend"), 4).alias("spend"))
+
+
 @query("a13_parent_lengths", "select conv_id, length(string_agg(text, ' ' order by turn))::bigint as n from conversations group by conv_id")
 def a13p(spark, sf):
     return profiles.parent_context(table(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", F.length("context").cast("long").alias("n"))

@@ -23,6 +23,7 @@ def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
+    """Sessions of each user that a silence of `gap` ends, with their number of events."""
     w = events.withWatermark("t", late).groupBy("user_id", F.session_window("t", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return w.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -37,11 +38,16 @@ def ledger_sink(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spend = batch.groupBy(F.date_format("t", "yyyy-MM").alias("month"), "user_id").agg(F.sum("value").alias("spend"))
-        spend.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spend.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches of a ledger, with the batch they came in."""
+    return spark.read.schema("month string, user_id bigint, spend double, batch_id bigint").parquet(path)
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there now into a Parquet folder and returns its rows: append mode, so a window is out once
     the watermark has passed it."""
