@@ -438,6 +438,17 @@ def test_quality(spark):
     assert kept.columns == docs(spark, []).columns and kept.where(f"doc_id = {n + 5}").first()["n_chars"] == len(good)
 
 
+def test_a_text_of_many_lines_takes_linear_time(spark):
+    took = []
+    for n in (20_000, 200_000):
+        text = "\n".join(f"line {k % (n - 100)} says what happened on that day." for k in range(n))
+        began = time.perf_counter()
+        r = quality.judged(docs(spark, [text])).select("n_words", "n_dup_lines", "kept_words").first()
+        took.append(time.perf_counter() - began)
+        assert (r["n_words"], r["n_dup_lines"], r["kept_words"]) == (8 * n, 100, 8 * (n - 100))
+    assert took[1] < 60 and took[1] < 25 * took[0]
+
+
 def test_cleaned_text_holds_equal_lines_once(spark):
     good = [prose(110 + k, 20) + "." for k in range(12)]
     twice = ["", *good[:3], "", good[1], "  ", good[1] + " ", "Home | News | About | Contact", good[0], good[3], "  ", good[4], good[1], *good[5:], ""]

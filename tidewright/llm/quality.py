@@ -111,9 +111,10 @@ def judged(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
         _let(F.transform(real, lambda x: x["text"]), lambda r: F.size(r) - F.size(F.array_distinct(r))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )
-    # the first of equal lines stays: what a later copy holds is what all lines hold less what distinct lines hold
-    good = F.filter("lines", lambda x: (x["n"] > 0) & ~x["fails"])
-    kept_words = F.aggregate(F.array_distinct(good), F.lit(0), lambda acc, x: acc + x["n"])
+    # the first of equal lines stays: what a later copy holds is what all lines hold less what distinct lines hold. A line goes with
+    # its number of words as one string, since distinct strings are found by hashing but structs are compared pairwise
+    good = F.transform(F.filter("lines", lambda x: (x["n"] > 0) & ~x["fails"]), lambda x: F.concat_ws("\n", x["n"].cast("string"), x["text"]))
+    kept_words = F.aggregate(F.array_distinct(good), F.lit(0), lambda acc, x: acc + F.substring_index(x, "\n", 1).cast("int"))
     verdict = measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("kept_words", kept_words.cast("long"))
     once_each = F.when(F.col("n_dup_lines") > 0, first_of_equal(F.col("lines"))).otherwise(F.col("lines"))
     cleaned = F.array_join(F.transform(F.filter(once_each, lambda x: ~x["fails"]), lambda x: x["text"]), "\n")
