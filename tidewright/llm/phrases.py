@@ -25,7 +25,7 @@ from tidewright.llm.common import Scratch, map_batches, read_table, slices
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text that are worked on at once, and bits of the filter at most (8 MB).
-SLICE, MOST_BITS = 2 << 20, 1 << 26
+SLICE, MOST_BITS = 1 << 20, 1 << 26
 SALTS = 16
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 WORD, BLANK, BREAK = 0, 1, 2
@@ -76,7 +76,7 @@ class Words:
         self.end = self.begin + sizes
         self.bytes = np.full(int(self.end[-1]) + 1 if len(starts) else 0, 32, np.uint8)
         self.bytes[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = raw[of_word]
-        size = 1 << max(16, len(self.bytes).bit_length())
+        size = -(-max(1, len(self.bytes)) // SLICE) * SLICE
         self.hashes = []
         for base in BASES:
             power, back = _powers(base, size)
@@ -138,7 +138,7 @@ def _read(batch: pa.RecordBatch) -> Iterator[Words]:
         every = [(piece, own, lang) for text, lang in texts for piece, own in (parts_of(text) if len(text) > SLICE else [(text, len(text))])]
         while every:
             size, n = 0, 0
-            while n < len(every) and (not n or size + len(every[n][0]) <= 2 * SLICE):
+            while n < len(every) and (not n or size + len(every[n][0]) <= SLICE):
                 size += len(every[n][0])
                 n += 1
             yield Words(every[:n])
