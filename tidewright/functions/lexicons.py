@@ -54,7 +54,47 @@ DEID = (
     ("URL", r"(?i)(https?://|www\.)[^\s]+"),
     ("CONTACT", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("HANDLE", r"@[A-Za-z0-9][A-Za-z0-9_.]+"),
-    ("CONTACT", r"\+?[0-9][0-9 ().-]{7,}[0-9]"),
+    ("CONTACT", r"\+?[0-9]([ ().-]*[0-9]){8,}"),
     ("EVENT_WINDOW", r"(?i)([0-9]{1,2} )?(january|february|march|april|june|july|august|september|october|november|december) [0-9]{1,4}"),
     ("ID", r"(?i)(number|no\.|#) ?[0-9]{1,3}"),
 )
+
+#: Fixed values of the de-identification cascade: placeholders, and the cues that type them.
+PLACEHOLDERS = tuple("ATHLETE COACH TEAMMATE OPPONENT PERSON HANDLE CONTACT URL TEAM ORG LOCATION EVENT EVENT_WINDOW ID".split())
+ROLE_KINDS = {"coach": "COACH", "gaffer": "COACH", "manager": "COACH", "captain": "TEAMMATE", "skipper": "TEAMMATE", "teammate": "TEAMMATE"}
+ROLE_NOUNS = frozenset(
+    "agent boss captain chef coach dietician doctor gaffer keeper manager mentor nutritionist partner physician physio physiotherapist psych psychologist skipper "
+    "teammate therapist trainer".split()
+)
+WEEKDAYS = frozenset("monday tuesday wednesday thursday friday saturday sunday".split())
+MONTHS = tuple("january february march april may june july august september october november december".split())
+MONTH_SHORT = tuple("jan feb mar apr jun jul aug sep sept oct nov dec".split())
+UNITS = frozenset(
+    "second seconds sec secs minute minutes min mins hour hours metre metres meter meters m km mile miles yard yards kilo kilos kg lb lbs pound pounds rep reps set "
+    "sets lap laps length lengths degree degrees percent kmh mph point points".split()
+)
+ORDINALS = tuple("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split())
+#: What the last word of a run of two or more capitalised words makes of it.
+RUN_ENDS = {
+    "LOCATION": frozenset("arena stadium ground grounds park centre center complex court courts field oval pool track velodrome gym gymnasium hall dome bowl".split()),
+    "EVENT": frozenset("invitational championship championships open cup cups games series trials classic masters league grand prix marathon meet nationals olympics regionals worlds".split()),
+    "TEAM": frozenset("academy athletic athletics club fc harriers hurricanes lions rangers rovers runners stars striders swifts titans united wanderers warriors wolves".split()),
+    "ORG": frozenset("apparel association college corporation federation foundation group gmbh inc institute ltd nutrition plc polytechnic school society sportswear trust university".split()),
+}
+LOCATION_CUES = frozenset(
+    "arrive arrived arriving based drive drove fly flew flown flying head heading land landed live lived moving moved relocate relocated travel travelled traveled travelling".split()
+)
+OPPONENT_CUES = frozenset("against beat beaten beating drawn face faced facing lose losing lost outrun play playing".split())
+TITLES = frozenset("coach dr mr mrs ms miss prof professor sir captain capt".split())
+SPEECH_VERBS = frozenset("said says told adds added confirmed insisted admitted explained revealed announced".split())
+HEALTH_STRONG = frozenset(
+    "acl mcl aneurysm appendicitis arthritis asthma bipolar bursitis cancer concussion diabetes diagnosed diagnosis dislocated dislocation epilepsy fracture fractured "
+    "hernia mri prescribed prescription reconstruction rehab rehabilitation surgeon surgery surgical tendonitis tendinitis ultrasound "
+    "adderall amitriptyline citalopram codeine cortisone diazepam escitalopram fluoxetine gabapentin ibuprofen ketorolac lithium melatonin naproxen paroxetine prednisone "
+    "propranolol sertraline tramadol venlafaxine zopiclone".split()
+)
+HEALTH_WEAK = frozenset("inflammation infection operated operation scan strain strained tear therapy torn".split())
+HEALTH_NEAR = frozenset(
+    "achilles ankle arm arms back calf calves chest elbow foot feet finger fingers groin hand hands hamstring head heart hip hips knee knees leg legs muscle neck quad quads "
+    "ribs shoulder shoulders stomach thigh throat toe wrist appointment clinic consultant dose doctor hospital medication physio scan specialist treatment".split()
+)

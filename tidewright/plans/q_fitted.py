@@ -7,8 +7,8 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidewright.functions import deidentify, udfs
 from tidewright.functions import text as X
-from tidewright.functions import udfs
 from tidewright.operators import learning, profiles
 from tidewright.plans.catalog import query
 from tidewright.plans.q_metrics import _P, predictions
@@ -52,6 +52,37 @@ def x7(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.md5(text).alias("text_md5"), counts["CONTACT"].cast("long").alias("n_contact"))
 
 
+#: Sentences with identifiers, made of a row's values, and the placeholders that stand for them, by category.
+_PLANTED = (
+    ("name", "Ask Coach {name} about it.", "COACH"), ("name", "{name} {other} said it rained.", "ATHLETE"), ("name", "I lost against {name} again.", "OPPONENT"), ("handle", "Find me as @{lower}_{n} there.", "HANDLE"),
+    ("contact", "Write to {lower}@example.org soon.", "CONTACT"), ("contact", "Ring +44 20 7946 0{n} today.", "CONTACT"), ("url", "Look at https://example.org/{lower} first.", "URL"), ("place", "It was at {name} Stadium.", "LOCATION"),
+    ("team", "They run for {name} Harriers.", "TEAM"), ("event", "It was the {name} Invitational.", "EVENT"), ("date", "We met on 14 March 2021.", "EVENT_WINDOW"), ("quasi", "I wore number {d} there.", "ID"),
+    ("health", "I had surgery on it.", ""), ("negative", "I ran {d} laps and felt fine.", ""),
+)
+
+
+@query("x7_deidentify_cascade")
+def x7c(spark, sf):
+    d = docs_of(spark, sf)
+    found = deidentify.deidentified(d, "doc_id", "text", deidentify.common_words(d))
+    return found.select("doc_id", F.md5("text").alias("text_md5"), F.array_join(F.array_sort("kinds"), ",").alias("kinds"), F.col("clauses").cast("long").alias("clauses"), F.size("flags").cast("long").alias("n_flags"))
+
+
+@query("x7_planted_scores")
+def x7p(spark, sf):
+    """The cascade on a planted sentence for each customer: placeholders found against those expected, as multisets, by category."""
+    c = table(spark, sf, "customer").select("c_custkey", F.translate(F.regexp_extract("c_name", "[0-9]+", 0), "0123456789", "abdefgklmn").alias("lower"))
+    which = F.pmod(F.xxhash64("c_custkey"), F.lit(len(_PLANTED)))
+    said = F.get(F.array(*(F.lit(t) for _, t, _ in _PLANTED)), which.cast("int"))
+    for slot, value in (("name", F.initcap("lower")), ("other", F.initcap(F.reverse("lower"))), ("lower", F.col("lower")), ("n", F.lpad(F.pmod("c_custkey", F.lit(900)).cast("string"), 3, "1")), ("d", (F.pmod("c_custkey", F.lit(89)) + 2).cast("string"))):
+        said = F.replace(said, F.lit("{" + slot + "}"), value)
+    rows = c.select("c_custkey", said.alias("text"), *(F.get(F.array(*(F.lit(p[k]) for p in _PLANTED)), which.cast("int")).alias(name) for k, name in ((0, "category"), (2, "want"))))
+    found = deidentify.deidentified(rows, "c_custkey").select("c_custkey", "kinds").join(rows, "c_custkey")
+    hit = (F.col("want") != "") & F.array_contains("kinds", F.col("want"))
+    marks = found.select("category", hit.cast("long").alias("tp"), (F.size("kinds") - hit.cast("int")).cast("long").alias("fp"), ((F.col("want") != "") & ~hit).cast("long").alias("fn"))
+    return marks.groupBy("category").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+
+
 @query("a31_replacement_totals", "select kind, n from (" + " union all ".join(f"select '{k}' as kind, sum({' + '.join(v)})::bigint as n from documents" for k, v in _COUNTS.items()) + ")")
 def a31(spark, sf):
     _, counts = udfs.deidentify(F.col("text"))
