@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import deidentify, udfs
 from tidewright.functions import text as X
-from tidewright.operators import learning, profiles
+from tidewright.operators import draws, learning, profiles
 from tidewright.plans.catalog import query
 from tidewright.plans.q_metrics import _P, predictions
 from tidewright.plans.q_text import TOK, docs_of
@@ -54,7 +54,7 @@ def x7(spark, sf):
 
 #: Sentences with identifiers, made of a row's values, and the placeholders that stand for them, by category.
 _PLANTED = (
-    ("name", "Ask Coach {name} about it.", "COACH"), ("name", "{name} {other} said it rained.", "ATHLETE"), ("name", "I lost against {name} again.", "OPPONENT"), ("handle", "Find me as @{lower}_{n} there.", "HANDLE"),
+    ("name", "I told Coach {name} about it.", "COACH"), ("name", "{name} {other} said it rained.", "ATHLETE"), ("name", "I lost against {name} again.", "OPPONENT"), ("handle", "Find me as @{lower}_{n} there.", "HANDLE"),
     ("contact", "Write to {lower}@example.org soon.", "CONTACT"), ("contact", "Ring +44 20 7946 0{n} today.", "CONTACT"), ("url", "Look at https://example.org/{lower} first.", "URL"), ("place", "It was at {name} Stadium.", "LOCATION"),
     ("team", "They run for {name} Harriers.", "TEAM"), ("event", "It was the {name} Invitational.", "EVENT"), ("date", "We met on 14 March 2021.", "EVENT_WINDOW"), ("quasi", "I wore number {d} there.", "ID"),
     ("health", "I had surgery on it.", ""), ("negative", "I ran {d} laps and felt fine.", ""),
@@ -128,16 +128,37 @@ def c12(spark, sf):
     return learning.expensive_once(docs_of(spark, sf), F.col("text"), call, "answer long").select("doc_id", "answer")
 
 
-@query("w10_balanced_draw")
-def w10(spark, sf):
-    from tidewright.operators import sampling
+_POOL = "p as (select doc_id, lang, source, case when n_chars < 1000 then 'short' else 'long' end as band from documents)"
+
+
+def _greedy(name: str, start: str, steps: int) -> str:
+    """SQL of the rule itself: one row at a time, its values appended to the lists that the next step counts."""
+    return f"""{name}(step, chosen, langs, sources, bands) as ({start} union all
+    select step + 1, list_append(chosen, doc_id), list_append(langs, lang), list_append(sources, source), list_append(bands, band) from (
+        select r.*, p.*, row_number() over (order by len(list_filter(langs, lambda x: x = lang)), len(list_filter(sources, lambda x: x = source)), len(list_filter(bands, lambda x: x = band)), doc_id) as k
+        from {name} r, p where r.step < {steps} and not list_contains(chosen, doc_id)) where k = 1)"""
 
+
+@query("w10_balanced_draw", f"with recursive {_POOL}, {_greedy('r', 'select 0, []::bigint[], []::varchar[], []::varchar[], []::varchar[]', 60)}, l as (select chosen from r where step = 60) select unnest(chosen) as doc_id, generate_subscripts(chosen, 1) - 1 as place from l")
+def w10(spark, sf):
     d = docs_of(spark, sf).withColumn("band", F.when(F.col("n_chars") < 1000, "short").otherwise("long"))
-    # the draw takes keys of one cell in their order, so it can't look past the first 40 of any cell
-    cells = d.select("doc_id", "lang", "source", "band", F.concat_ws("|", "lang", "source", "band").alias("cell"))
-    pool = sampling.stratified(cells, "cell", [F.col("doc_id")], 40)
-    chosen = learning.balanced_draw(pool, "doc_id", ["lang", "source", "band"], 40)
-    return spark.createDataFrame([(i, k) for i, k in enumerate(chosen)], "place int, doc_id long")
+    chosen = draws.balanced_draw(d, "doc_id", ["lang", "source", "band"], 60)
+    return spark.createDataFrame([(k, i) for i, k in enumerate(chosen)], "doc_id long, place long")
+
+
+def _judged(spark, sf):
+    """Documents with their groups (what they are labelled, and their mail) and strata."""
+    d = docs_of(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
+    groups = F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 1, "good"), F.when(F.col("quality") == 0, "bad"), F.when(F.col("text").contains("@"), "mail")))
+    return d.select("doc_id", "lang", "source", F.when(F.col("n_chars") < 1000, "short").otherwise("long").alias("band"), groups.alias("groups"))
+
+
+@query("p5_gold_draw_coverage")
+def p5g(spark, sf):
+    """A draw of 80 by group quotas and then by strata, and what it covers."""
+    pool = _judged(spark, sf)
+    drawn = draws.gold_draw(pool, "doc_id", "groups", ["band", "lang", "source"], [X.draw(F.lit(44), F.col("doc_id"))], 8, 80)
+    return draws.coverage(drawn, pool, "doc_id", "groups", ["band", "lang", "source"])
 
 
 @query("c7_corpus_profile", f"with d as (select text, {TOK} as t from documents), m as (select count(*)::double as docs, sum(len(t))::double as tokens, count(distinct text)::double as distinct_texts, round(avg(len(t)), 6) as mean_tokens, sum((len(t) < 3)::int)::double as too_short from d) select metric, value from (unpivot m on docs, tokens, distinct_texts, mean_tokens, too_short into name metric value value)")
