@@ -160,8 +160,6 @@ def test_splits_are_stable_and_disjoint(spark):
 def test_balanced_draw_fills_rare_strata_first(spark):
     pool = spark.createDataFrame([(k, "a" if k < 8 else "b") for k in range(10)], "id long, s string")
     assert learning.balanced_draw(pool, "id", ["s"], 4) == [0, 8, 1, 9]
-    with pytest.raises(ValueError):
-        learning.balanced_draw(pool, "id", ["s"], 4, most_pool=5)
 
 
 def test_nearest_in_blocks_is_the_same(spark):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import share_package
+from tidewright.session import cut, share_package
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, on: str, width: float) -> DataFrame:
@@ -51,13 +51,21 @@ def join_dealt(rows: DataFrame, book: DataFrame, key: str, how: str = "inner", s
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 
 
-def ngram_leakage(test: DataFrame, train: DataFrame, key: str, grams: Column) -> DataFrame:
-    """(key, n, seen): how many distinct n-grams each test row has and how many of them occur in train. The train side's n-grams
-    are met with the test side's before anything is made distinct: only those that occur are counted and shuffled on."""
+#: Grams of the test side that may be sent to all tasks (some 40 MB).
+MOST_GRAMS = 500_000
+
+
+def ngram_leakage(test: DataFrame, train: DataFrame, key: str, grams: Column, *by: Column, most: int = MOST_GRAMS) -> DataFrame:
+    """(key, *by, n, seen): how many distinct n-grams each test row has and how many of them occur in train, by what `by` says of g.
+
+    If the test side has at most `most` different grams, they are sent to all tasks and the train side's grams are met with them where
+    they are made. Else the train side's grams are made distinct first, each task its own, so that a frequent gram is one row a task.
+    """
     own = test.select(key, F.explode(F.array_distinct(grams)).alias("g"))
-    wanted = own.select("g").distinct()
-    seen = train.select(F.explode(F.array_distinct(grams)).alias("g")).join(wanted, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
-    return own.join(seen, "g", "left").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("seen"))
+    wanted = cut(own.select("g").distinct())
+    every = train.select(F.explode(F.array_distinct(grams)).alias("g"))
+    met = every.join(F.broadcast(wanted), "g", "left_semi").distinct() if wanted.count() <= most else every.distinct().join(wanted, "g", "left_semi")
+    return join_dealt(own, met.withColumn("hit", F.lit(1)), "g", "left").groupBy(key, *by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("seen"))
 
 
 def _in_blocks(queries: DataFrame, rows: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame], most: int) -> DataFrame:

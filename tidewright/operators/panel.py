@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.joins import join_dealt
-from tidewright.operators.sampling import row_numbers
+from tidewright.operators.sampling import row_numbers, running_sums
+from tidewright.session import share_package
 
 
 def trajectories(rows: DataFrame, keys: list[str], t: str, value: str, least: int = 4) -> DataFrame:
@@ -64,3 +70,83 @@ def moving_type_ratio(tokens: DataFrame, key: str, at: str, token: str, width: i
     i = F.col(at) - F.col("lo")
     both = F.greatest(F.lit(0), F.least(i - F.col("gap"), F.col("n") - width) - F.greatest(i - width + 1, F.lit(0)) + 1)
     return sized.where(F.col("n") >= width).groupBy(key).agg((F.max("n") - width + 1).alias("windows"), (((F.max("n") - width + 1) * width - F.sum(F.when((F.col("gap") < width), both).otherwise(0))) / ((F.max("n") - width + 1) * width)).alias("mattr"))
+
+
+def _gaps(tokens: list[str], width: int) -> list[int]:
+    """For each token its distance to the last equal one, at most width, which also stands for none."""
+    ids = pa.array(tokens, pa.string()).dictionary_encode().indices.to_numpy()
+    order = np.argsort(ids, kind="stable")
+    out = np.full(len(ids), width, np.int64)
+    same = ids[order][1:] == ids[order][:-1]
+    out[order[1:][same]] = np.minimum(width, np.diff(order)[same])
+    return out.tolist()
+
+
+def stream_type_ratio(rows: DataFrame, order: list[Column], tokens: Column, width: int) -> DataFrame:
+    """(tokens, windows, mattr), one row: the mean share of distinct tokens over all windows of `width` (two or more) tokens of all
+    rows' tokens, one after the other in the rows' order. A stream shorter than a window is its only one; an empty one has 0.
+
+    Token i is the first of its kind in the windows that hold it but not the last equal token: as many as its distance to that, at
+    most width, but for the stream's ends. So rows are sorted by ranges, and each range adds up its own tokens but for the first
+    width - 1, whose predecessors may lie before it; those and its last 2 (width - 1), the halo of the next, go on as a row.
+    """
+    share_package(rows.sparkSession)
+    near, at_once = width - 1, 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, head, halo = 0, 0, [], []
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            for at in range(0, len(flat), at_once):
+                new = flat.slice(at, at_once).to_pylist()
+                # with the halo in front all new tokens are judged, but for the first ones of the range
+                total += sum(_gaps(halo[-near:] + new, width)[near:])
+                n += len(new)
+                head += new[: near - len(head)]
+                halo = (halo + new)[-2 * near :]
+        if n:
+            columns = [pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([total]), pa.array([head], pa.list_(pa.string())), pa.array([halo], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "total", "head", "halo"])
+
+    names = [f"__o{i}" for i in range(len(order))]
+    placed = rows.select(tokens.alias("__tokens"), *(c.alias(n) for c, n in zip(order, names))).repartitionByRange(*names).sortWithinPartitions(*names)
+    parts = placed.select("__tokens").mapInArrow(run, "part long, n long, total long, head array<string>, halo array<string>")
+    n, total, first, last = 0, 0, [], []
+    for r in sorted(parts.collect(), key=lambda r: r["part"]):  # at most 3 (width - 1) tokens a range
+        carry = last[-near:]
+        total += r["total"] + sum(_gaps(carry + r["head"], width)[len(carry) :])
+        first += r["head"][: near - len(first)]
+        last = (last + r["halo"])[-2 * near :]
+        n += r["n"]
+    if n <= 2 * near:  # the stream is at hand
+        spans = [last[i : i + width] for i in range(max(1, n - near))]
+        ratio = sum(len(set(x)) / max(1, len(x)) for x in spans) / len(spans)
+        return rows.sparkSession.createDataFrame([(n, len(spans) if n else 0, ratio)], "tokens long, windows long, mattr double")
+    # windows that would begin before the stream or end behind it don't exist
+    ends = [(i, g) for i, g in enumerate(_gaps(first, width))] + [(n - near + k, g) for k, g in enumerate(_gaps(last, width)[-near:])]
+    total -= sum(g - max(0, min(i + near, n - 1) - max(i - g + width, near) + 1) for i, g in ends)
+    windows = n - near
+    return rows.sparkSession.createDataFrame([(n, windows, total / (windows * width))], "tokens long, windows long, mattr double")
+
+
+def decayed_sums(rows: DataFrame, key: str, row_id: str, t: str, asks: Column, gives: Column, tau: float, reach: float) -> DataFrame:
+    """(row_id, n, decayed) of each asking row: the sum of exp(-(t - u) / tau) over the giving rows of its key at times u from t - reach
+    up to t, and how many they are. Row ids differ; asking rows without any are left out.
+
+    exp(-(t - u) / tau) is exp(-(t - c) / tau) exp((u - c) / tau), so one running sum of the second factor serves all asking rows. It is
+    taken by cells of length reach, where it stays small: what lies in reach is the asking row's own cell up to t and the cell
+    before it from t - reach on. No row is paired with another, and the cells of a busy key are summed by ranges.
+    """
+    cell = F.floor(F.col(t) / reach)
+    given = rows.where(gives).select(F.col(key).alias("k"), cell.alias("cell"), F.col(t).alias("u"), F.lit(1).alias("turn"), F.lit(0.0).alias("sign"), F.lit(None).cast("double").alias("t"), F.col(row_id).alias("id"), F.exp((F.col(t) - cell * reach) / tau).alias("w"), F.lit(1).alias("one"))
+    # in a cell: before what lies at t - reach, after what lies at t, and at the cell's end
+    spots = F.array(
+        F.struct(cell.alias("cell"), F.col(t).alias("u"), F.lit(2).alias("turn"), F.lit(1.0).alias("sign")),
+        F.struct((cell - 1).alias("cell"), (F.col(t) - reach).alias("u"), F.lit(0).alias("turn"), F.lit(-1.0).alias("sign")),
+        F.struct((cell - 1).alias("cell"), (cell * reach).cast("double").alias("u"), F.lit(2).alias("turn"), F.lit(1.0).alias("sign")),
+    )
+    asked = rows.where(asks).select(F.col(key).alias("k"), F.explode(spots).alias("s"), F.col(t).alias("t"), F.col(row_id).alias("id")).select("k", "s.cell", "s.u", "s.turn", "s.sign", "t", "id", F.lit(0.0).alias("w"), F.lit(0).alias("one"))
+    summed = running_sums(given.unionByName(asked), ["k", "cell"], [F.col("u"), F.col("turn"), F.col("id"), F.col("sign")], ["w", "one"])
+    share = F.col("sign") * F.exp(-(F.col("t") - F.col("cell") * reach) / tau) * F.col("sum_w")
+    found = summed.where("turn <> 1").groupBy(F.col("id").alias(row_id)).agg(F.sum(F.col("sign").cast("long") * F.col("sum_one")).alias("n"), F.sum(share).alias("decayed"))
+    return found.where("n > 0")

@@ -48,6 +48,21 @@ def row_numbers(rows: DataFrame, stratum: str, order: list[Column], name: str =
     return numbered.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__s", "__r", "__before")
 
 
+def running_sums(rows: DataFrame, keys: list[str], order: list[Column], values: list[str]) -> DataFrame:
+    """rows with sum_<value> for each value: its sum over the rows of equal keys up to this one, in an order without ties.
+
+    Rows are sorted by ranges of (keys, order), so that a large group is spread over tasks; what a group has in the ranges before is
+    added to what it has in its own.
+    """
+    placed = cut(rows.repartitionByRange(*map(F.col, keys), *order).withColumn("__range", F.spark_partition_id()))
+    upto = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "__range").agg(*(F.sum(v).alias(f"__t_{v}") for v in values))
+    before = sums.select(*keys, "__range", *(F.coalesce(F.sum(f"__t_{v}").over(upto), F.lit(0)).alias(f"__b_{v}") for v in values))
+    within = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.select("*", *(F.sum(v).over(within).alias(f"__w_{v}") for v in values)).join(before, [*keys, "__range"])
+    return own.select(*rows.columns, *((F.col(f"__w_{v}") + F.col(f"__b_{v}")).alias(f"sum_{v}") for v in values))
+
+
 def stratified(rows: DataFrame, stratum: str, order: list[Column], n: int | Column) -> DataFrame:
     """The first n rows of each stratum. n may read rn_of, the stratum's size."""
     return row_numbers(rows, stratum, order).where(F.col("rn") <= n)

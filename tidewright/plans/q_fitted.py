@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from tidewright.operators import draws, learning, profiles
 from tidewright.plans.catalog import query
 from tidewright.plans.q_metrics import _P, predictions
 from tidewright.plans.q_text import TOK, docs_of
-from tidewright.session import shared_root
+from tidewright.session import scratch_folder
 from tidewright.sources.readers import table
 from tidewright.streaming import streams
 
@@ -198,7 +196,7 @@ def s10(spark, sf):
 
 
 def _stream_root(spark) -> str:
-    return f"{shared_root(spark).rstrip('/')}/tidewright/stream-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "stream")
 
 
 @query("w7_stream_first_seen", "select event_type, user_id from events group by all")

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as X
+from tidewright.functions import udfs
 from tidewright.operators import duplicates, findings, sampling, validation
+from tidewright.operators.graph import first_kept
 from tidewright.plans.catalog import query
 from tidewright.plans.q_metrics import _EDGES, _H, _P, _U, contributions, predictions
 from tidewright.plans.q_text import TOK, docs_of
-from tidewright.session import cut, shared_root
+from tidewright.session import cut, scratch_folder
 from tidewright.sources.readers import table
 
 
@@ -22,7 +23,7 @@ def N():
 
 
 def _folder(spark, name):
-    return f"{shared_root(spark).rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name)
 
 
 # ---- stores, loaders, readers
@@ -38,20 +39,6 @@ def s9(spark, sf):
     return back.groupBy("batch", "annotator").agg(N().alias("n"), F.sum("label").alias("positive"))
 
 
-_CONFIG = [("a", '{"name": "a", "direction": "raises", "magnitude": 0.5}'), ("b", '{"name": "b", "direction": "up", "magnitude": 0.5}'), ("c", '{"name": "", "direction": "lowers", "magnitude": 2}'), ("d", '{"direction": "polar", "magnitude": "x"}'), ("e", "not json"), ("f", '{"name": "f", "direction": "polar", "magnitude": 1}')]
-_CONFIG_WANT = [("b", "BAD_DIRECTION"), ("c", "BAD_MAGNITUDE"), ("c", "NO_NAME"), ("d", "BAD_MAGNITUDE"), ("d", "NO_NAME"), ("e", "NOT_JSON")]
-
-
-@query("s16_config_violations", "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in _CONFIG_WANT) + ") v(entry, reason)")
-def s16(spark, sf):
-    rows = spark.createDataFrame(_CONFIG, "entry string, body string").withColumn("v", F.try_parse_json("body"))
-    get = lambda k, t: F.try_variant_get("v", f"$.{k}", t)
-    checks = {"NOT_JSON": F.col("v").isNull(), "NO_NAME": F.col("v").isNotNull() & (F.coalesce(get("name", "string"), F.lit("")) == ""),
-              "BAD_DIRECTION": F.col("v").isNotNull() & ~F.coalesce(get("direction", "string"), F.lit("")).isin("raises", "lowers", "polar"),
-              "BAD_MAGNITUDE": F.col("v").isNotNull() & ~F.coalesce(get("magnitude", "double").between(0, 1), F.lit(False))}
-    return rows.select("entry", F.explode(F.filter(F.array(*(F.when(c, k) for k, c in checks.items())), lambda x: x.isNotNull())).alias("reason"))
-
-
 @query("s17_consent_intake", "select case when event_id % 11 = 0 then 'NOT_JSON' when event_type not in ('signup', 'purchase') then 'NO_CONSENT' when cast(json_extract(props, '$.k') as bigint) < 5 then 'TOO_LITTLE' else 'ADMITTED' end as reason, count(*) as n from events group by 1")
 def s17(spark, sf):
     raw = F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("event_type").isin("signup", "purchase").alias("consent"), F.get_json_object("props", "$.k").cast("long").alias("amount"))))
@@ -132,10 +119,13 @@ def f24(spark, sf):
     return d.where(F.col("source").isNull() | F.col("source").isin("src1", "src3")).select("doc_id", F.when(F.col("source").isNull(), "NO_SOURCE").otherwise("NOT_GOLD").alias("reason"))
 
 
-@query("f25_refusals", f"with {_P} select label, case when count(*) = 0 then 'EMPTY_GOLD' when min(truth) = max(truth) then 'UNCALIBRATABLE' else 'OK' end as verdict from (select * from p union all select 0, 'en', 'constant', 1, 1, 0.5) group by label")
+@query("f25_refusals", f"with {_P}, want(label) as (values ('quality'), ('toxic'), ('clarity'), ('constant')), g as (select label, truth from p union all select 'constant', 1) select want.label, case when count(truth) = 0 then 'EMPTY_GOLD' when min(truth) = max(truth) then 'UNCALIBRATABLE' else 'OK' end as verdict from want left join g using (label) group by want.label")
 def f25(spark, sf):
+    """Labels that are asked for, also those without any gold row or with one class alone."""
     p = predictions(spark, sf).select("label", "truth").unionByName(spark.createDataFrame([("constant", 1)], "label string, truth int"))
-    return p.groupBy("label").agg(F.when(N() == 0, "EMPTY_GOLD").when(F.min("truth") == F.max("truth"), "UNCALIBRATABLE").otherwise("OK").alias("verdict"))
+    counted = p.groupBy("label").agg(F.count("truth").alias("n"), F.min("truth").alias("low"), F.max("truth").alias("high"))
+    want = spark.createDataFrame([(k,) for k in ("quality", "toxic", "clarity", "constant")], "label string")
+    return want.join(counted, "label", "left").select("label", F.when(F.coalesce("n", F.lit(0)) == 0, "EMPTY_GOLD").when(F.col("low") == F.col("high"), "UNCALIBRATABLE").otherwise("OK").alias("verdict"))
 
 
 _CONSTRUCTS = {"focus": ("focused", "distracted", "none"), "worry": ()}
@@ -189,11 +179,6 @@ def f18a(spark, sf):
     return found.groupBy("kind", "severity").agg(N().alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query("f26_canary_kinds", "select * from (values " + ", ".join(f"('{k}', '{s}')" for k, s, _ in findings.DETECTORS) + ") v(kind, severity)")
-def f26(spark, sf):
-    return findings.gated_scan(spark.createDataFrame([(1, findings.CANARY)], "id int, body string"), "id", "body").select("kind", "severity").distinct()
-
-
 _AGES = r"list_concat(list_concat(regexp_extract_all(said, '(?i)\bi(?:''m| am)\s+(\d{1,2})\b', 1), regexp_extract_all(said, '(?i)\b(\d{1,2})\s*[mf]\b', 1)), list_concat(regexp_extract_all(said, '(?i)\((\d{1,2})\s*[mf]\)', 1), regexp_extract_all(said, '(?i)\bage[d]?\s+(\d{1,2})\b', 1)))"
 _SAID = "case user_id % 5 when 0 then 'I''m ' || (user_id % 30) when 1 then 'here ' || (user_id % 30) || 'f now' when 2 then 'aged ' || (user_id % 40) when 3 then 'my high school' else 'I am ' || (user_id % 60) || ' minutes' end"
 
@@ -294,24 +279,20 @@ def x8(spark, sf):
     return docs_of(spark, sf).groupBy("lang").agg(F.sum(F.regexp_count(masked, F.lit(X.PLACEHOLDER))).alias("n"))
 
 
-@query("x18_sentence_around_span", r"with s as (select doc_id, text, strpos(text, 'icense') as pos from documents where contains(text, 'icense')), p as (select doc_id, pos, regexp_extract(substr(text, 1, pos - 1), '[^.!?\n]*$') as head, regexp_extract(substr(text, pos), '^[^.!?\n]*[.!?]*') as tail from s) select doc_id, pos - length(head) as first, trim(head || tail) as sentence from p")
-def x18(spark, sf):
-    s = docs_of(spark, sf).where(F.col("text").contains("icense")).select("doc_id", "text", F.instr("text", "icense").alias("at"))
-    p = s.select("doc_id", "at", F.regexp_extract(F.expr("substr(text, 1, at - 1)"), r"[^.!?\n]*\z", 0).alias("head"), F.regexp_extract(F.expr("substr(text, at)"), r"^[^.!?\n]*[.!?]*", 0).alias("tail"))
-    return p.select("doc_id", (F.col("at") - F.length("head")).alias("first"), F.trim(F.concat("head", "tail")).alias("sentence"))
+_SENTENCES = "[^.!?\\n]+[.!?]*"
 
 
-@query("x19_realigned_offsets", r"with t as (select doc_id, text, list_slice(regexp_extract_all(text, '[^\s]+'), 1, 6) as pieces from documents) select doc_id, list_transform(range(1, len(pieces) + 1), lambda i: length(regexp_extract(text, '^\s*(?:[^\s]+\s+){' || (i - 1) || '}'))) as starts from t")
-def x19(spark, sf):
-    """Each piece is looked for from the end of the one before it: a fold that carries the cursor."""
-    t = docs_of(spark, sf).select("doc_id", "text", F.slice(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)), 1, 6).alias("pieces"))
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("starts"))
+@query("x18_sentence_around_span", f"with s as (select doc_id, unnest(regexp_extract_all(text, '{_SENTENCES}')) as sentence, generate_subscripts(regexp_extract_all(text, '{_SENTENCES}'), 1) as place from documents where contains(text, 'icense')) select doc_id, place::bigint as place, trim(sentence, ' ') as sentence from s where contains(sentence, 'icense')")
+def x18(spark, sf):
+    """Every sentence that holds the span, with its place in the text."""
+    s = docs_of(spark, sf).where(F.col("text").contains("icense")).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_SENTENCES), F.lit(0))).alias("at", "sentence"))
+    return s.where(F.col("sentence").contains("icense")).select("doc_id", (F.col("at") + 1).cast("long").alias("place"), F.trim("sentence").alias("sentence"))
 
-    def locate(acc, piece):
-        at = F.call_function("locate", piece, F.col("text"), acc["cursor"] + 1) - 1
-        return F.struct((at + F.length(piece)).cast("int").alias("cursor"), F.concat(acc["starts"], F.array(at.cast("int"))).alias("starts"))
 
-    return t.select("doc_id", F.transform(F.aggregate("pieces", start, locate)["starts"], lambda x: x.cast("long")).alias("starts"))
+@query("x19_realigned_offsets", r"with t as (select doc_id, regexp_extract_all(text, '[ \t\n\f\r]*[^ \t\n\f\r]+') as runs from documents), p as (select doc_id, unnest(runs) as run, generate_subscripts(runs, 1) as i from t), o as (select doc_id, i, sum(length(run)) over (partition by doc_id order by i) - length(ltrim(run, E' \t\n\f\r')) as start from p), g as (select doc_id, count(*) as n, md5(string_agg(start::bigint, ',' order by i)) as starts_md5 from o group by doc_id) select doc_id, coalesce(n, 0) as n, coalesce(starts_md5, md5('')) as starts_md5 from documents left join g using (doc_id)")
+def x19(spark, sf):
+    """Where each piece of a whole text begins: looked for from the end of the one before it, so every character is passed once."""
+    return udfs.realigned(docs_of(spark, sf), "doc_id", "text").select("doc_id", F.size("starts").cast("long").alias("n"), F.md5(F.array_join("starts", ",")).alias("starts_md5"))
 
 
 _PICK = lambda seed, key, n: f"({_U(seed, key)} % {n})"
@@ -346,15 +327,6 @@ def m12(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json(validation.unfenced(fenced), "k long")["k"].alias("k"))
 
 
-_PLAN = {"queries": ["a10", "b3"], "seed": 42, "tolerance": 0.001}
-
-
-@query("m17_plan_fingerprint", f"""select sha256('{json.dumps(_PLAN, sort_keys=True, separators=(",", ":"))}') as fingerprint, count(*) as n from region""")
-def m17(spark, sf):
-    canonical = F.to_json(F.struct(F.array(F.lit("a10"), F.lit("b3")).alias("queries"), F.lit(42).alias("seed"), F.lit(0.001).alias("tolerance")))
-    return table(spark, sf, "region").agg(F.sha2(F.max(canonical), 256).alias("fingerprint"), N().alias("n"))
-
-
 # ---- resamples
 
 
@@ -388,10 +360,10 @@ def b3(spark, sf):
     return _bounds(m, 2 * F.col("tp") / (2 * F.col("tp") + F.col("wrong")))
 
 
-@query("b6_rating_sheet", f"with i as (select doc_id, kind, {_U(9, 'doc_id || kind')} as u from labels, (values ('model'), ('control'), ('mismatch')) k(kind)) select row_number() over (order by u, doc_id, kind) as place, doc_id, kind from i where doc_id % 20 = 0")
+@query("b6_rating_sheet", f"with i as (select doc_id, kind, {_U(9, 'doc_id || kind')} as u from labels, (values ('model'), ('control'), ('mismatch')) k(kind)) select row_number() over (order by u, doc_id, kind) as place, doc_id, kind from i")
 def b6(spark, sf):
-    """Three items for each rated text, in an order that tells nothing of their kind. The sheet is what people rate: a few rows."""
-    i = table(spark, sf, "labels").where("doc_id % 20 = 0").select("doc_id", F.explode(X.among(("model", "control", "mismatch"))).alias("kind"))
+    """Three items for each rated text, in an order that tells nothing of their kind; ordered by ranges."""
+    i = table(spark, sf, "labels").select("doc_id", F.explode(X.among(("model", "control", "mismatch"))).alias("kind"))
     i = i.withColumn("u", X.draw(F.lit(9), F.concat(F.col("doc_id").cast("string"), "kind"))).withColumn("sheet", F.lit(0))
     return sampling.row_numbers(i, "sheet", [F.col("u"), F.col("doc_id"), F.col("kind")]).select(F.col("rn").alias("place"), "doc_id", "kind")
 
@@ -399,19 +371,6 @@ def b6(spark, sf):
 # ---- pools
 
 
-def first_kept(pairs):
-    """(id, kept) of every id in pairs(a, b), a < b: an id is kept unless a kept smaller one is its partner. Each round settles the
-    ids whose smaller partners are all settled; a chain of n takes n rounds, a cluster of copies two."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    settled = cut(ids.join(pairs.select(F.col("b").alias("id")), "id", "left_anti").withColumn("kept", F.lit(True)))
-    total = ids.count()
-    while settled.count() < total:
-        known = pairs.join(settled.withColumnRenamed("id", "a"), "a", "left").groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.min(F.col("kept").isNotNull()).alias("all"))
-        new = known.where(F.col("hit") | F.col("all")).join(settled, "id", "left_anti").select("id", (~F.col("hit")).alias("kept"))
-        settled = cut(settled.unionByName(new))
-    return settled
-
-
 _NEAR = f"d as (select doc_id, list_sort(list_distinct({TOK})) as s from documents where lang in ('en', 'de') and n_chars >= 50), c as (select s, min(doc_id) as id from d where len(s) > 0 group by s), t as (select id, len(s) as n, unnest(s) as tok from c), sh as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as i from t a join t b on a.tok = b.tok and a.id < b.id group by all), pp as (select a, b from sh where i / (na + nb - i) >= 0.8 - 1e-12), nb as (select b as id, list(a) as smaller, row_number() over (order by b) as k from pp group by b)"
 
 
@@ -459,13 +418,6 @@ def p2w(spark, sf):
     return side.join(left.groupBy("user_id").agg(N().alias("n")), "user_id", "left").select("user_id", "side", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("p8_constructed_corpus", f"select i as record_id, 'athlete ' || ({_U(41, 'i')} % 50) || ' feels ' || case {_U(42, 'i')} % 3 when 0 then 'calm' when 1 then 'nervous' else 'ready' end as text, {_U(43, 'i')} % 14 as days from range(2000) t(i)")
-def p8(spark, sf):
-    u = lambda seed: X.draw(F.lit(seed), F.col("record_id"))
-    feels = F.element_at(X.among(("calm", "nervous", "ready")), (u(42) % 3 + 1).cast("int"))
-    return spark.range(2000).withColumnRenamed("id", "record_id").select("record_id", F.concat(F.lit("athlete "), (u(41) % 50).cast("string"), F.lit(" feels "), feels).alias("text"), (u(43) % 14).alias("days"))
-
-
 _SYN = (("red", "crimson"), ("green", "olive"), ("blue", "navy"), ("big", "large"), ("small", "tiny"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import lexicons as L
 from tidewright.functions import text as X
-from tidewright.operators import duplicates, joins, profiles
+from tidewright.operators import duplicates, joins, panel, profiles
 from tidewright.plans.catalog import query
 from tidewright.plans.q_text import TOK, WS, docs_of, sql_list
 from tidewright.sources.readers import table
@@ -90,7 +90,7 @@ def j7(spark, sf):
 def j8(spark, sf):
     d = docs_of(spark, sf)
     first = d.groupBy("text").agg(F.min("source").alias("first"))
-    return d.join(first, "text").agg(F.sum((F.col("first") < F.col("source")).cast("long")).alias("leaked"), F.count(F.lit(1)).alias("n"))
+    return joins.join_dealt(d.select("text", "source"), first, "text").agg(F.sum((F.col("first") < F.col("source")).cast("long")).alias("leaked"), F.count(F.lit(1)).alias("n"))
 
 
 def _grams(n):
@@ -99,11 +99,11 @@ def _grams(n):
 
 @query("j9_ngram_leakage", " union all ".join(f"select {k} as size, item_id, count(*) as n, count(tr.g) as seen from (select item_id, unnest({_grams(k)}) as g from (select item_id, {WS} as t from benchmark)) x left join (select distinct unnest(g) as g from (select {_grams(k)} as g from (select {WS} as t from documents))) tr using (g) group by item_id" for k in (4, 6, 8)))
 def j9(spark, sf):
-    def of(size):
-        grams = X.let(X.whitespace_tokens(F.col("text")), lambda t: X.ngrams(t, size))
-        return joins.ngram_leakage(table(spark, sf, "benchmark"), docs_of(spark, sf), "item_id", grams).select(F.lit(size).alias("size"), "item_id", "n", "seen")
-
-    return of(4).unionByName(of(6)).unionByName(of(8))
+    # one pass: grams of all sizes, each behind its size
+    sized = lambda t, k: F.transform(X.ngrams(t, k), lambda g: F.concat(F.lit(f"{k}|"), g))
+    grams = X.let(X.whitespace_tokens(F.col("text")), lambda t: F.concat(*(sized(t, k) for k in (4, 6, 8))))
+    found = joins.ngram_leakage(table(spark, sf, "benchmark"), docs_of(spark, sf), "item_id", grams, F.substring_index("g", "|", 1).cast("int").alias("size"))
+    return found.select("size", "item_id", "n", "seen")
 
 
 @query("j10_unseen_texts", "select doc_id from documents d where source <> 'src0' and not exists (select 1 from documents e where e.source = 'src0' and e.text = d.text)")
@@ -161,11 +161,9 @@ def j15(spark, sf):
 
 @query("j16_decay_kernel", f"with e as (select *, {_NTS} / 1e6 as t from events) select a.event_id, round(least(1.0, greatest(0.0, sum(0.4 * exp(-(a.t - b.t) / 21600.0)))), 6) as arousal from e a join e b on a.user_id = b.user_id and b.t <= a.t and b.t >= a.t - 172800 and b.event_type in ('error', 'purchase') where a.event_type = 'view' group by a.event_id")
 def j16(spark, sf):
-    e = table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("cell", F.floor(F.col("t") / 172800))
-    a = e.where("event_type = 'view'").select("event_id", "user_id", "t", F.explode(F.array("cell", F.col("cell") - 1)).alias("cell"))
-    b = e.where(F.col("event_type").isin("error", "purchase")).select("user_id", F.col("t").alias("tb"), "cell")
-    both = a.join(b, ["user_id", "cell"]).where((F.col("tb") <= F.col("t")) & (F.col("tb") >= F.col("t") - 172800))
-    return both.groupBy("event_id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sum(0.4 * F.exp(-(F.col("t") - F.col("tb")) / 21600.0)))), 6).alias("arousal"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    found = panel.decayed_sums(e, "user_id", "event_id", "t", F.col("event_type") == "view", F.col("event_type").isin("error", "purchase"), 21600.0, 172800.0)
+    return found.select("event_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.4 * F.col("decayed"))), 6).alias("arousal"))
 
 
 @query("j18_top_contributions", "with r as (select l_orderkey, l_linenumber, l_extendedprice, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey, l_quantity) as k from lineitem) select o_orderkey, count(r.k) as n_spans, coalesce(string_agg(cast(l_linenumber as varchar), ',' order by k), '') as top from orders left join r on o_orderkey = l_orderkey and k <= 3 group by o_orderkey")

@@ -189,12 +189,6 @@ def p1(spark, sf):
     return sampling.random_split(docs_of(spark, sf).select("doc_id"), "doc_id", 0.2, 42)
 
 
-@query("p2_group_disjoint_split", f"with d as (select user_id, list_sort(list_distinct(list(event_type || cast(day(ts) as varchar)))) as g from events group by user_id), s as (select user_id, list_transform(list_slice(g, 1, 2), lambda x: ('0x' || substr(md5('7:' || x), 1, 8))::bigint < {int(0.5 * 2**32)}) as s from d) select user_id, case when len(list_filter(s, lambda x: not x)) = 0 then 'test' when len(list_filter(s, lambda x: x)) = 0 then 'train' else 'discarded' end as side from s")
-def p2(spark, sf):
-    g = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.concat("event_type", F.dayofmonth("ts").cast("string")))).alias("g"))
-    return sampling.group_disjoint_split(g, "user_id", F.slice("g", 1, 2), 0.5, 7)
-
-
 @query("p3_stratified_hold_out", f"with r as (select doc_id, source, row_number() over (partition by source order by {_U(3, 'doc_id')}, doc_id) as k, count(*) over (partition by source) as n from documents) select doc_id, source from r where k <= greatest(1, round_even(n * 0.1, 0))")
 def p3(spark, sf):
     d = docs_of(spark, sf).select("doc_id", "source").withColumn("u", X.draw(F.lit(3), F.col("doc_id")))

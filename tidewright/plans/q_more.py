@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import lexicons as L
 from tidewright.functions import text as X
-from tidewright.operators import metrics
+from tidewright.operators import joins, metrics
 from tidewright.plans.catalog import ORACLES, query
 from tidewright.plans.q_joins import cue_hits
 from tidewright.plans.q_metrics import _H, _P, contributions, predictions
@@ -82,13 +82,6 @@ def f20(spark, sf):
     return docs_of(spark, sf).where("lang <> 'en'").groupBy("source").agg(N().alias("refused"))
 
 
-@query("f26_canary_detectors", "select 'email' as kind, 1 as fired union all select 'hex', 1 union all select 'phone', 1")
-def f26(spark, sf):
-    canary = spark.createDataFrame([("a@example.org +1 (555) 555-0100 " + "0123456789abcdef" * 2,)], "t string")
-    kinds = {"email": r"[a-z]+@[a-z.]+", "hex": "[0-9a-f]{24,}", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
-    return canary.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col("t").rlike(p).cast("int").alias("fired")) for k, p in kinds.items()))).alias("x")).select("x.*")
-
-
 @query("a15_label_counts", f"with {_P} select label, count(distinct doc_id) as records, sum(truth)::bigint as positives, round(avg(truth), 6) as share from p group by label")
 def a15(spark, sf):
     return predictions(spark, sf).groupBy("label").agg(F.countDistinct("doc_id").alias("records"), F.sum("truth").alias("positives"), F.round(F.avg("truth"), 6).alias("share"))
@@ -252,7 +245,7 @@ def p10(spark, sf):
 def l6(spark, sf):
     d = docs_of(spark, sf)
     cache = d.groupBy("text").agg(F.round(F.avg(F.size(X.tokenise(F.col("text")))), 6).alias("score"))
-    return d.select("doc_id", "text").join(cache, "text").select("doc_id", "score")
+    return joins.join_dealt(d.select("doc_id", "text"), cache, "text").select("doc_id", "score")
 
 
 @query("l8_coverage_ledger", f"with {_H}, k as (select construct, count(*) as n from h group by construct) select w.construct, case when k.n is null then 'silent' when w.direction = 0 then 'inert' else 'evidenced' end as state from w left join k using (construct)")

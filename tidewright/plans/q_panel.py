@@ -41,6 +41,13 @@ def w6(spark, sf):
     return panel.moving_type_ratio(t, "doc_id", "at", "token", 50).select("doc_id", "windows", F.round("mattr", 6).alias("mattr"))
 
 
+@query("a6_stream_type_ratio", f"with t as (select doc_id, {TOK} as tok from documents), s as (select doc_id, unnest(tok) as token, generate_subscripts(tok, 1) as i from t), d as (select count(distinct token) over w as d, row_number() over w as k from s window w as (order by doc_id, i rows between 49 preceding and current row)) select max(k) as tokens, count(*) filter (k >= 50) as windows, round(sum(d) filter (k >= 50) / (count(*) filter (k >= 50) * 50.0), 9) as mattr from d")
+def a6(spark, sf):
+    """One value for the corpus: its documents' tokens as one stream."""
+    found = panel.stream_type_ratio(docs_of(spark, sf), [F.col("doc_id")], X.tokenise(F.col("text")), 50)
+    return found.select("tokens", "windows", F.round("mattr", 9).alias("mattr"))
+
+
 @query("w8_audit_sample", "select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by case when contains(text, '@') then 0 else 1 end, doc_id) as k from documents) where k <= 5")
 def w8(spark, sf):
     w = Window.partitionBy("lang").orderBy(F.when(F.col("text").contains("@"), 0).otherwise(1), "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +43,34 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Folders made so far for intermediate tables. Results are lazy and read them, so they stay until clear_scratch() is called.
+MADE: list[tuple[SparkSession, str]] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of intermediate tables in the shared folder."""
+    path = f"{shared_root(spark).rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
+    MADE.append((spark, path))
+    return path
+
+
+def clear_scratch() -> None:
+    """Removes the intermediate tables of all calls so far. Call it when their results have been read or written."""
+    while MADE:
+        spark, name = MADE.pop()
+        if spark.sparkContext._jsc is None:  # that session has ended
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(rows: DataFrame) -> DataFrame:
-    """rows written in the shared folder and read again: made once, and a lost executor costs one read."""
+    """rows written in the shared folder and read again: made once, and a lost executor costs one read. A written table starts a new
+    plan; one that is checkpointed keeps what the optimizer inferred, which doubles with each round of a loop."""
     spark = rows.sparkSession
-    root = shared_root(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return rows.checkpoint()
+    path = scratch_folder(spark, "cut")
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def share_package(spark: SparkSession) -> None:
