@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import lexicons as L
 from tidewright.functions import text as X
-from tidewright.operators import duplicates, joins, panel, profiles
+from tidewright.operators import cues, duplicates, joins, panel, profiles
 from tidewright.plans.catalog import query
 from tidewright.plans.q_text import TOK, WS, docs_of, sql_list
 from tidewright.sources.readers import table
@@ -122,15 +122,13 @@ def j11(spark, sf):
 
 def cue_hits(rows):
     """(doc_id, construct, hits): how many cues of each construct a text has; single words match at word starts."""
-    match = lambda c: F.col("low").contains(c) if " " in c else F.col("low").rlike(f"(^|[^0-9a-z_]){c}")
-    hits = F.array(*(F.when(match(c), F.lit(k)) for k, c, _, _ in L.CUES))
-    return rows.select("doc_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("construct")).groupBy("doc_id", "construct").agg(F.count(F.lit(1)).alias("hits"))
+    return cues.cue_hits(rows, "doc_id", F.col("low"), [(k, c) for k, c, _, _ in L.CUES]).withColumnRenamed("name", "construct")
 
 
 @query("j12_cue_substring_match", f"with q(construct, cue) as (values {_CUES}) select construct, count(distinct doc_id) as n_docs from documents, q where contains(lower(text), cue) group by construct")
 def j12(spark, sf):
-    hits = F.array(*(F.when(F.lower("text").contains(c), F.lit(k)) for k, c, _, _ in L.CUES))
-    return docs_of(spark, sf).select("doc_id", F.explode(F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))).alias("construct")).groupBy("construct").agg(F.count(F.lit(1)).alias("n_docs"))
+    found = cues.cue_hits(docs_of(spark, sf), "doc_id", F.lower("text"), [(k, c) for k, c, _, _ in L.CUES], at_word_starts=False)
+    return found.groupBy(F.col("name").alias("construct")).agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query("j13_interval_overlap", "with l as (select user_id, event_id as id, epoch_us(ts) // 1000000 as s, epoch_us(ts) // 1000000 + 7200 as e from events where event_type = 'click'), r as (select user_id, event_id as rid, epoch_us(ts) // 1000000 as rs, epoch_us(ts) // 1000000 + 3600 as re from events where event_type = 'view'), p as (select l.user_id, id, rid, rs, least(e, re) - greatest(s, rs) as o from l join r on l.user_id = r.user_id and s < re and rs < e) select user_id, id, rid, o::bigint as overlap from (select *, row_number() over (partition by user_id, id order by o desc, rs, rid) as k from p) where k = 1")
@@ -238,9 +236,8 @@ def u7(spark, sf):
 
 @query("x24_phrase_in_sentence", "with s as (select doc_id, unnest(regexp_split_to_array(text, '[.!?]+\\s+')) as sentence from documents) select doc_id, count(*) as n from s where contains(' ' || regexp_replace(lower(sentence), '[^a-z0-9\\x{80}-\\x{10FFFF}]+', ' ', 'g') || ' ', ' of the ') group by doc_id")
 def x24(spark, sf):
-    s = docs_of(spark, sf).select("doc_id", F.explode(F.split("text", r"[.!?]+\s+")).alias("sentence"))
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("sentence"), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), F.lit(" "))
-    return s.where(padded.contains(" of the ")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = cues.phrase_hits(docs_of(spark, sf), "doc_id", F.split("text", r"[.!?]+\s+"), ["of the"], r"[^a-z0-9\x{80}-\x{10FFFF}]+")
+    return found.select("doc_id", "n")
 
 
 @query("f13_eligible_pool", f"select min(doc_id) as doc_id from documents where len({TOK}) >= 20 and lang in ('en', 'de') group by text")

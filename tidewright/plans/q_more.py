@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import lexicons as L
 from tidewright.functions import text as X
-from tidewright.operators import joins, metrics
+from tidewright.operators import cues, joins, metrics
 from tidewright.plans.catalog import ORACLES, query
 from tidewright.plans.q_joins import cue_hits
 from tidewright.plans.q_metrics import _H, _P, contributions, predictions
@@ -120,9 +120,8 @@ def a29(spark, sf):
 
 @query("a30_phrase_prevalence", "with q(phrase) as (values ('of the'), ('in the'), ('de la'), ('und der')) select phrase, count(distinct doc_id) as n_docs from (select doc_id, ' ' || regexp_replace(lower(unnest(regexp_split_to_array(text, '[.!?]+\\s+'))), '[^a-z0-9]+', ' ', 'g') || ' ' as s from documents), q where contains(s, ' ' || phrase || ' ') group by phrase")
 def a30(spark, sf):
-    s = docs_of(spark, sf).select("doc_id", F.explode(F.split("text", r"[.!?]+\s+")).alias("s")).withColumn("s", F.concat(F.lit(" "), F.regexp_replace(F.lower("s"), "[^a-z0-9]+", " "), F.lit(" ")))
-    hits = F.filter(F.array(*(F.when(F.col("s").contains(f" {p} "), p) for p in ("of the", "in the", "de la", "und der"))), lambda x: x.isNotNull())
-    return s.select("doc_id", F.explode(hits).alias("phrase")).groupBy("phrase").agg(F.countDistinct("doc_id").alias("n_docs"))
+    found = cues.phrase_hits(docs_of(spark, sf), "doc_id", F.split("text", r"[.!?]+\s+"), ["of the", "in the", "de la", "und der"])
+    return found.groupBy("phrase").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query("a38_significance_words", f"with {_P}, b as (select label, avg((pred = truth)::int) as a, avg((1 = truth)::int) as z from p group by label) select label, case when a > z then 'above the floor' when a < z then 'below the floor' else 'at the floor' end as verdict from b")
