@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import deidentify, udfs
 from tidewright.functions import text as X
-from tidewright.operators import draws, learning, profiles
+from tidewright.operators import draws, joins, learning, profiles, textmodel
 from tidewright.plans.catalog import query
 from tidewright.plans.q_metrics import _P, predictions
 from tidewright.plans.q_text import TOK, docs_of
-from tidewright.session import scratch_folder
+from tidewright.session import cut, scratch_folder
 from tidewright.sources.readers import table
 from tidewright.streaming import streams
 
@@ -110,6 +110,50 @@ def l2(spark, sf):
     return learning.tfidf_logistic(d.where(~held), d.where(held), "text", "quality").select("doc_id", "quality", F.round("prob", 4).alias("prob"), "pred")
 
 
+_TERMS = r"""d as (select doc_id, lower(coalesce(text, '')) as t from documents),
+w as (select doc_id, regexp_extract_all(t, '[\p{L}\p{N}_]{2,}') as ws from d),
+g as (select doc_id, unnest(ws) as term from w union all select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as term from w),
+cw as (select doc_id, ' ' || unnest(string_split_regex(t, '[\t-\r ]+')) || ' ' as p from d),
+cn as (select doc_id, p, unnest(range(3, least(5, length(p)) + 1)) as n from cw where p <> '  '),
+cp as (select doc_id, p, n, unnest(range(1, length(p) - n + 2)) as i from cn),
+c as (select doc_id, 'word' as kind, term, count(*) as tf from g group by all union all select doc_id, 'char', substr(p, i, n), count(*) from cp group by all),
+v as (select kind, term, count(*) as df, sum(tf)::bigint as n from c group by all having count(*) >= case kind when 'word' then 2 else 3 end),
+k as (select *, ln((1.0 + (select count(*) from d)) / (1.0 + df)) + 1.0 as idf from v qualify row_number() over (partition by kind order by n desc, term) <= 200000)"""
+
+
+@query("l1_vocabulary", f"with {_TERMS} select kind, term, df, n, round(idf, 9) as idf, row_number() over (order by kind desc, term) - 1 as index from k")
+def l1v(spark, sf):
+    d = docs_of(spark, sf)
+    terms = textmodel.vocabulary(cut(textmodel.term_counts(d, "doc_id", "text")), d.count())
+    return terms.select("kind", "term", "df", "n", F.round("idf", 9).alias("idf"), F.col("index").cast("long").alias("index"))
+
+
+@query("l1_weights", f"with {_TERMS}, x as (select doc_id, kind, (1.0 + ln(tf)) * idf as w from c join k using (kind, term)) select doc_id, kind, count(*) as terms, round(sum(w), 4) as total, round(sqrt(sum(w * w)), 4) as length from x group by all")
+def l1w(spark, sf):
+    """Each document's known terms by kind, and their weights' sum and length before they are brought to unit length."""
+    counts = cut(textmodel.term_counts(docs_of(spark, sf), "doc_id", "text"))
+    terms = textmodel.vocabulary(counts, docs_of(spark, sf).count())
+    of = lambda t: t.withColumn("of", F.concat_ws("|", "kind", "term"))
+    x = joins.join_dealt(of(counts), of(terms).select("of", "idf"), "of").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
+    return x.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("w"), 4).alias("total"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 4).alias("length"))
+
+
+@query("l2_text_models")
+def l2m(spark, sf):
+    """Both learners for both labels, beside the share of the commoner class, on held-out documents."""
+    d = docs_of(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+    held = X.draw(F.lit(5), F.col("doc_id")) < int(0.25 * 2**32)
+    truth = d.where(held).select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("label"), F.col(k).alias("truth")) for k in ("quality", "toxic")))).alias("c")).select("doc_id", "c.*")
+    found = None
+    for learner in ("logistic", "svc"):
+        model = textmodel.TextModel(d.where(~held), "doc_id", "text", ["quality", "toxic"], learner)
+        scored = model.score(d.where(held)).join(truth, ["doc_id", "label"]).withColumn("learner", F.lit(learner))
+        found = scored if found is None else found.unionByName(scored)
+    right = F.avg((F.col("pred") == F.col("truth")).cast("int"))
+    floor = F.greatest(F.avg("truth"), 1 - F.avg("truth"))
+    return found.groupBy("learner", "label").agg(F.count(F.lit(1)).alias("n"), F.round(right, 4).alias("accuracy"), F.round(floor, 4).alias("floor"))
+
+
 @query("m4_fitted_temperature")
 def m4(spark, sf):
     p = predictions(spark, sf).where("label = 'quality'")
