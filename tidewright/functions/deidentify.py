@@ -38,7 +38,8 @@ URL = re.compile(rf"\b(?:https?://|www\.)[^\s{MARKS}]+", re.IGNORECASE)
 PHONE = re.compile(r"(?<!\w)\+?\d[\d\s().-]{5,}\d(?!\w)")
 AT_HANDLE = re.compile(r"@[A-Za-z0-9][A-Za-z0-9_.]+")
 TOLD_HANDLE = re.compile(rf"\b(username|handle|tag|account|nickname)\s+(?:was|is)\s+([^\s{MARKS}]+?)(?=[\s,;!?]|\.(?:\s|$)|$)", re.IGNORECASE)
-HANDLE_LETTERS = re.compile(r"[a-z0-9._]+")
+#: A whole run of a handle's signs that holds a digit.
+HANDLE_LETTERS = re.compile(r"(?<![a-z0-9._])[a-z._]*[0-9][a-z0-9._]*")
 HANDLE_SHAPE = re.compile(r"\b[a-z][a-z0-9]*[._][a-z0-9._]*[a-z0-9]\b")
 _MONTH = "|".join((*MONTHS, *MONTH_SHORT))
 _DAY = r"\d{1,2}(?:st|nd|rd|th)?"
@@ -48,6 +49,7 @@ NUMBER = re.compile(rf"\b(?:number|no\.|#)\s*\d{{1,3}}\b(?!\s*(?:{'|'.join(sorte
 PLACING = re.compile(rf"\b((?:finish|finished|finishing|placed|placing|came|coming|ranked|seeded)\s+)(?:no\.?\s*)?(?:{'|'.join(ORDINALS)}|\d{{1,2}}(?:st|nd|rd|th))\b", re.IGNORECASE)
 ONLY = re.compile(r"\bthe only\b[^,.;]*?(?=(?<!\s)\s+(?:in|on|at|from|to|with)\b|[,.;]|$)", re.IGNORECASE)
 LONG_NUMBER = re.compile(r"\b\d{5,}\b")
+DIGIT = re.compile(r"\d")
 LEAST_PHONE_DIGITS, REACH = 9, 48
 
 
@@ -70,8 +72,9 @@ def without_health(text: str) -> tuple[str, int]:
     """Step 1: the text without its clauses of health detail, and how many went. Sentences without any stay whole; of others the
     clauses (parted by and, but and semicolons) that hold none are joined again."""
     kept, gone = [], 0
+    none = not _is_health(text)  # then no sentence is
     for sentence in SENTENCE.split(text):
-        if not _is_health(sentence):
+        if none or not _is_health(sentence):
             kept.append(sentence.strip())
             continue
         clauses = CLAUSE.split(sentence)
@@ -125,13 +128,15 @@ def _contacts(text: str) -> str:
         text = _put(text, _emails(text), MARK["CONTACT"])
     text = PHONE.sub(lambda m: MARK["CONTACT"] if sum(map(str.isdigit, m[0])) >= LEAST_PHONE_DIGITS else m[0], text)
     text = AT_HANDLE.sub(MARK["HANDLE"], text)
-    text = TOLD_HANDLE.sub(lambda m: f"{m[1]} was {MARK['HANDLE']}", text)
+    low = text.lower()
+    if any(w in low for w in ("username", "handle", "tag", "account", "nickname")):  # a plain search is cheaper than the pattern
+        text = TOLD_HANDLE.sub(lambda m: f"{m[1]} was {MARK['HANDLE']}", text)
     return _put(text, _shaped_handles(text), MARK["HANDLE"])
 
 
 def _dates(text: str) -> str:
     """Step 3; "on" a date becomes "in" a window of time."""
-    return DATE.sub(lambda m: ("in " if m[1] else "") + MARK["EVENT_WINDOW"], text)
+    return text if not DIGIT.search(text) else DATE.sub(lambda m: ("in " if m[1] else "") + MARK["EVENT_WINDOW"], text)
 
 
 def _back(text: str, at: int) -> int:
@@ -214,9 +219,12 @@ def _first_words(text: str, start: int, end: int) -> list[str]:
 
 def _quasi(text: str) -> str:
     """Step 5: numbers on shirts, placings and claims to be the only one; numbers with a unit stay."""
-    text = NUMBER.sub(MARK["ID"], text)
-    text = PLACING.sub(lambda m: m[1] + MARK["ID"], text)
-    return ONLY.sub(MARK["ID"], text)
+    if DIGIT.search(text):
+        text = NUMBER.sub(MARK["ID"], text)
+    low = text.lower()
+    if any(w in low for w in ("finish", "plac", "came", "coming", "ranked", "seeded")):
+        text = PLACING.sub(lambda m: m[1] + MARK["ID"], text)
+    return ONLY.sub(MARK["ID"], text) if "the only" in low else text
 
 
 def _left(text: str, common: frozenset[str]) -> list[str]:
