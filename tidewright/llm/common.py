@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.joins import SALTS, join_dealt  # noqa: F401
-from tidewright.session import share_package, shared_root
+from tidewright.session import clear_scratch, scratch_folder, share_package  # noqa: F401
 
 #: Lower-cases A-Z and turns every ASCII byte that is not a letter or digit into a blank.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -61,8 +60,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         share_package(spark)
-        self.root = f"{shared_root(spark).rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
-        MADE.append(self)
+        self.root = scratch_folder(spark, name)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -81,13 +79,3 @@ class Scratch:
 
     def clear(self) -> None:
         self._delete(self.root)
-
-
-#: The folders made so far. Results are lazy and read them, so they stay until clear_scratch() is called.
-MADE: list[Scratch] = []
-
-
-def clear_scratch() -> None:
-    """Removes the intermediate tables of all operators called so far. Call it when their results have been read or written."""
-    while MADE:
-        MADE.pop().clear()
