@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import Scratch, alnum_words, map_batches, raw_bytes, read_table, slices
+from tidewright.llm.common import Scratch, alnum_words, join_dealt, map_batches, raw_bytes, read_table, slices
 
 WINDOW, SHINGLE = 10, 5
-#: Windows of the benchmark up to which they are gathered and broadcast: about 120 bytes of text and 1 KB of index each.
-BROADCAST_WINDOWS = 200_000
+#: Windows of the benchmark up to which they are gathered and broadcast: about 120 bytes of text and 1 KB of index each, in every worker.
+BROADCAST_WINDOWS = 50_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 RESULT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
 
@@ -203,11 +203,13 @@ def _shuffled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # SHINGLE of them at most
     wanted = parts.select("key").distinct()
-    hits = scratch.keep(map_batches(docs.select("text"), make_shingles, "text_key binary, total int, at int, key long").join(wanted, "key", "left_semi").distinct(), "hits")
+    # a shingle of one frequent word may be wanted: its rows are dealt over copies of the wanted key
+    shingles = map_batches(docs.select("text"), make_shingles, "text_key binary, total int, at int, key long")
+    hits = scratch.keep(join_dealt(shingles, wanted, "key", "left_semi").distinct(), "hits")
     frequency = hits.groupBy("key", "text_key").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count(F.lit(1)).alias("f"))
     ranked = parts.join(frequency, "key", "left").groupBy("words", "n").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "key", "offset")).alias("prefix"))
     prefix = ranked.select("words", "n", F.col("prefix.key").alias("key"), F.col("prefix.offset").alias("offset"))
-    at = hits.join(prefix, "key").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0 and start + n <= total")
+    at = join_dealt(hits, prefix, "key").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0 and start + n <= total")
     candidates = at.groupBy("text_key").agg(F.collect_set(F.struct("start", "words")).alias("candidates"))
 
     def make_verify():
