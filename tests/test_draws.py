@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from tidewright.operators import draws
 
 
-def plain_balance(rows, n, before=()):
+def plain_balance(rows, n, before=(), in_order=True):
     """rows: (key, *strata)"""
     width, chosen = len(rows[0]) - 1, []
     filled = [Counter(b[1 + f] for b in before) for f in range(width)]
     left = [r for r in rows if r[0] not in {b[0] for b in before}]
     while left and len(chosen) < n:
-        best = min(left, key=lambda r: (*(filled[f][r[1 + f]] for f in range(width)), r[0]))
+        best = min(left, key=lambda r: ([filled[f][r[1 + f]] for f in range(width)] if in_order else sum(filled[f][r[1 + f]] for f in range(width)), r[0]))
         left.remove(best)
         chosen.append(best[0])
         for f in range(width):
@@ -54,10 +54,10 @@ def test_balanced_draw(spark, seed):
     rows = [(k, rng.choice(["a", "b", "b", "b", None]), rng.choice("xyz"), rng.randint(0, 2)) for k in rng.sample(range(1000), 90)]
     pool = spark.createDataFrame(rows, "k long, s string, t string, u int")
     n = rng.choice([1, 30, 200])
-    assert draws.balanced_draw(pool, "k", ["s", "t", "u"], n) == plain_balance(rows, n)
-    before = rows[:17]
-    taken = spark.createDataFrame(before, pool.schema)
-    assert draws.balanced_draw(pool, "k", ["s", "t", "u"], n, taken) == plain_balance(rows, n, before)
+    taken = spark.createDataFrame(rows[:17], pool.schema)
+    for in_order in (True, False):
+        assert draws.balanced_draw(pool, "k", ["s", "t", "u"], n, None, in_order) == plain_balance(rows, n, (), in_order)
+        assert draws.balanced_draw(pool, "k", ["s", "t", "u"], n, taken, in_order) == plain_balance(rows, n, rows[:17], in_order)
 
 
 @pytest.mark.parametrize("seed", range(4))

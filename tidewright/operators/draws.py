@@ -52,10 +52,10 @@ def _in_cells(pool: DataFrame, key: str, cell: Column, order: list[Column]) -> t
     return numbered, {r["__cell"]: r["n"] for r in sizes}
 
 
-def balanced_draw(pool: DataFrame, key: str, strata: list[str], n: int, taken: DataFrame | None = None) -> list:
-    """n keys of a pool of different keys, one after the other: always the row whose strata's values were drawn the fewest times,
-    compared stratum by stratum in their order, then the smallest key. Null is a value like others. taken: rows drawn
-    before, which count but are not drawn again.
+def balanced_draw(pool: DataFrame, key: str, strata: list[str], n: int, taken: DataFrame | None = None, in_order: bool = False) -> list:
+    """n keys of a pool of different keys, one after the other: always the row whose strata's values were drawn the fewest times
+    together or, with in_order, compared stratum by stratum; then the smallest key. Null is a value like others. taken: rows
+    drawn before, which count but are not drawn again.
 
     A cell's place in the order only ever grows, so a heap entry that is too small is put back with its present place.
     """
@@ -68,7 +68,11 @@ def balanced_draw(pool: DataFrame, key: str, strata: list[str], n: int, taken: D
             filled[f].update({r[s]: r["n"] for r in taken.groupBy(s).agg(F.count(F.lit(1)).alias("n")).collect()})  # values of a stratum
     heads = _Heads(numbered, "__cell", key, max(4, 2 * n // max(1, len(sizes))))
     drawn: Counter = Counter()
-    place = lambda c: (*(filled[f][v] for f, v in enumerate(c)), heads.at(c, drawn[c], sizes[c]))
+
+    def place(c: tuple) -> tuple:
+        counts = [filled[f][v] for f, v in enumerate(c)]
+        return (*(counts if in_order else [sum(counts)]), heads.at(c, drawn[c], sizes[c]))
+
     heap = [(place(c), i, c) for i, c in enumerate(sizes)]
     heapq.heapify(heap)
     chosen: list = []
@@ -127,7 +131,7 @@ def gold_draw(pool: DataFrame, key: str, groups: str, strata: list[str], order:
     kind = pool.schema[key].dataType.simpleString()
     first = quota_draw(pool, key, groups, order, quota, n)
     taken = pool.join(F.broadcast(spark.createDataFrame([(k,) for k in first], f"{key} {kind}")), key).select(key, *strata)  # at most n keys
-    rest = balanced_draw(pool, key, strata, n - len(first), taken) if len(first) < n else []
+    rest = balanced_draw(pool, key, strata, n - len(first), taken, in_order=True) if len(first) < n else []
     rows = [(k, i, "quota") for i, k in enumerate(first)] + [(k, len(first) + i, "balance") for i, k in enumerate(rest)]
     return spark.createDataFrame(rows, f"{key} {kind}, place int, stage string")
 

@@ -173,19 +173,29 @@ def c12(spark, sf):
 _POOL = "p as (select doc_id, lang, source, case when n_chars < 1000 then 'short' else 'long' end as band from documents)"
 
 
-def _greedy(name: str, start: str, steps: int) -> str:
+def _greedy(steps: int, join: str) -> str:
     """SQL of the rule itself: one row at a time, its values appended to the lists that the next step counts."""
-    return f"""{name}(step, chosen, langs, sources, bands) as ({start} union all
+    order = join.join(f"len(list_filter({c}s, lambda x: x = {c}))" for c in ("lang", "source", "band"))
+    return f"""with recursive {_POOL}, r(step, chosen, langs, sources, bands) as (select 0, []::bigint[], []::varchar[], []::varchar[], []::varchar[] union all
     select step + 1, list_append(chosen, doc_id), list_append(langs, lang), list_append(sources, source), list_append(bands, band) from (
-        select r.*, p.*, row_number() over (order by len(list_filter(langs, lambda x: x = lang)), len(list_filter(sources, lambda x: x = source)), len(list_filter(bands, lambda x: x = band)), doc_id) as k
-        from {name} r, p where r.step < {steps} and not list_contains(chosen, doc_id)) where k = 1)"""
+        select r.*, p.*, row_number() over (order by {order}, doc_id) as k from r, p where r.step < {steps} and not list_contains(chosen, doc_id)) where k = 1),
+    l as (select chosen from r where step = {steps}) select unnest(chosen) as doc_id, (generate_subscripts(chosen, 1) - 1)::int as place from l"""
 
 
-@query("w10_balanced_draw", f"with recursive {_POOL}, {_greedy('r', 'select 0, []::bigint[], []::varchar[], []::varchar[], []::varchar[]', 60)}, l as (select chosen from r where step = 60) select unnest(chosen) as doc_id, generate_subscripts(chosen, 1) - 1 as place from l")
-def w10(spark, sf):
+def _balanced(spark, sf, n, in_order):
     d = docs_of(spark, sf).withColumn("band", F.when(F.col("n_chars") < 1000, "short").otherwise("long"))
-    chosen = draws.balanced_draw(d, "doc_id", ["lang", "source", "band"], 60)
-    return spark.createDataFrame([(k, i) for i, k in enumerate(chosen)], "doc_id long, place long")
+    chosen = draws.balanced_draw(d, "doc_id", ["lang", "source", "band"], n, in_order=in_order)
+    return spark.createDataFrame([(i, k) for i, k in enumerate(chosen)], "place int, doc_id long")
+
+
+@query("w10_balanced_draw", _greedy(40, " + "))
+def w10(spark, sf):
+    return _balanced(spark, sf, 40, False)
+
+
+@query("w10_strata_in_order", _greedy(60, ", "))
+def w10o(spark, sf):
+    return _balanced(spark, sf, 60, True)
 
 
 def _judged(spark, sf):
