@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.joins import join_dealt
-from tidewright.session import cut
+from tidewright.session import cut, share_package
 
 
 def exact_profile(rows: DataFrame, text: str) -> DataFrame:
@@ -26,31 +30,57 @@ def payload_plan(rows: DataFrame, payload: Column) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("calls"), (F.sum("n") - F.count(F.lit(1))).alias("copied"), F.round((F.sum("n") - F.count(F.lit(1))) / F.sum("n"), 9).alias("saving"), F.max("n").alias("fan_out"))
 
 
+#: Tokens that the tasks know the frequency of, and ids of linked classes that may be broadcast.
+MOST_TOKENS, MOST_IDS = 200_000, 500_000
+
+
 def _sets(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(id, set, digest) of every row; digest, 128 bits of hashes of the sorted set, is null for empty sets. Written once."""
+    """(id, set, digest) of every row; digest, 128 bits of hashes of the sorted set, is null for empty sets."""
     sets = rows.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("set"))
     digest = F.struct(F.xxhash64("set").alias("h1"), F.xxhash64(F.lit("second"), "set").alias("h2"))
-    return cut(sets.withColumn("digest", F.when(F.size("set") > 0, digest)))
+    return sets.withColumn("digest", F.when(F.size("set") > 0, digest))
 
 
 def _classes(sets: DataFrame) -> DataFrame:
-    """(id, n, set, digest) of each class of equal sets, named by its smallest key; written, since it is read several times."""
-    named = sets.where("digest is not null")
-    first = named.groupBy("digest").agg(F.min("id").alias("id"))
-    return cut(named.join(first, ["digest", "id"]).dropDuplicates(["digest"]).select("id", F.size("set").alias("n"), "set", "digest"))
+    """(digest, id, n, set, copies) of each class of equal sets, named by its smallest key; written, since it is read several times.
+    Copies meet in each task before they are shuffled."""
+    grouped = sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("set").alias("set"), F.count(F.lit(1)).alias("copies"))
+    return cut(grouped.select("digest", "id", F.size("set").alias("n"), "set", "copies"))
+
+
+def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, token) of the tokens that two similar sets share one of: the first n - ceil(threshold n) + 1 of each in one order of all
+    tokens, rarest first. What isn't among the MOST_TOKENS most frequent tokens counts as rare; any order is right."""
+    words = classes.select(F.explode("set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = {r["token"]: r["df"] for r in words.orderBy(F.desc("df"), "token").limit(MOST_TOKENS).collect()}
+    spark = classes.sparkSession
+    share_package(spark)
+    sent = spark.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = sent.value.get
+        for batch in batches:
+            at, size, token = [], [], []
+            for i, held in enumerate(batch.column(1).to_pylist()):
+                n = len(held)
+                first = sorted(held, key=lambda t: (frequency(t, 0), t))[: max(0, n - math.ceil(n * threshold - 1e-9) + 1)]
+                at += [i] * len(first)
+                size += [n] * len(first)
+                token += first
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(token, pa.string())], names=["id", "n", "token"])
+
+    kind = classes.schema["id"].dataType.simpleString()
+    return cut(classes.select("id", "set").mapInArrow(run, f"id {kind}, n int, token string"))
 
 
 def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    words = classes.select("id", "n", F.explode("set").alias("token"))
-    frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = join_dealt(words, frequency, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    # tokens of one class only are the rarest of all; they take up places of the prefix but join with nothing
-    alone = F.col("n") - F.size("order")
-    length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - alone)
-    prefix = cut(ranked.where(length > 0).select("id", "n", F.explode(F.slice("order", 1, length)).alias("p")).select("id", "n", F.col("p.token").alias("token")))
+    prefix = _prefixes(classes, threshold)
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token")
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct()
-    sa, sb = classes.select(F.col("id").alias("a"), F.col("set").alias("sa")), classes.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    pairs = cut(a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct())
+    # only the sets of classes that met another are moved
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    met = cut(classes.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "id", "left_semi").select("id", "set"))
+    sa, sb = met.select(F.col("id").alias("a"), F.col("set").alias("sa")), met.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
@@ -58,8 +88,8 @@ def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
 def similar_pairs(rows: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
     """(a, b, jaccard), a < b, of all pairs of classes of equal token sets whose Jaccard similarity is at least threshold.
 
-    rows with equal sets are one class, named by its smallest key: copies don't multiply pairs. Tokens are ordered by
-    document frequency, rarest first; two sets this similar share a token among the first n - ceil(t n) + 1 of each, so
+    rows with equal sets are one class, named by its smallest key: copies don't multiply pairs. Tokens are ordered with the
+    frequent ones last; two sets this similar share a token among the first n - ceil(t n) + 1 of each, so
     only those are joined, with a length bound; the sets are then compared. Empty sets match nothing.
     """
     return _pairs(_classes(_sets(rows, key, tokens)), threshold)
@@ -70,10 +100,9 @@ def similar_items(rows: DataFrame, key: str, tokens: Column, threshold: float) -
     copies included, have a set at least threshold similar. Empty sets match nothing: null, 0, 0.
     """
     sets = _sets(rows, key, tokens)
-    members = sets.select(F.col("id").alias(key), "digest")
-    sizes = members.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    members = cut(sets.select(F.col("id").alias(key), "digest"))
     classes = _classes(sets)
-    named = classes.select("digest", F.col("id").alias("class_id")).join(sizes, "digest")
+    named = classes.select("digest", F.col("id").alias("class_id"), "copies")
     pairs = cut(_pairs(classes, threshold).select("a", "b"))
     others = named.select(F.col("class_id").alias("b"), F.col("copies").alias("others"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
