@@ -63,7 +63,7 @@ def ngram_leakage(test: DataFrame, train: DataFrame, key: str, grams: Column, *b
     """
     own = test.select(key, F.explode(F.array_distinct(grams)).alias("g"))
     wanted = cut(own.select("g").distinct())
-    every = train.select(F.explode(F.array_distinct(grams)).alias("g"))
+    every = train.select(F.explode(grams).alias("g"))
     met = every.join(F.broadcast(wanted), "g", "left_semi").distinct() if wanted.count() <= most else every.distinct().join(wanted, "g", "left_semi")
     return join_dealt(own, met.withColumn("hit", F.lit(1)), "g", "left").groupBy(key, *by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("seen"))
 

@@ -102,7 +102,10 @@ def j9(spark, sf):
     # one pass: grams of all sizes, each behind its size
     sized = lambda t, k: F.transform(X.ngrams(t, k), lambda g: F.concat(F.lit(f"{k}|"), g))
     grams = X.let(X.whitespace_tokens(F.col("text")), lambda t: F.concat(*(sized(t, k) for k in (4, 6, 8))))
-    found = joins.ngram_leakage(table(spark, sf, "benchmark"), docs_of(spark, sf), "item_id", grams, F.substring_index("g", "|", 1).cast("int").alias("size"))
+    docs, cores = docs_of(spark, sf).select("text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a small table in one file would be one task
+        docs = docs.repartition(cores)
+    found = joins.ngram_leakage(table(spark, sf, "benchmark"), docs, "item_id", grams, F.substring_index("g", "|", 1).cast("int").alias("size"))
     return found.select("size", "item_id", "n", "seen")
 
 
