@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +30,9 @@ def payload_plan(rows: DataFrame, payload: Column) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("calls"), (F.sum("n") - F.count(F.lit(1))).alias("copied"), F.round((F.sum("n") - F.count(F.lit(1))) / F.sum("n"), 9).alias("saving"), F.max("n").alias("fan_out"))
 
 
-#: Tokens that the tasks know the frequency of, and ids of linked classes that may be broadcast.
-MOST_TOKENS, MOST_IDS = 200_000, 500_000
+#: Tokens that the tasks know the frequency of, ids of linked classes that may be broadcast, bits of a set's sketch, sets worked on at once.
+MOST_TOKENS, MOST_IDS, BITS, AT_ONCE = 1_000_000, 500_000, 256, 256
+_SKETCH = [f"b{k}" for k in range(BITS // 64)]
 
 
 def _sets(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -48,35 +49,70 @@ def _classes(sets: DataFrame) -> DataFrame:
     return cut(grouped.select("digest", "id", F.size("set").alias("n"), "set", "copies"))
 
 
+def _frequencies(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The hashes of the most frequent tokens, at most MOST_TOKENS, ascending, how many sets hold each, and whether these are all that
+    two sets hold."""
+    words = cut(hashed.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    known, least = 0, 2
+    for r in words.groupBy(F.least("df", F.lit(100_000)).alias("df")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("df")).collect():
+        known += r["n"]
+        if known > MOST_TOKENS:
+            least = r["df"] + 1
+            break
+    found = words.where(F.col("df") >= least).select("token", F.least("df", F.lit(1 << 30)).cast("int").alias("df")).toArrow()
+    token, df = found.column("token").to_numpy(), found.column("df").to_numpy()
+    order = np.argsort(token)
+    return token[order], df[order], least == 2
+
+
 def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, token) of the tokens that two similar sets share one of: the first n - ceil(threshold n) + 1 of each in one order of all
-    tokens, rarest first. What isn't among the MOST_TOKENS most frequent tokens counts as rare; any order is right."""
-    words = classes.select(F.explode("set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = {r["token"]: r["df"] for r in words.orderBy(F.desc("df"), "token").limit(MOST_TOKENS).collect()}
+    """(id, n, at, token, b0, ...) of the tokens, by hash, that two similar sets share one of: the first n - ceil(threshold n) + 1 of each
+    in one order of all tokens, rarest first, with their places in it; any order is right. Tokens that no other set holds are left out
+    where that is known. b0, ... are the set's sketch: for each of BITS parts of the hashes whether it holds an odd number of them."""
+    hashed = classes.select("id", F.transform("set", lambda t: F.xxhash64(t)).alias("hashes"))
     spark = classes.sparkSession
     share_package(spark)
-    sent = spark.sparkContext.broadcast(known)
+    sent = spark.sparkContext.broadcast(_frequencies(hashed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = sent.value.get
-        for batch in batches:
-            at, size, token = [], [], []
-            for i, held in enumerate(batch.column(1).to_pylist()):
-                n = len(held)
-                first = sorted(held, key=lambda t: (frequency(t, 0), t))[: max(0, n - math.ceil(n * threshold - 1e-9) + 1)]
-                at += [i] * len(first)
-                size += [n] * len(first)
-                token += first
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(token, pa.string())], names=["id", "n", "token"])
+        known, df, whole = sent.value
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+            token = batch.column(1).flatten().to_numpy()
+            size = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
+            frequency = np.where(known[place] == token, df[place], 0) if len(known) else np.zeros(len(token), np.int32)
+            odd = (np.bincount(row * BITS + (token & (BITS - 1)), minlength=len(size) * BITS) & 1).astype(np.uint8)
+            sketch = np.packbits(odd.reshape(len(size), BITS), axis=1).view(np.int64)
+            order = np.lexsort((token, frequency, row))
+            at = np.arange(len(token)) - (np.cumsum(size) - size)[row]
+            kept = at < (size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1)[row]
+            if whole:
+                kept &= frequency[order] > 0
+            at, token, row = at[kept], token[order][kept], row[kept]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(token), *(pa.array(c[row]) for c in sketch.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "at", "token", *_SKETCH])
 
     kind = classes.schema["id"].dataType.simpleString()
-    return cut(classes.select("id", "set").mapInArrow(run, f"id {kind}, n int, token string"))
+    return cut(hashed.mapInArrow(run, f"id {kind}, n int, at int, token long, " + ", ".join(f"{c} long" for c in _SKETCH)))
 
 
-def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
+def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of all classes that may be similar. Sets that are share at least t / (1 + t) (na + nb) tokens. None of them stands
+    before the first one shared, so from there on both sets need that many; and each other token changes at most one bit of the
+    sketches' difference. Both bounds are exact: no similar pair is lost."""
     prefix = _prefixes(classes, threshold)
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token")
-    pairs = cut(a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct())
+    side = lambda x: prefix.select(*(F.col(c).alias(c if c == "token" else f"{x}_{c}") for c in prefix.columns))
+    total, share = F.col("a_n") + F.col("b_n"), threshold / (1.0 + threshold)
+    left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col(f"a_{_SKETCH[0]}").bitwiseXOR(F.col(f"b_{_SKETCH[0]}"))))
+    sizes = (F.col("b_n") >= F.col("a_n") * threshold - 1e-9) & (F.col("a_n") >= F.col("b_n") * threshold - 1e-9)
+    met = side("a").join(side("b"), "token").where((F.col("a_id") < F.col("b_id")) & sizes & (left >= total * share - 1e-6) & (differ <= total * (1.0 - 2.0 * share) + 1e-6))
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    pairs = cut(_candidates(classes, threshold))
     # only the sets of classes that met another are moved
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     met = cut(classes.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "id", "left_semi").select("id", "set"))
@@ -95,6 +131,12 @@ def similar_pairs(rows: DataFrame, key: str, tokens: Column, threshold: float) -
     return _pairs(_classes(_sets(rows, key, tokens)), threshold)
 
 
+def similar_classes(rows: DataFrame, key: str, tokens: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The smallest key of each class of equal token sets, as (key), and similar_pairs() of these classes. Empty sets are in neither."""
+    classes = _classes(_sets(rows, key, tokens))
+    return classes.select(F.col("id").alias(key)), _pairs(classes, threshold)
+
+
 def similar_items(rows: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
     """(key, class_id, copies, links) of every row: its class of equal token sets, the rows of that class, and how many other rows,
     copies included, have a set at least threshold similar. Empty sets match nothing: null, 0, 0.
