@@ -379,9 +379,8 @@ def p4(spark, sf):
     """Admitted rows, equal token sets once, then near-duplicates: a row stays unless a kept one with a smaller id is like it."""
     d = docs_of(spark, sf).where(F.col("lang").isin("en", "de") & (F.col("n_chars") >= 50))
     tokens = X.tokenise(F.col("text"))
-    items = duplicates.similar_items(d, "doc_id", tokens, 1.0).where("class_id = doc_id").select("doc_id")
-    pairs = cut(duplicates.similar_pairs(d, "doc_id", tokens, 0.8).select("a", "b"))
-    lost = first_kept(pairs).where("not kept").select(F.col("id").alias("doc_id"))
+    items, pairs = duplicates.similar_classes(d, "doc_id", tokens, 0.8)
+    lost = first_kept(cut(pairs.select("a", "b"))).where("not kept").select(F.col("id").alias("doc_id"))
     return items.join(lost, "doc_id", "left_anti")
 
 
