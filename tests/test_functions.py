@@ -282,3 +282,25 @@ def test_slopes_of_long_series(spark, monkeypatch):
     found = panel.trajectories(rows, ["k"], "t", "v").first()
     monkeypatch.setattr(panel, "MOST_POINTS", 10)
     assert panel.trajectories(rows, ["k"], "t", "v").first() == found
+
+
+def test_workers_hold_a_few_rows_as_objects(spark, monkeypatch):
+    from tidewright import session
+
+    rows = spark.createDataFrame([(k, None if k == 3 else f"I am Ann Lee. ﬁne day {k}! I doubt it.") for k in range(20)], "doc_id long, text string").coalesce(1)
+    batch = rows.toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(session, "ROWS_AT_ONCE", 7)
+    parts = list(session.in_slices(iter([batch, batch])))
+    assert [p.num_rows for p in parts] == [7, 7, 6] * 2 and [r for p in parts[:3] for r in p.to_pylist()] == batch.to_pylist()
+    kind = batch.schema.field("text").type
+    assert session.array_in_slices(batch.column("text"), kind, lambda t: t).to_pylist() == batch.column("text").to_pylist()
+    assert len(session.array_in_slices(batch.column("text").slice(0, 0), kind, lambda t: t)) == 0
+    got = {r["doc_id"]: r["s"] for r in rows.select("doc_id", udfs.segmented(rows, "text").alias("s")).collect()}
+    assert {k: [x.asDict() for x in s] for k, s in got.items()} == {r["doc_id"]: udfs.segments(r["text"]) for r in rows.collect()}
+
+
+def test_permutation_sums_leave_a_task_once_a_channel(spark):
+    rows = spark.createDataFrame([(c, e, t, float((e * 7 + t * 3) % 11)) for c in ("a", "b") for e in range(300) for t in range(5)], "c string, e long, t int, v double")
+    found = learning.permutation_null(rows, "c", "e", "t", "v", repeats=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan and len(found.collect()) == 2
