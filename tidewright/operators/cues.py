@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import share_package
+from tidewright.session import in_slices, share_package
 
 WORD_SIGNS = frozenset("0123456789abcdefghijklmnopqrstuvwxyz_")
 
@@ -54,7 +54,7 @@ def cue_hits(rows: DataFrame, key: str, low: Column, cues: Iterable[tuple[str, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cues, named = sent.value
-        for batch in batches:
+        for batch in in_slices(batches):
             keys, name, hits = [], [], []
             for at, text in enumerate(batch.column(1).to_pylist()):
                 found = Counter(n for k in hits_in(text or "", cues, starts) for n in named[k])
@@ -77,7 +77,7 @@ def phrase_hits(rows: DataFrame, key: str, sentences: Column, phrases: Iterable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spaced, none = sent.value, frozenset()
-        for batch in batches:
+        for batch in in_slices(batches):
             keys, phrase, n = [], [], []
             for at, text in enumerate(batch.column(1).to_pylist()):
                 found = Counter(k for s in text or () if s for k in hits_in(s, spaced, none))
