@@ -43,3 +43,33 @@ def test_an_explanation_beats_random_words(spark):
     words = spark.range(400).select((F.col("id") / 20).cast("int").alias("key"), (F.col("id") % 20).alias("i"), F.when(F.col("id") % 20 < 2, 3.0).otherwise(0.0).alias("weight"))
     r = faithfulness.margins(faithfulness.erasure_curves(words, ["key"], "i", "weight", [F.col("key")]).withColumn("all", F.lit(1)), "all").first()
     assert r["comprehensiveness_margin"] > 0.2 and r["sufficiency_margin"] > 0.2 and r["n"] == 20
+
+
+def test_texts_are_ranked_where_their_rows_lie(spark):
+    texts = spark.createDataFrame([(k, list(range(6)), [(1, 1.5), (4, -1.0)][: k % 3]) for k in range(9)], "key long, ats array<int>, points array<struct<at: int, w: double>>")
+    curves = faithfulness.curves_of_texts(texts, ["key"], "ats", "points", [F.col("key")], seed=7)
+    plan = curves._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    for r in curves.collect():
+        weights = [0.0, 1.5 if r["key"] % 3 else 0.0, 0.0, 0.0, -1.0 if r["key"] % 3 == 2 else 0.0, 0.0]
+        got = [r[c] for c in ("comprehensiveness", "sufficiency", "random_comprehensiveness", "random_sufficiency")]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, plain(r["key"], weights, faithfulness.FRACTIONS, 7)))
+
+
+def test_the_query_shuffles_no_words(spark, tmp_path):
+    import duckdb
+
+    from tidewright.plans import catalog
+
+    catalog.load_all()
+    said = "The cat and the dog, que der with THE\tend of the day"
+    rows = [(1, said), (1, said), (2, None), (3, ""), (4, "the"), (5, "no cue in it"), (6, "and with and"), (7, "der der der que"), (8, " the\n" * 300 + "x " * 90)]  # one doc_id twice: one text, as in the SQL
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars").selectExpr("doc_id", "text", "lang", "source", "cast(n_chars as long) as n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["b5_erasure_curves"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(catalog.ORACLES["b5_erasure_curves"]).fetchall()}
+    got = {r[0]: tuple(r)[1:] for r in found.collect()}
+    assert got.keys() == want.keys() and all(a == b if isinstance(a, int) else abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))

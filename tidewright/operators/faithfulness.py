@@ -2,31 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from tidewright.functions.text import draw
+from tidewright.session import in_slices, share_package
 
 FRACTIONS = (0.1, 0.2, 0.3, 0.5)
 
 
+def _sums(name: str, n: int, ats: np.ndarray, at: np.ndarray, w: np.ndarray, fractions: tuple[float, ...]) -> tuple[float, list[int], list[float], list[float]]:
+    """All weights' sum; k for each fraction; the sums of the k greatest weights, and of those at the k smallest draws (of equal ones the
+    first place): a draw is the first eight hex digits of the MD5 of name and place."""
+    k = [max(1, round(n * f)) for f in fractions]
+    if not len(w):
+        return 0.0, k, [0.0] * len(k), [0.0] * len(k)
+    ats, order = np.sort(ats), np.argsort(at, kind="stable")
+    at, every = at[order], np.zeros(n)
+    every[np.searchsorted(ats, at) + np.arange(len(at)) - np.searchsorted(at, at)] = w[order]  # a place may occur again
+    base = name.encode() + b":"
+    draws = np.frombuffer(b"".join([hashlib.md5(base + b"%d" % i).digest() for i in ats.tolist()]), ">u4")[::4].astype(np.uint32)
+    top, drawn = np.cumsum(np.sort(every)[::-1]), np.cumsum(every[np.argsort(draws, kind="stable")])
+    return float(w.sum()), k, [float(top[min(i, n) - 1]) for i in k], [float(drawn[min(i, n) - 1]) for i in k]
+
+
 def erasure_curves(words: DataFrame, key: list[str], at: str, weight: str, identity: list[Column], fractions: tuple[float, ...] = FRACTIONS, seed: int = 42) -> DataFrame:
-    """(key, baseline, comprehensiveness, sufficiency, random_comprehensiveness, random_sufficiency, words) of each text of
-    words(key, at, weight): one row a word, with what it adds to the text's log-odds, which is also what the explanation gives it.
+    """curves_of_texts() of words(key, at, weight): one row a word, with its place and what it adds (null: nothing). identity is made of key."""
+    w = F.col(weight).cast("double")
+    texts = words.groupBy(*key).agg(F.collect_list(F.col(at).cast("int")).alias("ats"), F.collect_list(F.when(w != 0, F.struct(F.col(at).cast("int").alias("at"), w.alias("w")))).alias("points"))
+    return curves_of_texts(texts, key, "ats", "points", identity, fractions, seed)
+
+
+def curves_of_texts(texts: DataFrame, key: list[str], ats: str, points: str, identity: list[Column], fractions: tuple[float, ...] = FRACTIONS, seed: int = 42) -> DataFrame:
+    """(key, baseline, comprehensiveness, sufficiency, random_comprehensiveness, random_sufficiency, words) of each of texts(key, ats, points),
+    a row each: the places of its words, as array<int>, and the (at, w) of those that add something to the text's log-odds, which is also
+    what the explanation gives them.
 
     For each fraction the k = max(1, round(fraction n)) words of the greatest weight (of equal ones the first) are taken out, and kept
     alone, as are k words drawn by hashes of seed, identity and place; k of n words or more measures nothing and is left out. The
-    curves' means are the areas over them. Texts of one word, or without any point, give no row. A text's words are ranked by windows of
-    that text; all fractions come from one pass over the ranks.
+    curves' means are the areas over them. Texts of one word, or without any point, give no row. Words never become rows of a shuffle: a
+    text is ranked where its row lies, and one in which no word weighs anything needs no draws.
     """
-    own = Window.partitionBy(*key)
-    ranked = words.select(*key, at, F.col(weight).cast("double").alias("w")).withColumn("__u", draw(F.lit(seed), *identity, F.col(at)))
-    ranked = ranked.withColumn("top", F.row_number().over(own.orderBy(F.desc("w"), at))).withColumn("any", F.row_number().over(own.orderBy("__u", at))).withColumn("n", F.count(F.lit(1)).over(own))
-    sums = [F.sum("w").alias("s"), F.max("n").alias("n")]
-    for i, f in enumerate(fractions):
-        k = F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(f)).cast("int"))
-        sums += [F.sum(F.when(F.col("top") <= k, F.col("w")).otherwise(0.0)).alias(f"t{i}"), F.sum(F.when(F.col("any") <= k, F.col("w")).otherwise(0.0)).alias(f"r{i}"), F.max(k).alias(f"k{i}")]
-    each = ranked.groupBy(*key).agg(*sums).where("n > 1")
+    share_package(texts.sparkSession)
+    own = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            n = batch.column(own + 1).to_numpy()
+            lists = [batch.column(own + j) for j in (2, 3, 4)]
+            ends, held = [x.offsets.to_numpy() - x.offsets[0].as_py() for x in lists], [x.flatten().to_numpy() for x in lists]
+            found = [_sums(name, int(n[r]), *(x[e[r] : e[r + 1]] for x, e in zip(held, ends)), fractions) for r, name in enumerate(batch.column(own).to_pylist())]
+            parts = [pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], batch.column(own + 1), *parts], names=[*key, "n", "s", "k", "t", "r"])
+
+    held = texts.select(
+        *key, F.concat_ws(":", F.lit(seed).cast("string"), *(c.cast("string") for c in identity)).alias("__id"), F.size(ats).cast("long").alias("n"),
+        F.when(F.size(points) > 0, F.col(ats)).otherwise(F.array().cast("array<int>")).alias("__ats"), F.col(f"{points}.at").alias("__at"), F.col(f"{points}.w").alias("__w"),
+    )
+    fields = [StructField("n", LongType()), StructField("s", DoubleType()), StructField("k", ArrayType(IntegerType())), StructField("t", ArrayType(DoubleType())), StructField("r", ArrayType(DoubleType()))]
+    each = held.where("n > 1").mapInArrow(run, StructType([*(texts.schema[c] for c in key), *fields]))
+    each = each.select(*key, "n", "s", *(F.col(c)[i].alias(f"{c}{i}") for c in "ktr" for i in range(len(fractions))))
     odds = lambda s: 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), s))))
     base = odds(F.col("s"))
     point = lambda s, i: F.when(F.col(f"k{i}") < F.col("n"), base - odds(s))

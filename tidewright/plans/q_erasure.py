@@ -32,9 +32,19 @@ select construct, count(*) as n, round(avg(comprehensiveness), 6) as comprehensi
 @query("b5_erasure_curves", _B5)
 def b5(spark, sf):
     """Areas over the erasure curves of the lexicon's scorer, by construct, and their margins over random words."""
-    words = docs_of(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n\x0b\f\r]+"), F.lit(0))).alias("at", "word"))
-    constructs = list(dict.fromkeys(k for k, _, _ in _WEIGHTS))
-    value = lambda c: F.coalesce(*(F.when(F.col("word") == cue, F.lit(float(w))) for k, cue, w in _WEIGHTS if k == c), F.lit(0.0))
-    each = words.select("doc_id", "at", F.explode(F.array(*(F.struct(F.lit(c).alias("construct"), value(c).alias("w")) for c in constructs))).alias("c")).select("doc_id", "at", "c.*")
-    found = faithfulness.margins(faithfulness.erasure_curves(each, ["doc_id", "construct"], "at", "w", [F.col("doc_id"), F.col("construct")]), "construct")
+    words = docs_of(spark, sf).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n\x0b\f\r]+"), F.lit(0)).alias("ws"))
+    placed = F.transform("ws", lambda w, i: F.struct(i.cast("int").alias("at"), w.alias("word")))
+    cues = words.select("doc_id", F.size("ws").alias("n"), F.filter(placed, lambda p: p["word"].isin([c for _, c, _ in _WEIGHTS])).alias("cues"))
+    # what is left of a document is its number of words and its cues; rows of one doc_id are one text, as in the SQL
+    texts = cues.groupBy("doc_id").agg(F.collect_list("n").alias("ns"), F.flatten(F.collect_list("cues")).alias("cues"))
+    texts = texts.select("doc_id", "cues", F.flatten(F.transform("ns", lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))).alias("ats"))
+
+    def of(construct: str):
+        own = [(c, float(w)) for k, c, w in _WEIGHTS if k == construct]
+        value = lambda word: F.coalesce(*(F.when(word == c, F.lit(w)) for c, w in own), F.lit(0.0))
+        mine = F.filter("cues", lambda p: p["word"].isin([c for c, _ in own]))
+        return F.struct(F.lit(construct).alias("construct"), F.transform(mine, lambda p: F.struct(p["at"].alias("at"), value(p["word"]).alias("w"))).alias("points"))
+
+    each = texts.select("doc_id", "ats", F.explode(F.array(*(of(c) for c in dict.fromkeys(k for k, _, _ in _WEIGHTS)))).alias("c")).select("doc_id", "ats", "c.*")
+    found = faithfulness.margins(faithfulness.curves_of_texts(each, ["doc_id", "construct"], "ats", "points", [F.col("doc_id"), F.col("construct")]), "construct")
     return found.select("construct", "n", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
