@@ -73,3 +73,13 @@ def test_the_query_shuffles_no_words(spark, tmp_path):
     want = {r[0]: r[1:] for r in con.execute(catalog.ORACLES["b5_erasure_curves"]).fetchall()}
     got = {r[0]: tuple(r)[1:] for r in found.collect()}
     assert got.keys() == want.keys() and all(a == b if isinstance(a, int) else abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_draws_are_md5(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(faithfulness, "AT_ONCE", 50)
+    names = ["42:1:worry", "", "x" * 43, "y" * 44, "é" * 30, "none", "42:7:calm"]
+    places = [np.array(x, np.int32) for x in ([0, 9, 10, 10, 99, 100, 2**31 - 1], range(120), [5, 10**9], [7], [1, 22], [], range(990, 1010))]
+    want = [[int(hashlib.md5(f"{n}:{i}".encode()).hexdigest()[:8], 16) for i in p.tolist()] for n, p in zip(names, places)]
+    assert [x.tolist() for x in faithfulness._draws(names, places)] == want

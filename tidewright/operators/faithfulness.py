@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +17,79 @@ from tidewright.session import in_slices, share_package
 FRACTIONS = (0.1, 0.2, 0.3, 0.5)
 
 
-def _sums(name: str, n: int, ats: np.ndarray, at: np.ndarray, w: np.ndarray, fractions: tuple[float, ...]) -> tuple[float, list[int], list[float], list[float]]:
+#: Draws that are hashed together.
+AT_ONCE = 1 << 13
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+
+
+def _md5_heads(blocks: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a number, of the MD5 of messages of one padded block each: blocks is (messages, 64) bytes."""
+    words = np.ascontiguousarray(blocks.view("<u4").T)
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f, turn = f + a + _SINES[i] + words[g], _TURNS[i // 16][i % 4]
+        a, d, c, b = d, c, b, b + ((f << np.uint32(turn)) | (f >> np.uint32(32 - turn)))
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
+def _blocks(base: bytes, ats: np.ndarray) -> np.ndarray:
+    """The padded blocks of base and each of the ascending places, in digits."""
+    held = np.zeros((len(ats), 64), np.uint8)
+    held[:, : len(base)] = np.frombuffer(base, np.uint8)
+    for digits in range(1, len(str(int(ats[-1]))) + 1):
+        low, high = np.searchsorted(ats, [10 ** (digits - 1) if digits > 1 else 0, 10**digits])
+        for j in range(digits):
+            held[low:high, len(base) + j] = 48 + ats[low:high] // 10 ** (digits - 1 - j) % 10
+        held[low:high, len(base) + digits] = 0x80
+        held[low:high, 56:58] = divmod((len(base) + digits) * 8, 256)[::-1]
+    return held
+
+
+def _draws(names: list[str], places: list[np.ndarray]) -> list[np.ndarray]:
+    """For each name and its ascending places, the first eight hex digits of the MD5 of name:place, as numbers. Short messages of many
+    texts are hashed together."""
+    found, waiting, many = [np.zeros(0, np.uint32) for _ in names], [], 0
+
+    def hash_waiting() -> None:
+        heads = _md5_heads(np.concatenate([x for _, x in waiting]))
+        for (r, x), end in zip(waiting, np.cumsum([len(x) for _, x in waiting])):
+            found[r] = np.append(found[r], heads[end - len(x) : end])
+        waiting.clear()
+
+    for r, (name, ats) in enumerate(zip(names, places)):
+        base, ats = name.encode() + b":", ats.astype(np.int64)
+        if len(ats) and (len(base) > 44 or ats[0] < 0):  # more than a block
+            found[r] = np.frombuffer(b"".join([hashlib.md5(base + b"%d" % i).digest() for i in ats.tolist()]), ">u4")[::4].astype(np.uint32)
+            continue
+        for at in range(0, len(ats), AT_ONCE):
+            waiting.append((r, _blocks(base, ats[at : at + AT_ONCE])))
+            many += len(waiting[-1][1])
+            if many >= AT_ONCE:
+                hash_waiting()
+                many = 0
+    if waiting:
+        hash_waiting()
+    return found
+
+
+def _sums(draws: np.ndarray, n: int, ats: np.ndarray, at: np.ndarray, w: np.ndarray, fractions: tuple[float, ...]) -> tuple[float, list[int], list[float], list[float]]:
     """All weights' sum; k for each fraction; the sums of the k greatest weights, and of those at the k smallest draws (of equal ones the
-    first place): a draw is the first eight hex digits of the MD5 of name and place."""
+    first place). The places are ascending, with a draw each."""
     k = [max(1, round(n * f)) for f in fractions]
     if not len(w):
         return 0.0, k, [0.0] * len(k), [0.0] * len(k)
-    ats, order = np.sort(ats), np.argsort(at, kind="stable")
+    order = np.argsort(at, kind="stable")
     at, every = at[order], np.zeros(n)
     every[np.searchsorted(ats, at) + np.arange(len(at)) - np.searchsorted(at, at)] = w[order]  # a place may occur again
-    base = name.encode() + b":"
-    draws = np.frombuffer(b"".join([hashlib.md5(base + b"%d" % i).digest() for i in ats.tolist()]), ">u4")[::4].astype(np.uint32)
     top, drawn = np.cumsum(np.sort(every)[::-1]), np.cumsum(every[np.argsort(draws, kind="stable")])
     return float(w.sum()), k, [float(top[min(i, n) - 1]) for i in k], [float(drawn[min(i, n) - 1]) for i in k]
 
@@ -56,7 +119,9 @@ def curves_of_texts(texts: DataFrame, key: list[str], ats: str, points: str, ide
             n = batch.column(own + 1).to_numpy()
             lists = [batch.column(own + j) for j in (2, 3, 4)]
             ends, held = [x.offsets.to_numpy() - x.offsets[0].as_py() for x in lists], [x.flatten().to_numpy() for x in lists]
-            found = [_sums(name, int(n[r]), *(x[e[r] : e[r + 1]] for x, e in zip(held, ends)), fractions) for r, name in enumerate(batch.column(own).to_pylist())]
+            ats, at, w = ([x[e[r] : e[r + 1]] for r in range(batch.num_rows)] for x, e in zip(held, ends))
+            ats = [np.sort(x) for x in ats]
+            found = [_sums(*row, fractions) for row in zip(_draws(batch.column(own).to_pylist(), ats), n.tolist(), ats, at, w)]
             parts = [pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:own], batch.column(own + 1), *parts], names=[*key, "n", "s", "k", "t", "r"])
 
