@@ -51,15 +51,13 @@ def _by_rounds(pairs: DataFrame) -> DataFrame:
 def first_kept(pairs: DataFrame, most_links: int = MOST_LINKS) -> DataFrame:
     """(id, kept) of every id in pairs(a, b), a < b: an id is kept unless a kept smaller one is its partner.
 
-    Components are found first; each of at most `most_links` links is decided whole in the order of its ids, in one task, so a long
-    chain takes no more rounds than a short one. Larger components, if there are any, are decided by rounds.
+    At most `most_links` links are decided in one task. Of more, components are found first; each of at most that many links is
+    decided whole in the order of its ids, in one task, so a long chain takes no more rounds than a short one. Larger components, if
+    there are any, are decided by rounds.
     """
     share_package(pairs.sparkSession)
     pairs = cut(pairs.select("a", "b").where("a < b").distinct())
     kind = pairs.schema["a"].dataType.simpleString()
-    placed = cut(join_dealt(pairs, components(pairs).withColumnRenamed("id", "a"), "a"))
-    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("links"))
-    great = cut(sizes.where(F.col("links") > most_links).select("root"))
 
     def decide(table: pa.Table) -> pa.Table:
         smaller: dict = {}
@@ -71,6 +69,11 @@ def first_kept(pairs: DataFrame, most_links: int = MOST_LINKS) -> DataFrame:
             kept[i] = not any(kept[s] for s in smaller[i])
         return pa.table({"id": pa.array(list(kept), table.schema.field("a").type), "kept": pa.array(list(kept.values()), pa.bool_())})
 
+    if pairs.count() <= most_links:  # all components in one task
+        return cut(pairs.groupBy().applyInArrow(decide, f"id {kind}, kept boolean"))
+    placed = cut(join_dealt(pairs, components(pairs).withColumnRenamed("id", "a"), "a"))
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("links"))
+    great = cut(sizes.where(F.col("links") > most_links).select("root"))
     if great.isEmpty():
         return cut(placed.groupBy("root").applyInArrow(decide, f"id {kind}, kept boolean"))
     great = F.broadcast(great)  # fewer rows than links / most_links
